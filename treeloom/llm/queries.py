@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeloom.llm.common import table
 from treeloom.llm.ngram_join import jaccard_components
+from treeloom.llm.toxicity import fit, score_documents
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {"op8_toxicity": op8_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLE: dict[str, str] = {}
