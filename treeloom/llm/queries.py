@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import table
 from treeloom.llm.decontaminate import phrase_hits
 from treeloom.llm.ngram_join import jaccard_components
+from treeloom.llm.suffix_dedup import cut_spans, repeated_spans
 from treeloom.llm.toxicity import fit, score_documents
 
 
@@ -37,6 +38,12 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = cut_spans(docs, repeated_spans(docs, 100))
+    return cut.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -48,5 +55,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op8_toxicity": op8_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op8_toxicity": op8_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLE: dict[str, str] = {"op2_benchmark_decontamination": _OP2_SQL}
