@@ -31,11 +31,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/treeloom/{tag}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stash(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """Write a stage to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    files: as many at most, for stages known to be small; fewer tasks then read the shuffle.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -65,9 +68,15 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, max_rows) else df.hint("merge")
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts: what partition counts are sized from."""
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def text_size(docs: DataFrame) -> tuple[int, int]:
+    """UTF-8 bytes of all texts and the number of rows: what partition and file counts are sized from."""
+    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    return size or 0, rows
+
+
+def file_count(rows: int, each: int = 50_000) -> int:
+    """Files for so many rows: in proportion, twelve at least."""
+    return max(12, rows // each)
 
 
 # ---------------------------------------------------------------- numpy side

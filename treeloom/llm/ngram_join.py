@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import discard, maybe_broadcast, mix, row_slices, stash, text_bytes, utf8_buffer, word_hashes
+from treeloom.llm.common import discard, file_count, maybe_broadcast, mix, row_slices, stash, text_size, utf8_buffer, word_hashes
 from treeloom.llm.components import connected_components
 
 #: A list of ids goes by broadcast only up to so many rows (8 bytes each); beyond that the join shuffles.
@@ -256,53 +256,67 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    parts = max(256, text_bytes(docs) // (16 << 20))
+    size, rows = text_size(docs)
+    parts, files = max(256, size // (16 << 20)), file_count(rows)
     postings = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_emit_postings(width, parts), "p int, batch string, tokens binary, idx binary, sigs binary, docs binary")
     counted = postings.groupBy("p").applyInArrow(_count_repeated, "batch string, counts binary, sigs binary, docs binary")
-    per_doc = stash(counted.groupBy("batch").applyInArrow(_per_document, "doc_id long, n_shingles long, sig long, repeated long"), "sets")
+    per_doc = stash(counted.groupBy("batch").applyInArrow(_per_document, "doc_id long, n_shingles long, sig long, repeated long"), "sets", files)
     reps = per_doc.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("repeated").alias("repeated"))
-    alive = stash(reps.where(f"repeated * {den} >= n * {num}").select("rep", "sig"), "alive")
+    alive = stash(reps.where(f"repeated * {den} >= n * {num}").select("rep", "sig"), "alive", files)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(alive, BROADCAST_ROWS), "rep").select("sig", "text")
-    raw = stash(texts.mapInArrow(_sets(width), "sig long, n int, tokens array<long>").dropDuplicates(["sig"]), "tokens")
-    rows = raw.select("sig", F.explode("tokens").alias("token"))
-    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    with_df = rows.join(df, "token", "left").groupBy("sig").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(1)).alias("df"))).alias("s")).select("sig", F.col("s.token").alias("tokens"), F.col("s.df").alias("dfs"))
+    raw = stash(texts.mapInArrow(_sets(width), "sig long, n int, tokens array<long>").dropDuplicates(["sig"]), "tokens", files)
+    exploded = raw.select("sig", F.explode("tokens").alias("token"))
+    df = exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    with_df = exploded.join(df, "token", "left").groupBy("sig").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(1)).alias("df"))).alias("s")).select("sig", F.col("s.token").alias("tokens"), F.col("s.df").alias("dfs"))
     sets = stash(with_df.mapInArrow(_orders(num, den), "sig long, n int, tokens binary, first array<long>, second binary, third binary"), "orders")
     discard(raw, alive)
-    lists = stash(sets.select("sig", "n", F.explode("first").alias("token")), "lists")
-    labels = _contract(lists, sets, num, den)
+    lists = stash(sets.select("sig", "n", F.explode("first").alias("token")), "lists", files)
+    labels = _contract(lists, sets, num, den, files)
     reps = per_doc.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     of_sig = reps.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = of_sig.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_sig = stash(of_sig.join(smallest, "component").select("sig", "component_id"), "components")
+    of_sig = stash(of_sig.join(smallest, "component").select("sig", "component_id"), "components", files)
     found = per_doc.where("n_shingles > 0").join(of_sig, "sig", "left").select("doc_id", "n_shingles", "component_id")
     alone = per_doc.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
 
-def _contract(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _contract(lists: DataFrame, sets: DataFrame, num: int, den: int, files: int) -> DataFrame:
     """(sig, component) over the links among the sets of each list."""
     spark = lists.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     fits = f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}"
+    lists = lists.withColumn("component", F.col("sig"))
     for turn in range(ROUNDS + 1):
-        named = lists.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "n", "component")).alias("pivot")).where("low <> high")
+        heads = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "n", "component")).alias("pivot")).where("low <> high")
         if turn < ROUNDS:
-            pairs = named.join(mixed, "token").where("component <> pivot.component").select("sig", F.col("pivot.sig").alias("p"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).where(fits)
+            pairs = lists.join(heads, "token").where("component <> pivot.component").select("sig", F.col("pivot.sig").alias("p"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).where(fits)
             pairs = pairs.select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b"))
         else:
-            left = named.join(mixed.select("token"), "token", "left_semi")
-            left = stash(left, "mixed")
-            x = left.select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            y = left.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+            x = lists.select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+            y = lists.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
             pairs = x.join(y, "token").where("a < b and c_a <> c_b").where(fits).select("a", "b")
-        found = stash(_linked(pairs.distinct(), sets, num, den), "links")
+        pairs = stash(pairs.distinct(), "pairs", files)
+        if pairs.isEmpty():
+            if turn == ROUNDS:
+                break
+            mixed = stash(lists.join(heads.select("token"), "token", "left_semi"), "mixed", files)
+            if mixed.isEmpty():
+                break
+            lists = mixed
+            continue
+        found = stash(_linked(pairs, sets, num, den), "links", files)
+        discard(pairs)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = stash(connected_components(edges), "labels")
-        elif turn < ROUNDS and not mixed.limit(1).count():
-            break
+            if turn < ROUNDS:
+                named = lists.drop("component").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+                named = stash(named, "named", files)
+                mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+                lists = stash(named.join(mixed, "token", "left_semi"), "mixed", files)
+                discard(named)
+                if lists.isEmpty():
+                    break
     return labels.select(F.col("node").alias("sig"), "component")

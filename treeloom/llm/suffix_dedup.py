@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import _BYTE, _powers, discard, mix, row_slices, stash, text_bytes, utf8_buffer
+from treeloom.llm.common import _BYTE, _powers, discard, mix, row_slices, stash, text_size, utf8_buffer
 from treeloom.llm.induced_sort import sort_suffixes
 
 GRAM, FINE_GRAM = 36, 90
@@ -260,8 +260,7 @@ def _merged(t: pa.Table) -> pa.Table:
 
 def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     """(doc_id, start, stop) of docs (doc_id, text): byte spans to remove; they may overlap.  Null ids come as the least long."""
-    total = text_bytes(docs)
-    parts = max(256, total // (8 << 20))
+    parts = max(256, text_size(docs)[0] // (8 << 20))
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(parts, size), "p int, docs binary, units binary, local binary")
     found = stash(packed.groupBy("p").applyInArrow(_match(size), _FOUND), "units")
     wanted = found.where("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "anchor", "hot")).alias("wanted"))  # bounded by the document
