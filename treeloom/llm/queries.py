@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.common import table
 from treeloom.llm.decontaminate import phrase_hits
+from treeloom.llm.media import media_features
 from treeloom.llm.ngram_join import jaccard_components
+from treeloom.llm.pieces import encode_documents
 from treeloom.llm.suffix_dedup import cut_spans, repeated_spans
 from treeloom.llm.toxicity import fit, score_documents
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = phrase_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -38,6 +44,11 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"), (F.col("__decoded") == F.encode(F.translate(F.coalesce("text", F.lit("")), "\u2581", " "), "utf-8")).alias("round_trip"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = cut_spans(docs, repeated_spans(docs, 100))
@@ -55,5 +66,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op8_toxicity": op8_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {"op1_media_columns": op1_media_columns, "op2_benchmark_decontamination": op2_benchmark_decontamination, "op4_sentencepiece": op4_sentencepiece, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op8_toxicity": op8_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLE: dict[str, str] = {"op2_benchmark_decontamination": _OP2_SQL}
