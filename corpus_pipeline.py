@@ -45,9 +45,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     A cut may fall inside a character; what is left of that character is dropped.
     """
     cut = cut_spans(docs, repeated_spans(docs.select("doc_id", "text"), 100))
-    whole = F.decode("__kept", "utf-8")
-    changed = F.when(F.col("__n_removed") > 0, F.translate(whole, "�", "")).otherwise(whole)
-    text = F.when(F.col("__n_bytes") > 0, changed)
+    text = F.when(F.col("__had_text"), F.col("__text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long"))).select(docs.columns)
 
 

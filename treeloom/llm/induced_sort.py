@@ -22,9 +22,9 @@ import os
 import numpy as np
 
 #: Items a block holds; items the queues keep in memory; names sorted in memory at the recursion's end.
-BLOCK = 1 << 18
-QUEUED = 1 << 22
-IN_MEMORY = 1 << 22
+BLOCK = 1 << 17
+QUEUED = 1 << 20
+IN_MEMORY = 1 << 21
 
 
 class SymbolQueues:
@@ -253,32 +253,58 @@ def _ordered(text, left: SymbolQueues, right: SymbolQueues, present: np.ndarray,
             yield items, np.r_[first, back[:-1]]
 
 
-def _types(text) -> np.ndarray:
-    """True where the suffix is S."""
-    n = len(text)
-    t = np.asarray(text)
-    differs = np.flatnonzero(t[1:] != t[:-1])
-    s = np.zeros(n, bool)
-    if len(differs):
-        which = np.searchsorted(differs, np.arange(n - 1))
-        inside = which < len(differs)
-        at = differs[np.minimum(which, len(differs) - 1)]
-        s[:-1] = inside & (t[at] < t[np.minimum(at + 1, n - 1)])
-    return s
-
-
-def _by_symbol(text, items: np.ndarray, common: np.ndarray):
-    """Blocks of LMS suffixes for each symbol; ``items`` must be sorted by first symbol."""
-    first = np.asarray(text[items]).astype(np.int64)
-    cuts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.zeros(0, np.int64)
-    where = {int(first[a]): (int(a), int(b)) for a, b in zip(cuts, np.r_[cuts[1:], len(items)])}
+def _on_disk(path: str, n: int, kind) -> np.ndarray:
+    return np.memmap(path, kind, "w+", shape=(max(1, n),))[:n]
 
-    def blocks(c):
-        a, b = where.get(c, (0, 0))
-        for k in range(a, b, BLOCK):
-            yield items[k : min(k + BLOCK, b)], common[k : min(k + BLOCK, b)]
 
-    return blocks
+def _scan_types(text, folder: str, tag: str):
+    """On disk: where suffixes are S, the LMS suffix after each position, and the LMS suffixes in order of place."""
+    n = len(text)
+    s = _on_disk(f"{folder}/{tag}-types", n, np.bool_)
+    after = _on_disk(f"{folder}/{tag}-after", n, np.int64)
+    following, kind, nearest = -1, False, n  # symbol and type of the suffix on the right, LMS suffix on the right
+    for b in range(n, 0, -BLOCK):
+        a = max(0, b - BLOCK)
+        t = np.r_[np.asarray(text[a:b]).astype(np.int64), following]
+        change = t[:-1] != t[1:]
+        own = np.where(change, t[:-1] < t[1:], kind)
+        # equal neighbours take the type of the next change on the right
+        at = np.where(change, np.arange(b - a), b - a)
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        block = np.where(at < b - a, own[np.minimum(at, b - a - 1)], kind)
+        if b == n:
+            block[-1] = False
+            last = np.flatnonzero(change[:-1])
+            block[(last[-1] + 1 if len(last) else 0) :] = False
+        s[a:b] = block
+        before = int(text[a - 1]) if a else -1
+        # LMS: S with an L suffix on its left; the left neighbour of the block's first suffix is L if its symbol is larger
+        left = np.r_[(before > t[0]) if a else False, ~block[:-1]]
+        lms = block & left
+        where = np.where(lms, np.arange(a, b), n)
+        right = np.minimum.accumulate(where[::-1])[::-1]
+        right[right == n] = nearest
+        after[a:b] = np.r_[right[1:], nearest]
+        nearest = int(right[0])
+        following, kind = int(t[0]), bool(block[0])
+    with open(f"{folder}/{tag}-lms", "wb") as out:
+        for a in range(0, n, BLOCK):
+            block = s[a : a + BLOCK]
+            out.write((np.flatnonzero(block & ~np.r_[bool(s[a - 1]) if a else True, block[:-1]]) + a).astype(np.int64).tobytes())
+    size = os.path.getsize(f"{folder}/{tag}-lms") // 8
+    lms = np.memmap(f"{folder}/{tag}-lms", np.int64, "r", shape=(size,)) if size else np.zeros(0, np.int64)
+    return s, after, lms
+
+
+def _queue_lms(text, items, commons, path: str) -> SymbolQueues:
+    """LMS suffixes (in any order that keeps a symbol's own order) as queues by first symbol."""
+    queues = SymbolQueues(path)
+    for a in range(0, len(items), BLOCK):
+        i = np.asarray(items[a : a + BLOCK])
+        first = np.asarray(text[i]).astype(np.int64)
+        order = np.argsort(first, kind="stable")
+        queues.push(first[order], i[order], np.zeros(len(i), np.int64) if commons is None else np.asarray(commons[a : a + BLOCK])[order])
+    return queues
 
 
 def _in_memory(names: np.ndarray) -> np.ndarray:
@@ -300,38 +326,46 @@ def _in_memory(names: np.ndarray) -> np.ndarray:
 
 
 def _sorted_lms(text, sigma: int, folder: str, present: np.ndarray, depth: int, in_memory: int) -> np.ndarray:
-    """LMS suffixes in order."""
-    s = _types(text)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    """LMS suffixes in order, on disk."""
+    tag = f"n{depth}"
+    s, after, lms = _scan_types(text, folder, tag)
     if len(lms) < 2:
         return lms
-    by_first = lms[np.argsort(np.asarray(text[lms]), kind="stable")]
-    left, right = _induce(text, sigma, _by_symbol(text, by_first, np.zeros(len(lms), np.int64)), folder, 0, present, f"n{depth}")
-    is_lms = np.zeros(len(text), bool)
-    is_lms[lms] = True
-    order = np.concatenate([items[is_lms[items]] for items, _ in _ordered(text, left, right, present, 0)] or [lms[:0]])
+    seeds = _queue_lms(text, lms, None, f"{folder}/{tag}-seeds")
+    left, right = _induce(text, sigma, seeds.peek, folder, 0, present, tag)
+    seeds.close()
+    name = _on_disk(f"{folder}/{tag}-name", len(text), np.int32)
+    count, last = 0, None
+    with open(f"{folder}/{tag}-order", "wb") as out:
+        for items, _ in _ordered(text, left, right, present, 0):
+            items = items[s[items] & (items > 0) & ~s[items - 1]]
+            if not len(items):
+                continue
+            chain = items if last is None else np.r_[last, items]
+            length = after[chain] - chain + 1
+            same = length[1:] == length[:-1]
+            which = np.flatnonzero(same)
+            if len(which):
+                same[which] = _common(text, chain[which], chain[which + 1], int(length[which].max())) >= length[which]
+            new = np.cumsum(~same) + count
+            name[items] = new if last is not None else np.r_[0, new]
+            count, last = int(name[items[-1]]), items[-1]
+            out.write(items.astype(np.int64).tobytes())
     left.close(), right.close()
-    after = np.full(len(text), len(text), np.int64)
-    after[lms[:-1]] = lms[1:]
-    length = after[order] - order + 1
-    same = np.r_[False, length[1:] == length[:-1]]
-    which = np.flatnonzero(same)
-    equal = _common(text, order[which - 1], order[which], int(length.max()) if len(which) else 0)
-    same[which] = equal >= length[which]
-    name = np.empty(len(text), np.int64)
-    name[order] = np.cumsum(~same) - 1
-    names = name[lms]
-    count = int(name[order[-1]]) + 1
-    if count == len(lms):
+    order = np.memmap(f"{folder}/{tag}-order", np.int64, "r")
+    if count + 1 == len(lms):
         return order
-    if len(names) <= in_memory:
-        return lms[_in_memory(names)]
+    if len(lms) <= in_memory:
+        return lms[_in_memory(name[lms])]
     path = f"{folder}/names-{depth}"
-    names.astype(np.int32).tofile(path)
-    reduced = np.memmap(path, np.int32, "r")
-    inner = np.concatenate([items for items, _ in sort_suffixes(reduced, folder, 0, depth + 1, in_memory)])
+    with open(path, "wb") as out:
+        for a in range(0, len(lms), BLOCK):
+            out.write(name[lms[a : a + BLOCK]].tobytes())
+    with open(f"{folder}/{tag}-sorted", "wb") as out:
+        for items, _ in sort_suffixes(np.memmap(path, np.int32, "r"), folder, 0, depth + 1, in_memory):
+            out.write(np.asarray(lms[items]).tobytes())
     os.remove(path)
-    return lms[inner]
+    return np.memmap(f"{folder}/{tag}-sorted", np.int64, "r")
 
 
 def sort_suffixes(text, folder: str, cap: int, depth: int = 0, in_memory: int = IN_MEMORY):
@@ -345,12 +379,17 @@ def sort_suffixes(text, folder: str, cap: int, depth: int = 0, in_memory: int =
     present = np.unique(text)
     sigma = int(present[-1]) + 1
     lms = _sorted_lms(text, sigma, folder, present, depth, in_memory)
-    common = np.zeros(len(lms), np.int64)
+    commons = None
     if cap and len(lms) > 1:
-        common[1:] = _common(text, lms[:-1], lms[1:], cap)
-    left, right = _induce(text, sigma, _by_symbol(text, lms, common), folder, cap, present, f"f{depth}")
+        commons = _on_disk(f"{folder}/f{depth}-common", len(lms), np.int64)
+        for a in range(0, len(lms), BLOCK):
+            block = np.asarray(lms[max(0, a - 1) : a + BLOCK])
+            commons[max(1, a) : a + BLOCK] = _common(text, block[:-1], block[1:], cap)
+    seeds = _queue_lms(text, lms, commons, f"{folder}/f{depth}-seeds")
+    left, right = _induce(text, sigma, seeds.peek, folder, cap, present, f"f{depth}")
+    seeds.close()
     yield from _ordered(text, left, right, present, cap)
     left.close(), right.close()
     for f in os.listdir(folder):
-        if f.split("-")[0] in (f"n{depth}", f"f{depth}"):
+        if f.split("-")[0] in (f"n{depth}", f"f{depth}"):  # mapped files stay readable until they are let go
             os.remove(f"{folder}/{f}")

@@ -35,8 +35,10 @@ GRAM, FINE_GRAM = 36, 90
 #: Distinct units of one anchor from which it is split.
 HOT = 3000
 #: Units of one map block; text of one shard.
-BLOCK_UNITS = 600_000
-SHARD_BYTES = 16 << 20
+BLOCK_UNITS = 400_000
+SHARD_BYTES = 4 << 20
+#: Bytes hashed at once by a map task.
+SLICE_BYTES = 1 << 19
 #: Wanted units are sent to all tasks only if there are no more of them than this; else the texts are shuffled.
 BROADCAST_UNITS = 100_000
 
@@ -121,7 +123,7 @@ def _pack(parts: int, size: int):
         for batch in batches:
             ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             data, offsets = utf8_buffer(batch.column(1))
-            for i, j in row_slices(offsets):
+            for i, j in row_slices(offsets, SLICE_BYTES):
                 if held >= BLOCK_UNITS or len(docs) + j - i > 65_000:
                     yield flush()
                 for i2 in range(i, j, 60_000):
@@ -277,10 +279,11 @@ def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
 def _cut(batches):
     """Unites a document's spans and cuts them out."""
     for batch in batches:
-        n_bytes, removed, spans, kept = [], [], [], []
+        n_bytes, removed, spans, kept, had = [], [], [], [], []
         for text, where in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("__spans")).to_pylist()):
             raw = (text or "").encode()
             n_bytes.append(len(raw))
+            had.append(text is not None)
             pieces, at, gone, runs, reach = [], 0, 0, 0, -1
             for s in sorted((w["start"], w["stop"]) for w in where or ()):
                 a, b = s
@@ -298,13 +301,13 @@ def _cut(batches):
             kept.append(b"".join(pieces))
         names = [f.name for f in batch.schema if f.name not in ("text", "__spans")]
         cols = [batch.column(batch.schema.get_field_index(k)) for k in names]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "__n_bytes", "__n_removed", "__n_spans", "__kept"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(had, pa.bool_())], names=[*names, "__n_bytes", "__n_removed", "__n_spans", "__kept", "__text", "__had_text"])
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without text, with __n_bytes, __n_removed, __n_spans and __kept (the bytes that stay)."""
+    """docs without text, with __n_bytes, __n_removed, __n_spans, __kept (the bytes that stay), __text (their whole characters), __had_text."""
     grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans")).withColumnRenamed("doc_id", "__doc")  # bounded by the document
     grouped = stash(grouped, "spans")
     both = docs.join(grouped, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__doc"), "left").drop("__doc")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return both.mapInArrow(_cut, f"{fields}, __n_bytes long, __n_removed long, __n_spans long, __kept binary")
+    return both.mapInArrow(_cut, f"{fields}, __n_bytes long, __n_removed long, __n_spans long, __kept binary, __text string, __had_text boolean")
