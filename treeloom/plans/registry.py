@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from treeloom.plans import relational
+
+QUERIES: dict = {**relational.QUERIES}
+ORACLE: dict = {**relational.ORACLE}
 
 
 def flagship(spark, sf_dir):
+    """Cardinality violations with paths."""
     return QUERIES["cardinality_violations"](spark, sf_dir)
