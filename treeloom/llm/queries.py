@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.llm import masked_lm
+from treeloom.llm.chat import format_conversations
 from treeloom.llm.common import table
 from treeloom.llm.decontaminate import phrase_hits
+from treeloom.llm.language import identify_languages
+from treeloom.llm.licenses import scan_licenses
 from treeloom.llm.media import media_features
 from treeloom.llm.ngram_join import jaccard_components
 from treeloom.llm.pieces import encode_documents
@@ -44,6 +48,10 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select("doc_id", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"), (F.col("__decoded") == F.encode(F.translate(F.coalesce("text", F.lit("")), "\u2581", " "), "utf-8")).alias("round_trip"))
@@ -55,6 +63,14 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -62,9 +78,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score(docs, *masked_lm.fit(docs))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
-QUERIES = {"op1_media_columns": op1_media_columns, "op2_benchmark_decontamination": op2_benchmark_decontamination, "op4_sentencepiece": op4_sentencepiece, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op8_toxicity": op8_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_media_columns, op2_benchmark_decontamination, op3_language_id, op4_sentencepiece, op5_suffix_array_dedup, op6_chat_formatting, op7_license_scan, op8_toxicity, op9_lm_scoring, op10_ngram_jaccard_join)
+}
 ORACLE: dict[str, str] = {"op2_benchmark_decontamination": _OP2_SQL}
