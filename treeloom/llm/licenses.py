@@ -33,7 +33,7 @@ TEMPLATES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "all-rights-reserved": "All rights reserved. No part of this work may be reproduced without permission.",
+    "all-rights-reserved": "All rights reserved.",
 }
 
 _KEEP = np.zeros(256, bool)
