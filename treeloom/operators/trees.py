@@ -52,7 +52,7 @@ def interval_encode(nodes: DataFrame, sort: list[str]) -> DataFrame:
     """
     import pandas as pd
 
-    schema = type(nodes.schema)([*nodes.schema.fields]).add("pre", "int").add("post", "int")
+    schema = type(nodes.schema)([*nodes.schema.fields]).add("pre", "integer").add("post", "integer")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kids: dict = {}

@@ -106,7 +106,7 @@ def check_schema(schema: dict[str, DataFrame]) -> DataFrame:
     out = [
         diagnostic(classes.where("root and transparent"), "root_and_transparent", F.col("class"), F.lit("")),
         diagnostic(classes.groupBy("class").count().where("count > 1"), "duplicate_class", F.col("class"), F.lit("")),
-        diagnostic(classes.where(~text.is_identifier(F.element_at(F.split("class", ":"), -1))), "invalid_name", F.col("class"), F.lit("")),
+        diagnostic(classes.where(~text.is_identifier(F.regexp_replace(F.element_at(F.split("class", ":"), -1), "^~", ""))), "invalid_name", F.col("class"), F.lit("")),
         diagnostic(classes.where("superclass is not null").join(classes.select(F.col("class").alias("superclass")), "superclass", "left_anti"), "unknown_superclass", F.col("class"), F.col("superclass")),
         diagnostic(cycles(classes.select(F.col("class").alias("child"), F.col("superclass").alias("parent"))), "cyclic_superclass", F.col("start"), F.array_join("cycle", " ")),
         diagnostic(fields.where("field = '' and field_type = 'SUBTREE'"), "nameless_subtree", F.col("owner"), F.lit("")),

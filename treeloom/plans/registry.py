@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.plans import relational
+from treeloom.plans import markup, relational
 
-QUERIES: dict = {**relational.QUERIES}
+QUERIES: dict = {**relational.QUERIES, **markup.QUERIES}
 ORACLE: dict = {**relational.ORACLE}
 
 
