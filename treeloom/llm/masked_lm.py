@@ -24,8 +24,8 @@ from treeloom.llm.common import mix, row_slices, stash, utf8_buffer, word_hashes
 
 CLASSES, CELLS, HIDDEN, SIDE = 128, 1 << 16, 24, 2
 ROUNDS, MASKED, STEP, SUMS = 2, 8, 0.15, 16
-#: Words in one step.
-BATCH = 4096
+#: Words in one step of training, words scored at once.
+TRAINED, BATCH = 512, 512
 
 
 class Network:
@@ -46,12 +46,14 @@ class Network:
         self.seen = np.full_like(self.flat, 1e-2)
 
     def forward(self, context: np.ndarray):
-        h = self.embed[0][context[0]]
+        h = self.embed[0].take(context[0], 0)
         for k in range(1, len(context)):
-            h = h + self.embed[k][context[k]]
-        h = np.tanh(h)
-        z = h @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
+            h += self.embed[k].take(context[k], 0)
+        np.tanh(h, out=h)
+        z = h @ self.out
+        z += self.bias
+        if z.max() > 60:  # else the sum of exponentials is safe as it is
+            z -= z.max(1, keepdims=True)
         return h, z, np.log(np.exp(z).sum(1))
 
     def train(self, context: np.ndarray, target: np.ndarray) -> None:
@@ -109,8 +111,8 @@ def _train(flat: np.ndarray, turn: int):
             context, target = np.concatenate([c for c, _ in held], 1), np.concatenate([t for _, t in held])
             k = 0
             while len(target) - k >= least:
-                net.train(context[:, k : k + BATCH], target[k : k + BATCH])
-                k += BATCH
+                net.train(context[:, k : k + TRAINED], target[k : k + TRAINED])
+                k += TRAINED
             held, size = ([(context[:, k:], target[k:])], len(target) - k) if k < len(target) else ([], 0)
 
         for batch in batches:
@@ -123,8 +125,8 @@ def _train(flat: np.ndarray, turn: int):
                 masked = np.flatnonzero(place % np.uint64(MASKED) == turn)
                 held.append((_contexts(cls, rows)[:, masked], cls[masked].astype(np.int64)))
                 size += len(masked)
-                if size >= BATCH * 4:
-                    step(BATCH)
+                if size >= 16 * TRAINED:
+                    step(TRAINED)
         step(1)
         if words:
             yield _state(words, net.flat.astype(np.float64) * words, counts)
