@@ -11,6 +11,8 @@ of at least num/den.  What it does with all rows:
    another hash) and by a third hash alone.  Under every order two linked sets share a token of their prefixes of
    n - ceil(t*n) + 1 tokens.  Lists of the first order make candidates; those that share no prefix token under the
    other two orders are dropped before the sets are compared.
+   A further exact filter stands in the join itself: each set has a bitmap in which every token flips one of ``BITS``
+   bits; two bitmaps differ in no more bits than the sets differ in tokens, and links bound that number.
 4. *Hot lists contract.*  A list (all sets with one rare token) is first compared with a pivot only; linked sets fall
    into one component and need no further comparison.  After a few rounds with other pivots, the pairs of a list
    that still lie in different components are all compared, so no link between components is lost.
@@ -36,6 +38,8 @@ from treeloom.llm.components import connected_components
 BROADCAST_ROWS = 500_000
 #: Tokens gathered before a map task hands a block on; bounds its memory.
 BLOCK_TOKENS = 1_500_000
+#: Bits of a set's parity bitmap.
+BITS = 1024
 #: Rounds of pivots before what is left of the lists is compared in full.
 ROUNDS = 3
 
@@ -208,7 +212,7 @@ def _orders(num: int, den: int):
 
     def run(batches):
         for batch in batches:
-            out = {"sig": [], "n": [], "tokens": [], "first": [], "second": [], "third": []}
+            out = {"sig": [], "n": [], "tokens": [], "first": [], "second": [], "third": [], "parity": []}
             for sig, t, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 t, df = np.array(t, np.int64), np.array(df, np.int64)
                 u = t.view(np.uint64)
@@ -216,9 +220,10 @@ def _orders(num: int, den: int):
                 one = np.lexsort((u, df))[:size]
                 two = np.lexsort((mix(u ^ np.uint64(0x5851F42D4C957F2D)), np.log2(df).astype(np.int64)))[:size]
                 three = np.argsort(mix(u ^ np.uint64(0x14057B7EF767814F)))[:size]
-                for k, v in (("sig", sig), ("n", len(t)), ("tokens", np.sort(t).tobytes()), ("first", t[one][df[one] > 1]), ("second", np.sort(t[two][df[two] > 1]).tobytes()), ("third", np.sort(t[three][df[three] > 1]).tobytes())):
+                parity = np.bincount((mix(u ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                for k, v in (("parity", np.packbits(parity.astype(np.uint8)).view(np.int64)), ("sig", sig), ("n", len(t)), ("tokens", np.sort(t).tobytes()), ("first", t[one][df[one] > 1]), ("second", np.sort(t[two][df[two] > 1]).tobytes()), ("third", np.sort(t[three][df[three] > 1]).tobytes())):
                     out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary()), ("parity", pa.list_(pa.int64()))]))
 
     return run
 
@@ -268,9 +273,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     exploded = raw.select("sig", F.explode("tokens").alias("token"))
     df = exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     with_df = exploded.join(df, "token", "left").groupBy("sig").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(1)).alias("df"))).alias("s")).select("sig", F.col("s.token").alias("tokens"), F.col("s.df").alias("dfs"))
-    sets = stash(with_df.mapInArrow(_orders(num, den), "sig long, n int, tokens binary, first array<long>, second binary, third binary"), "orders")
+    sets = stash(with_df.mapInArrow(_orders(num, den), "sig long, n int, tokens binary, first array<long>, second binary, third binary, parity array<long>"), "orders")
     discard(raw, alive)
-    lists = stash(sets.select("sig", "n", F.explode("first").alias("token")), "lists", files)
+    words = [F.col("parity")[k].alias(f"x{k}") for k in range(BITS // 64)]
+    lists = stash(sets.select("sig", "n", F.explode("first").alias("token"), *words), "lists", files)
     labels = _contract(lists, sets, num, den, files)
     reps = per_doc.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     of_sig = reps.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
@@ -286,16 +292,18 @@ def _contract(lists: DataFrame, sets: DataFrame, num: int, den: int, files: int)
     spark = lists.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
-    fits = f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}"
+    words = [f"x{k}" for k in range(BITS // 64)]
+    differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in words)
+    fits = f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and ({differ}) * {den + num} <= (n_a + n_b) * {den - num}"
     lists = lists.withColumn("component", F.col("sig"))
     for turn in range(ROUNDS + 1):
-        heads = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "n", "component")).alias("pivot")).where("low <> high")
+        heads = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "n", "component", *words)).alias("pivot")).where("low <> high")
         if turn < ROUNDS:
-            pairs = lists.join(heads, "token").where("component <> pivot.component").select("sig", F.col("pivot.sig").alias("p"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).where(fits)
+            pairs = lists.join(heads, "token").where("component <> pivot.component").select("sig", F.col("pivot.sig").alias("p"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b"), *(F.col(x).alias(x + "_a") for x in words), *(F.col("pivot." + x).alias(x + "_b") for x in words)).where(fits)
             pairs = pairs.select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b"))
         else:
-            x = lists.select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            y = lists.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+            x = lists.select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), *(F.col(w).alias(w + "_a") for w in words))
+            y = lists.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), *(F.col(w).alias(w + "_b") for w in words))
             pairs = x.join(y, "token").where("a < b and c_a <> c_b").where(fits).select("a", "b")
         pairs = stash(pairs.distinct(), "pairs", files)
         if pairs.isEmpty():
