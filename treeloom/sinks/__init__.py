@@ -205,8 +205,6 @@ def html_document(nodes: list[dict], annotations: list[dict]) -> str:
                 out.append(f'<div class="{name}">')
                 walk(c, depth[name])
                 out.append("</div>")
-            elif name == "text":
-                walk(c, level)
             elif name in _HTML:
                 out.append(f"<{_HTML[name]}>")
                 if name == "paragraph":
@@ -215,6 +213,8 @@ def html_document(nodes: list[dict], annotations: list[dict]) -> str:
                 if name == "paragraph":
                     out.extend(f"</{tag(a)}>" for a in reversed(open_) if tag(a))
                 out.append(f"</{_HTML[name]}>")
+            else:
+                walk(c, level)
 
     walk(root, 1)
     return "<!DOCTYPE html><html><head><title>Document</title></head><body>" + "".join(out) + "</body></html>"
