@@ -35,3 +35,10 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], "doc_id bigint, text string")
+
+
+def pytest_configure():
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))

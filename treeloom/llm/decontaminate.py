@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import discard, maybe_broadcast, stash
+from treeloom.llm.common import discard, maybe_broadcast, release, stash
 
 WINDOW = 10
 #: Benchmark terms, item positions, and candidate documents are broadcast up to so many rows; beyond that they shuffle.
@@ -105,10 +105,12 @@ def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     vocabulary = item_positions(items).select("term")
     index = build_index(docs, vocabulary)
     found = candidates(index, items)
-    discard(index.postings)
+    discard(index.postings, index.terms)
+    release(docs.sparkSession)
     named = stash(items.select("item_id", words(F.col("text")).alias("item")).where(F.size("item") > 0).distinct().groupBy("item").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")), "names")
     # an alignment carries its item, a short list of words; a document's alignments are bounded by its own length times the items
     grouped = stash(found.groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift")).alias("cands")), "grouped")
+    discard(found)
     alignments = grouped.agg(F.sum(F.size("cands"))).first()[0] or 0
     small = F.broadcast(grouped) if alignments <= ALIGNMENTS else grouped.hint("merge")
     text = docs.select("doc_id", words(F.col("text")).alias("words")).join(small.withColumnRenamed("doc_id", "cand_doc"), F.col("doc_id").eqNullSafe(F.col("cand_doc")), "left")

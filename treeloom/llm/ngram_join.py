@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import discard, file_count, maybe_broadcast, mix, row_slices, stash, text_size, utf8_buffer, word_hashes
+from treeloom.llm.common import discard, file_count, maybe_broadcast, mix, release, row_slices, stash, text_size, utf8_buffer, word_hashes
 from treeloom.llm.components import connected_components
 
 #: A list of ids goes by broadcast only up to so many rows (8 bytes each); beyond that the join shuffles.
@@ -266,6 +266,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     postings = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_emit_postings(width, parts), "p int, batch string, tokens binary, idx binary, sigs binary, docs binary")
     counted = postings.groupBy("p").applyInArrow(_count_repeated, "batch string, counts binary, sigs binary, docs binary")
     per_doc = stash(counted.groupBy("batch").applyInArrow(_per_document, "doc_id long, n_shingles long, sig long, repeated long"), "sets", files)
+    del postings, counted
+    release(docs.sparkSession)
     reps = per_doc.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("repeated").alias("repeated"))
     alive = stash(reps.where(f"repeated * {den} >= n * {num}").select("rep", "sig"), "alive", files)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(alive, BROADCAST_ROWS), "rep").select("sig", "text")
@@ -275,6 +277,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     with_df = exploded.join(df, "token", "left").groupBy("sig").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(1)).alias("df"))).alias("s")).select("sig", F.col("s.token").alias("tokens"), F.col("s.df").alias("dfs"))
     sets = stash(with_df.mapInArrow(_orders(num, den), "sig long, n int, tokens binary, first array<long>, second binary, third binary, parity array<long>"), "orders")
     discard(raw, alive)
+    del texts, exploded, df, with_df
+    release(docs.sparkSession)
     words = [F.col("parity")[k].alias(f"x{k}") for k in range(BITS // 64)]
     lists = stash(sets.select("sig", "n", F.explode("first").alias("token"), *words), "lists", files)
     labels = _contract(lists, sets, num, den, files)
@@ -282,6 +286,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     of_sig = reps.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = of_sig.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_sig = stash(of_sig.join(smallest, "component").select("sig", "component_id"), "components", files)
+    discard(sets, labels)
+    release(docs.sparkSession)
     found = per_doc.where("n_shingles > 0").join(of_sig, "sig", "left").select("doc_id", "n_shingles", "component_id")
     alone = per_doc.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
@@ -295,6 +301,7 @@ def _contract(lists: DataFrame, sets: DataFrame, num: int, den: int, files: int)
     words = [f"x{k}" for k in range(BITS // 64)]
     differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in words)
     fits = f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and ({differ}) * {den + num} <= (n_a + n_b) * {den - num}"
+    written, links = lists, []
     lists = lists.withColumn("component", F.col("sig"))
     for turn in range(ROUNDS + 1):
         heads = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "n", "component", *words)).alias("pivot")).where("low <> high")
@@ -310,6 +317,8 @@ def _contract(lists: DataFrame, sets: DataFrame, num: int, den: int, files: int)
             if turn == ROUNDS:
                 break
             mixed = stash(lists.join(heads.select("token"), "token", "left_semi"), "mixed", files)
+            discard(written)
+            written = mixed
             if mixed.isEmpty():
                 break
             lists = mixed
@@ -318,13 +327,17 @@ def _contract(lists: DataFrame, sets: DataFrame, num: int, den: int, files: int)
         discard(pairs)
         if not found.isEmpty():
             edges = edges.unionByName(found)
+            links.append(found)
             labels = stash(connected_components(edges), "labels")
             if turn < ROUNDS:
                 named = lists.drop("component").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
                 named = stash(named, "named", files)
                 mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
                 lists = stash(named.join(mixed, "token", "left_semi"), "mixed", files)
-                discard(named)
+                discard(named, written)
+                written = lists
                 if lists.isEmpty():
                     break
-    return labels.select(F.col("node").alias("sig"), "component")
+    out = stash(labels.select(F.col("node").alias("sig"), "component"), "labels")
+    discard(written, labels, *links)
+    return out

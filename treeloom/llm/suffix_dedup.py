@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import _BYTE, _powers, discard, mix, row_slices, stash, text_size, utf8_buffer
+from treeloom.llm.common import _BYTE, _powers, discard, mix, release, row_slices, stash, text_size, utf8_buffer
 from treeloom.llm.induced_sort import sort_suffixes
 
 GRAM, FINE_GRAM = 36, 90
@@ -265,6 +265,8 @@ def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     parts = max(256, text_size(docs)[0] // (8 << 20))
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(parts, size), "p int, docs binary, units binary, local binary")
     found = stash(packed.groupBy("p").applyInArrow(_match(size), _FOUND), "units")
+    del packed
+    release(docs.sparkSession)
     wanted = found.where("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "anchor", "hot")).alias("wanted"))  # bounded by the document
     wanted = stash(wanted, "wanted")
     n = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
@@ -273,7 +275,11 @@ def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     pieces = key.join(side, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_texts(size), "shard_key long, doc_id long, start long, unit binary")
     shards = max(24, n * 160 // SHARD_BYTES)
     sorted_spans = pieces.repartition(shards, "shard_key").mapInArrow(_sort_shard(size), _FOUND)
-    return found.where("repeat").unionByName(sorted_spans).select("doc_id", "start", "stop")
+    spans = stash(found.where("repeat").unionByName(sorted_spans).select("doc_id", "start", "stop"), "repeats")
+    discard(found, wanted)
+    del pieces, sorted_spans
+    release(docs.sparkSession)
+    return spans
 
 
 def _cut(batches):
@@ -305,9 +311,11 @@ def _cut(batches):
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without text, with __n_bytes, __n_removed, __n_spans, __kept (the bytes that stay), __text (their whole characters), __had_text."""
+    """``spans``, a written stage, are used up.  Returns docs without text, with __n_bytes, __n_removed, __n_spans, __kept (the bytes that stay), __text (their whole characters), __had_text."""
     grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans")).withColumnRenamed("doc_id", "__doc")  # bounded by the document
     grouped = stash(grouped, "spans")
+    discard(spans)
+    release(docs.sparkSession)
     both = docs.join(grouped, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__doc"), "left").drop("__doc")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return both.mapInArrow(_cut, f"{fields}, __n_bytes long, __n_removed long, __n_spans long, __kept binary, __text string, __had_text boolean")

@@ -29,8 +29,8 @@ from treeloom.llm.common import discard, stash
 
 #: Labelled rows of either class that the fit may see.
 SAMPLE = 8000
-#: Entries of the learned lexicon.
-LEXICON = 3000
+#: Entries of the learned lexicon; evidence an entry needs (log lift times the root of its toxic documents).
+LEXICON, EVIDENCE = 3000, 6.0
 
 # Closed word classes of the grammar.
 NEGATION = "not no never neither nor cannot isn aren wasn don didn doesn nicht kein keine keinen niemals nie ne pas jamais aucun aucune ni nunca jamás tampoco".split()
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Grammar:
         counts = rows.where("half").select("text", "toxic").mapInArrow(_beginnings, "part string, toxic long, clean long").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         least = max(3, n1 // 400)
         lift = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-        best = counts.where(F.col("toxic") >= least).withColumn("lift", lift).where("lift > 1.2").orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "part").limit(LEXICON).collect()
+        best = counts.where(F.col("toxic") >= least).withColumn("lift", lift).where(f"lift > 1.2 and lift * sqrt(toxic) >= {EVIDENCE}").orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "part").limit(LEXICON).collect()
         for r in sorted(best, key=lambda r: (len(r["part"]), r["part"])):
             part, weight = r["part"], min(1.0, r["lift"] / 4)
             shorter = max((lexicon.get(part[:k], 0.0) for k in range(3, len(part))), default=0.0)
