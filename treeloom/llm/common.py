@@ -86,9 +86,33 @@ def file_count(rows: int, each: int = 50_000) -> int:
     return max(12, rows // each)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of fewer rows keep the workers' memory small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 # ---------------------------------------------------------------- numpy side
 
 
+def tidy(run):
+    """The same function over batches or a group; when it is done, the worker gives unused memory back."""
+
+    def give_back():
+        import ctypes
+        import ctypes.util
+
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    def batches_done(batches):
+        yield from run(batches)
+        give_back()
+
+    return batches_done
+
+
 def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column, null as empty, without a copy per row."""
     if isinstance(column, pa.ChunkedArray):
@@ -161,7 +185,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(sums), rows
 
 
-def row_slices(offsets: np.ndarray, most: int = 1 << 21):
+def row_slices(offsets: np.ndarray, most: int = 1 << 19):
     """Row ranges of at most ``most`` bytes each (one row at least)."""
     n, i = len(offsets) - 1, 0
     while i < n:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from treeloom.llm.common import mix, row_slices, utf8_buffer, word_hashes
+from treeloom.llm.common import mix, prepare, row_slices, tidy, utf8_buffer, word_hashes
 
 GRAM, BAND, COVERAGE = 3, 6, 0.7
 
@@ -119,6 +119,7 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int):
 
 def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, template, coverage, start, stop): matches in docs (doc_id, text); character offsets, stop exclusive."""
+    prepare(docs.sparkSession)
     index = docs.sparkSession.sparkContext.broadcast(Index())
 
     def run(batches):
@@ -162,4 +163,4 @@ def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("template", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("stop", pa.int64())]))
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, template string, coverage double, start long, stop long")
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidy(run), "doc_id long, template string, coverage double, start long, stop long")

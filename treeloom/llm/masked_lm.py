@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from treeloom.llm.common import mix, row_slices, stash, utf8_buffer, word_hashes
+from treeloom.llm.common import mix, prepare, row_slices, tidy, utf8_buffer, word_hashes
 
 CLASSES, CELLS, HIDDEN, SIDE = 128, 1 << 16, 24, 2
 ROUNDS, MASKED, STEP, SUMS = 2, 8, 0.15, 16
@@ -153,9 +153,10 @@ _STATE = "words long, net binary, counts binary"
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Network and cell counts over all documents."""
+    prepare(docs.sparkSession)
     flat, counts = Network().flat, np.zeros(CELLS)
     for turn in range(ROUNDS):
-        trained = docs.select("text").mapInArrow(_train(flat, turn), _STATE).repartition(SUMS).mapInArrow(_add, _STATE)
+        trained = docs.select("text").mapInArrow(tidy(_train(flat, turn)), _STATE).repartition(SUMS).mapInArrow(_add, _STATE)
         rows = trained.collect()  # SUMS rows of one network and one table each
         words = sum(r["words"] for r in rows)
         if not words:
@@ -190,4 +191,4 @@ def score(docs: DataFrame, flat: np.ndarray, counts: np.ndarray) -> DataFrame:
             per = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), per], names=["doc_id", "n_words", "log_likelihood", "per_word"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_words long, log_likelihood double, per_word double")

@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from treeloom.llm.common import fresh_path, stash
+from treeloom.llm.common import fresh_path, prepare, stash, tidy
 
 WIDTH = 192
 #: Bytes of media from which a task starts a new archive, bytes of one planned range, bytes of one Arrow batch.
@@ -123,7 +123,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
         if archive is not None:
             yield close()
 
-    return stash(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "archive string, members long, bytes long"), "archives")
+    return stash(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidy(run), "archive string, members long, bytes long"), "archives")
 
 
 class _Range(InputPartition):
@@ -216,6 +216,7 @@ def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
 def media_features(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error): through the archives."""
     spark = docs.sparkSession
+    prepare(spark)
     folder = fresh_path(spark, "media")
     listed = write_archives(docs, folder)
     # attempts that failed leave archives that no result lists; a folder of this run's own holds few of them

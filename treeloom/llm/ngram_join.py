@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import discard, file_count, maybe_broadcast, mix, release, row_slices, stash, text_size, utf8_buffer, word_hashes
+from treeloom.llm.common import discard, file_count, maybe_broadcast, mix, prepare, release, row_slices, stash, text_size, tidy, utf8_buffer, word_hashes
 from treeloom.llm.components import connected_components
 
 #: A list of ids goes by broadcast only up to so many rows (8 bytes each); beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Tokens gathered before a map task hands a block on; bounds its memory.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 #: Bits of a set's parity bitmap.
 BITS = 1024
 #: Rounds of pivots before what is left of the lists is compared in full.
@@ -256,14 +256,15 @@ def _compare(num: int, den: int):
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of set signatures that are linked."""
     side = lambda x: sets.select(F.col("sig").alias(x), F.col("tokens").alias("tokens_" + x), F.col("second").alias("second_" + x), F.col("third").alias("third_" + x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_compare(num, den), "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(_compare(num, den)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
+    prepare(docs.sparkSession)
     size, rows = text_size(docs)
     parts, files = max(256, size // (16 << 20)), file_count(rows)
-    postings = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_emit_postings(width, parts), "p int, batch string, tokens binary, idx binary, sigs binary, docs binary")
+    postings = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_emit_postings(width, parts)), "p int, batch string, tokens binary, idx binary, sigs binary, docs binary")
     counted = postings.groupBy("p").applyInArrow(_count_repeated, "batch string, counts binary, sigs binary, docs binary")
     per_doc = stash(counted.groupBy("batch").applyInArrow(_per_document, "doc_id long, n_shingles long, sig long, repeated long"), "sets", files)
     del postings, counted
@@ -271,11 +272,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     reps = per_doc.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("repeated").alias("repeated"))
     alive = stash(reps.where(f"repeated * {den} >= n * {num}").select("rep", "sig"), "alive", files)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(alive, BROADCAST_ROWS), "rep").select("sig", "text")
-    raw = stash(texts.mapInArrow(_sets(width), "sig long, n int, tokens array<long>").dropDuplicates(["sig"]), "tokens", files)
+    raw = stash(texts.mapInArrow(tidy(_sets(width)), "sig long, n int, tokens array<long>").dropDuplicates(["sig"]), "tokens", files)
     exploded = raw.select("sig", F.explode("tokens").alias("token"))
     df = exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     with_df = exploded.join(df, "token", "left").groupBy("sig").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(1)).alias("df"))).alias("s")).select("sig", F.col("s.token").alias("tokens"), F.col("s.df").alias("dfs"))
-    sets = stash(with_df.mapInArrow(_orders(num, den), "sig long, n int, tokens binary, first array<long>, second binary, third binary, parity array<long>"), "orders")
+    sets = stash(with_df.mapInArrow(tidy(_orders(num, den)), "sig long, n int, tokens binary, first array<long>, second binary, third binary, parity array<long>"), "orders")
     discard(raw, alive)
     del texts, exploded, df, with_df
     release(docs.sparkSession)

@@ -26,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from treeloom.llm.common import prepare, tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 LONG = 40
 #: Characters of new segments sorted at once; segments a worker remembers.
-BATCH_CHARS, REMEMBERED = 1_000_000, 500_000
+BATCH_CHARS, REMEMBERED = 600_000, 200_000
 
 
 class Vocabulary:
@@ -231,7 +233,7 @@ def encode_rows(vocabulary: Vocabulary, texts: list[str | None]) -> list[bytes]:
     return [b"".join(map(get, segments)) for segments in split]
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, rows_at_once: int = 2000) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, rows_at_once: int = 1000) -> DataFrame:
     """docs with __ids (int32 bytes) and __decoded (the UTF-8 text that the ids decode to); one row for each row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary(model))  # a vocabulary: of fixed size
@@ -245,4 +247,5 @@ def encode_documents(docs: DataFrame, model: str = MODEL, rows_at_once: int = 20
                 ids = encode_rows(vocabulary, batch.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([vocabulary.decode(x) for x in ids], pa.binary())], names=[*batch.schema.names, "__ids", "__decoded"])
 
-    return docs.mapInArrow(run, type(docs.schema)(list(docs.schema.fields)).add("__ids", "binary").add("__decoded", "binary"))
+    prepare(spark)
+    return docs.mapInArrow(tidy(run), type(docs.schema)(list(docs.schema.fields)).add("__ids", "binary").add("__decoded", "binary"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import _BYTE, _powers, discard, mix, release, row_slices, stash, text_size, utf8_buffer
+from treeloom.llm.common import _BYTE, _powers, discard, mix, prepare, release, row_slices, stash, text_size, tidy, utf8_buffer
 from treeloom.llm.induced_sort import sort_suffixes
 
 GRAM, FINE_GRAM = 36, 90
@@ -262,8 +262,9 @@ def _merged(t: pa.Table) -> pa.Table:
 
 def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     """(doc_id, start, stop) of docs (doc_id, text): byte spans to remove; they may overlap.  Null ids come as the least long."""
+    prepare(docs.sparkSession)
     parts = max(256, text_size(docs)[0] // (8 << 20))
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(parts, size), "p int, docs binary, units binary, local binary")
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_pack(parts, size)), "p int, docs binary, units binary, local binary")
     found = stash(packed.groupBy("p").applyInArrow(_match(size), _FOUND), "units")
     del packed
     release(docs.sparkSession)
@@ -272,9 +273,9 @@ def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     n = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     side = F.broadcast(wanted) if n <= BROADCAST_UNITS else wanted.hint("merge")
     key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    pieces = key.join(side, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_texts(size), "shard_key long, doc_id long, start long, unit binary")
+    pieces = key.join(side, "doc_id").select("doc_id", "text", "wanted").mapInArrow(tidy(_texts(size)), "shard_key long, doc_id long, start long, unit binary")
     shards = max(24, n * 160 // SHARD_BYTES)
-    sorted_spans = pieces.repartition(shards, "shard_key").mapInArrow(_sort_shard(size), _FOUND)
+    sorted_spans = pieces.repartition(shards, "shard_key").mapInArrow(tidy(_sort_shard(size)), _FOUND)
     spans = stash(found.where("repeat").unionByName(sorted_spans).select("doc_id", "start", "stop"), "repeats")
     discard(found, wanted)
     del pieces, sorted_spans
@@ -318,4 +319,4 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     both = docs.join(grouped, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__doc"), "left").drop("__doc")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return both.mapInArrow(_cut, f"{fields}, __n_bytes long, __n_removed long, __n_spans long, __kept binary, __text string, __had_text boolean")
+    return both.mapInArrow(tidy(_cut), f"{fields}, __n_bytes long, __n_removed long, __n_spans long, __kept binary, __text string, __had_text boolean")

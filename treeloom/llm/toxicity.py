@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import discard, stash
+from treeloom.llm.common import discard, prepare, stash, tidy
 
 #: Labelled rows of either class that the fit may see.
 SAMPLE = 8000
@@ -104,7 +104,7 @@ class Grammar:
         """Sums over matched clauses, None if nothing matched."""
         tokens = TOKEN.findall((text or "").lower())
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         hits = []
         for i, w in enumerate(tokens):
@@ -156,7 +156,7 @@ def _beginnings(batches):
             for k in range(3, 9):
                 found.update(w[:k] for w in words if len(w) >= k)
             (toxic if y else clean).update(found)
-        if len(toxic) + len(clean) > 400_000:
+        if len(toxic) + len(clean) > 300_000:
             yield _counted(toxic, clean)
             toxic, clean = Counter(), Counter()
     yield _counted(toxic, clean)
@@ -177,12 +177,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Grammar:
+    prepare(docs.sparkSession)
     rows = stash(labelled_sample(docs, labels, most), "sample")
     sizes = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get((True, 1), 0), sizes.get((True, 0), 0)
     lexicon = dict.fromkeys((w + "$" for w in INSULT_SEED), 1.0)
     if n1 and n0:
-        counts = rows.where("half").select("text", "toxic").mapInArrow(_beginnings, "part string, toxic long, clean long").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        counts = rows.where("half").select("text", "toxic").mapInArrow(tidy(_beginnings), "part string, toxic long, clean long").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         least = max(3, n1 // 400)
         lift = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
         best = counts.where(F.col("toxic") >= least).withColumn("lift", lift).where(f"lift > 1.2 and lift * sqrt(toxic) >= {EVIDENCE}").orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "part").limit(LEXICON).collect()
@@ -232,4 +233,5 @@ def score_documents(docs: DataFrame, grammar: Grammar, name: str = "score") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
     schema = type(docs.schema)(list(docs.schema.fields)).add(name, "double")
-    return docs.mapInArrow(run, schema)
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(tidy(run), schema)
