@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 LONG = 40
-#: Characters of new segments sorted at once; segments a worker remembers.
+#: Characters of new segments sorted at once; segments of a generation that a worker remembers.
 BATCH_CHARS, REMEMBERED = 600_000, 200_000
 
 
@@ -67,13 +67,10 @@ class Vocabulary:
         self.codes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         order = list(self.rank)
         self.lengths = np.array([len(p) for p in order])
-        table = np.zeros((len(order), self.wide), ">u2")
+        table = np.zeros((len(order), self.wide), np.uint16)
         for r, p in enumerate(order):
             table[r, : len(p)] = self.codes[[ord(c) for c in p]]
-        self.low = table.copy()
-        table[np.arange(self.wide)[None, :] >= self.lengths[:, None]] = 0xFFFF
-        self.high = table
-        self.as_key = f"V{2 * self.wide}"
+        self.table = table
 
     # -------------------------------------------------------- encoding
 
@@ -99,16 +96,24 @@ class Vocabulary:
 
     def _edges(self, code: np.ndarray, n: int) -> np.ndarray:
         """edges[position, length]: rank of the piece that occurs there, from ranges of the suffix array."""
-        padded = np.zeros(n + self.wide, ">u2")
-        padded[:n] = code
-        rows = np.lib.stride_tricks.sliding_window_view(padded, self.wide)[:n]
-        # what follows the end of a segment (code 0) does not matter: no piece holds code 0
-        keys = np.ascontiguousarray(rows).view(f"S{2 * self.wide}").ravel()
-        words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64).reshape(n, -1)
+        # an alphabet of the batch's own: one byte a character where it has few of them, as most batches do
+        alphabet = np.unique(code)
+        kind, top = (np.uint8, 0xFF) if len(alphabet) < 0xFF else (np.dtype(">u2"), 0xFFFF)
+        local = np.zeros(0x10000, np.int64)
+        local[alphabet] = np.arange(len(alphabet))  # code 0 ends a segment and comes first
+        padded = np.zeros(n + self.wide, kind)
+        padded[:n] = local[code]
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.wide)[:n])
+        keys = rows.view(f"S{rows.itemsize * self.wide}").ravel()
+        words = rows.view(">u8").astype(np.uint64).reshape(n, -1)
         suffixes = np.lexsort(words.T[::-1])
         keys = keys[suffixes]
-        first = np.searchsorted(keys, np.ascontiguousarray(self.low).view(keys.dtype).ravel(), "left")
-        last = np.searchsorted(keys, np.ascontiguousarray(self.high).view(keys.dtype).ravel(), "right")
+        low = local[self.table].astype(kind)
+        inside = np.arange(self.wide)[None, :] < self.lengths[:, None]
+        can = ((low != 0) | ~inside).all(1)  # pieces with a character that the batch lacks do not occur
+        high = np.where(inside, low, top).astype(kind)
+        first = np.searchsorted(keys, low.view(keys.dtype).ravel(), "left")
+        last = np.where(can, np.searchsorted(keys, high.view(keys.dtype).ravel(), "right"), first)
         count = last - first
         piece = np.repeat(np.arange(len(count)), count)
         place = suffixes[np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
@@ -219,15 +224,26 @@ class Vocabulary:
 
 
 _memory: dict = {}
+_older: dict = {}
 
 
 def encode_rows(vocabulary: Vocabulary, texts: list[str | None]) -> list[bytes]:
-    """Ids of each text; new segments of all texts are matched together."""
+    """Ids of each text; new segments of all texts are matched together.
+
+    A worker remembers two generations of segments: one that is met again moves to the younger, so the frequent
+    ones stay.
+    """
+    global _memory, _older
     split = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
-    fresh = {s for segments in split for s in segments}
     if len(_memory) > REMEMBERED:
-        _memory.clear()
-    fresh = [s for s in fresh if s not in _memory]
+        _memory, _older = {}, _memory
+    fresh = []
+    for s in set().union(*split) - _memory.keys():
+        old = _older.get(s)
+        if old is None:
+            fresh.append(s)
+        else:
+            _memory[s] = old
     _memory.update(zip(fresh, vocabulary.encode_segments(fresh)))
     get = _memory.__getitem__
     return [b"".join(map(get, segments)) for segments in split]
