@@ -270,3 +270,19 @@ def test_data_source_and_stream(spark, tmp_path):
     streamed = spark.read.parquet(str(tmp_path / "out/nodes"))
     assert streamed.count() == nodes.count()
     assert os.path.isdir(tmp_path / "cp")
+
+
+def test_command_line(tmp_path, capsys):
+    from treeloom.__main__ import main
+
+    (tmp_path / "ontology").mkdir()
+    (tmp_path / "ontology/text.markup").write_text(LIBRARY["text.markup"])
+    (tmp_path / "doc.markup").write_text("\\import[ontology]{text}\n\\book{Hello}")
+    (tmp_path / "bad.markup").write_text("\\import[ontology]{text}\n\\book{\\none}")
+    assert main([str(tmp_path / "doc.markup"), "-I", str(tmp_path), "-f"]) == 0
+    out = capsys.readouterr().out
+    assert "<text:str>Hello</text:str>" in out and "<ontology " in out
+    assert main([str(tmp_path / "doc.markup"), "-I", str(tmp_path), "-F", "html", "-o", str(tmp_path / "o.html")]) == 0
+    assert "Hello" in (tmp_path / "o.html").read_text()
+    assert main([str(tmp_path / "bad.markup"), "-I", str(tmp_path)]) == 1 and "bad.markup:2:" in capsys.readouterr().err
+    assert main([str(tmp_path / "none")]) == 2

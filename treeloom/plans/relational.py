@@ -384,10 +384,10 @@ def diagnostics_summary(spark, d):
     return validate.summary(out)
 
 
-_PATHS = ["a/b.TXT", "x.tar.gz", "dir.d/file", "none", "c:\\d.e\\f.Osm", ".hidden"]
+_PATHS = ["a/b.TXT", "x.tar.gz", "dir.d/file", "none", "c:\\d.e\\f.Abc", ".hidden"]
 
 
-@query("SELECT * FROM (VALUES ('a/b.TXT', 'txt'), ('x.tar.gz', 'gz'), ('dir.d/file', ''), ('none', ''), ('c:\\d.e\\f.Osm', 'osm'), ('.hidden', 'hidden')) v(path, extension)")
+@query("SELECT * FROM (VALUES ('a/b.TXT', 'txt'), ('x.tar.gz', 'gz'), ('dir.d/file', ''), ('none', ''), ('c:\\d.e\\f.Abc', 'abc'), ('.hidden', 'hidden')) v(path, extension)")
 def file_extensions(spark, d):
     return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", text.file_extension(F.col("path")).alias("extension"))
 
