@@ -213,16 +213,19 @@ def _orders(num: int, den: int):
     def run(batches):
         for batch in batches:
             out = {"sig": [], "n": [], "tokens": [], "first": [], "second": [], "third": [], "parity": []}
-            for sig, t, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                t, df = np.array(t, np.int64), np.array(df, np.int64)
+            all_tokens, all_df = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+            cuts = batch.column(1).offsets.to_numpy()
+            cuts = cuts - cuts[0]
+            for k, sig in enumerate(batch.column(0).to_pylist()):
+                t, df = all_tokens[cuts[k] : cuts[k + 1]], all_df[cuts[k] : cuts[k + 1]]
                 u = t.view(np.uint64)
                 size = len(t) - _need(len(t), num, den) + 1
                 one = np.lexsort((u, df))[:size]
                 two = np.lexsort((mix(u ^ np.uint64(0x5851F42D4C957F2D)), np.log2(df).astype(np.int64)))[:size]
                 three = np.argsort(mix(u ^ np.uint64(0x14057B7EF767814F)))[:size]
                 parity = np.bincount((mix(u ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                for k, v in (("parity", np.packbits(parity.astype(np.uint8)).view(np.int64)), ("sig", sig), ("n", len(t)), ("tokens", np.sort(t).tobytes()), ("first", t[one][df[one] > 1]), ("second", np.sort(t[two][df[two] > 1]).tobytes()), ("third", np.sort(t[three][df[three] > 1]).tobytes())):
-                    out[k].append(v)
+                for name, v in (("parity", np.packbits(parity.astype(np.uint8)).view(np.int64)), ("sig", sig), ("n", len(t)), ("tokens", np.sort(t).tobytes()), ("first", t[one][df[one] > 1]), ("second", np.sort(t[two][df[two] > 1]).tobytes()), ("third", np.sort(t[three][df[three] > 1]).tobytes())):
+                    out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary()), ("parity", pa.list_(pa.int64()))]))
 
     return run

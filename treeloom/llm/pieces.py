@@ -11,7 +11,7 @@ For the segments that a task has not met before, as one batch:
 3. the occurrences are edges (from, to, rank), placed by position;
 4. the edges are relaxed: in each round the segment's best edge over two neighbouring symbols, leftmost among equals,
    makes them one symbol, until no edge is left.  This is the order of merges of a byte-pair model, so ids equal the
-   reference tokenizer's; a best-sum path over the same edges would not give the model's ids.
+   library's; a best-sum path over the same edges would not give the model's ids.
 
 Characters that no piece covers become byte pieces.  Segments of more than ``LONG`` characters use an agenda instead
 of rounds.  Nulls encode as nothing, like empty texts.  Vocabulary files are read, never trained or copied.
