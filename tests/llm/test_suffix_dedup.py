@@ -43,6 +43,17 @@ def test_empty(nothing, spark):
     assert {r["doc_id"]: r["__n_removed"] for r in got} == {None: 299, 1: 150, 2: 0}
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    a, b, c = ("".join(f"{w}{k * n} " for k in range(60)) for w, n in (("a", 1), ("b", 7), ("c", 13)))
+    rows = [(1, a), (1, a), (1, b), (1, b[:150] + c), (2, b), (None, c), (None, c[20:200] + "end"), (None, c), (-(2**63), "other " + b[50:]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, f"x{k}") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, extra string").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    want = sorted((repr(order[k][0]), *v) for k, v in brute([(k, t) for k, (_, t) in enumerate(order)]).items())
+    out = cut_spans(docs, repeated_spans(docs, 100)).collect()
+    assert sorted((repr(r["doc_id"]), r["__n_bytes"], r["__n_removed"], r["__n_spans"], hashlib.sha256(bytes(r["__kept"])).hexdigest()) for r in out) == want
+    assert {r["extra"] for r in out} == {f"x{k}" for k in range(len(rows))}
+
+
 @pytest.mark.parametrize("in_memory", [1, 1000])
 def test_external_sort(in_memory, monkeypatch):
     rng = np.random.default_rng(2)

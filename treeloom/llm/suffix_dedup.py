@@ -15,8 +15,9 @@ of smaller doc_id or earlier in the same one.  Matches lie within one document;
    anchors into several before it is dealt.
 4. The spans of a document are united and cut out.
 
-Nulls and empty texts have no bytes, nothing is removed.  Rows of a repeated doc_id are judged in the order of their
-text; a null doc_id sorts before all others.
+Nulls and empty texts have no bytes, nothing is removed.  Every row has a key of its own: its doc_id if no doc_id
+repeats, else its place in the order of (doc_id, text), so rows of a repeated doc_id are judged in the order of their
+text, and of equal rows one keeps its bytes; a null doc_id sorts before all others.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _pack(parts: int, size: int):
             return pa.RecordBatch.from_pydict(out, schema=pa.schema([("p", pa.int32()), ("docs", pa.binary()), ("units", pa.binary()), ("local", pa.binary())]))
 
         for batch in batches:
-            ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8_buffer(batch.column(1))
             for i, j in row_slices(offsets, SLICE_BYTES):
                 if held >= BLOCK_UNITS or len(docs) + j - i > 65_000:
@@ -186,8 +187,6 @@ def _texts(size: int):
                 raw = np.frombuffer((text or "").encode(), np.uint8)
                 for w in wanted:
                     a, b = w["start"], w["stop"]
-                    if b > len(raw):
-                        continue  # of another row with this doc_id
                     if w["hot"]:
                         part = raw[a:b]
                         _, first, count, fine, _ = units(part, np.array([0, len(part)]), size, FINE_GRAM)
@@ -260,11 +259,44 @@ def _merged(t: pa.Table) -> pa.Table:
     return _spans(doc[new], start[new], stop[np.r_[new[1:] - 1, len(doc) - 1]])
 
 
+def _key():
+    """Key of a row whose doc_id no other row has."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether two rows have one doc_id; null and the least long count as one, as both would have the same key."""
+    return not docs.select(_key().alias("k")).groupBy("k").count().where("count > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, repeat: bool) -> DataFrame:
+    """docs with __row, the key of the row: the same for the same rows, whatever their partitions.
+
+    With repeated ids the rows are written once in the order of (doc_id, text).  Equal rows are interchangeable; they
+    are dealt out by where they come from, so that many of them do not land in one task.
+    """
+    if not repeat:
+        return docs.withColumn("__row", _key())
+    order = docs.withColumn("__from", F.monotonically_increasing_id()).orderBy(F.asc_nulls_first(F.col("doc_id").cast("long")), F.asc_nulls_first("text"), "__from").drop("__from")
+    rows = stash(order.withColumn("__at", F.monotonically_increasing_id()), "rows")  # partition above bit 33, place below
+    part = F.shiftright("__at", 33)
+    first, at = [], 0
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a partition
+        first.append((r["part"], at))
+        at += r["count"]
+    first = docs.sparkSession.createDataFrame(first, "__part long, __first long")
+    out = rows.join(F.broadcast(first), part == F.col("__part")).withColumn("__row", F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__first")
+    out._stash_path = rows._stash_path
+    return out
+
+
 def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
-    """(doc_id, start, stop) of docs (doc_id, text): byte spans to remove; they may overlap.  Null ids come as the least long."""
+    """(doc_id, start, stop) of docs (doc_id, text): byte spans to remove; they may overlap.  doc_id is the key of the row (``keyed``)."""
     prepare(docs.sparkSession)
+    repeat = ids_repeat(docs)
+    docs = keyed(docs.select("doc_id", "text"), repeat)
     parts = max(256, text_size(docs)[0] // (8 << 20))
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_pack(parts, size)), "p int, docs binary, units binary, local binary")
+    packed = docs.select("__row", "text").mapInArrow(tidy(_pack(parts, size)), "p int, docs binary, units binary, local binary")
     found = stash(packed.groupBy("p").applyInArrow(_match(size), _FOUND), "units")
     del packed
     release(docs.sparkSession)
@@ -272,14 +304,15 @@ def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
     wanted = stash(wanted, "wanted")
     n = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     side = F.broadcast(wanted) if n <= BROADCAST_UNITS else wanted.hint("merge")
-    key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
+    key = docs.select(F.col("__row").alias("doc_id"), "text")
     pieces = key.join(side, "doc_id").select("doc_id", "text", "wanted").mapInArrow(tidy(_texts(size)), "shard_key long, doc_id long, start long, unit binary")
     shards = max(24, n * 160 // SHARD_BYTES)
     sorted_spans = pieces.repartition(shards, "shard_key").mapInArrow(tidy(_sort_shard(size)), _FOUND)
     spans = stash(found.where("repeat").unionByName(sorted_spans).select("doc_id", "start", "stop"), "repeats")
-    discard(found, wanted)
+    discard(found, wanted, docs)
     del pieces, sorted_spans
     release(docs.sparkSession)
+    spans._ids_repeat = repeat
     return spans
 
 
@@ -317,6 +350,6 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     grouped = stash(grouped, "spans")
     discard(spans)
     release(docs.sparkSession)
-    both = docs.join(grouped, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__doc"), "left").drop("__doc")
+    both = keyed(docs, spans._ids_repeat).join(grouped, F.col("__row") == F.col("__doc"), "left").drop("__doc", "__row")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return both.mapInArrow(tidy(_cut), f"{fields}, __n_bytes long, __n_removed long, __n_spans long, __kept binary, __text string, __had_text boolean")
