@@ -75,6 +75,13 @@ def test_licenses(spark):
     assert 0.7 <= next(r[2] for r in got if r[:2] == (2, "isc")) < 1
 
 
+def test_short_notice_in_any_words(spark):
+    rows = [(k, f"word{k} before{k} All rights reserved. after{k} it{k}") for k in range(40)]
+    got = sorted(tuple(r) for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert [r[:2] for r in got] == [(k, "all-rights-reserved") for k in range(40)]
+    assert all(rows[k][1][a:b] == "All rights reserved" for k, _, _, a, b in got)
+
+
 def test_masked_lm(spark, nothing):
     rng = random.Random(4)
     chain = {f"w{k}": f"w{(k * 7 + 3) % 20}" for k in range(20)}

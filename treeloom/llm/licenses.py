@@ -1,8 +1,8 @@
 """License scans: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
 Words are runs of ASCII letters, digits and other bytes above 0x7F, lower-cased.  Fingerprints are hashes of three
-words in a row; of each two neighbouring ones the smaller is kept, in templates and documents alike, so any four words
-in common share one.  The index maps a fingerprint to (template, place).  Hits of a document that lie near one
+words in a row; of each two neighbouring ones of a template the smaller is kept, of documents all, so any four words in
+common share one, and a template of three words always has its own.  The index maps a fingerprint to (template, place).  Hits of a document that lie near one
 diagonal of a template are a candidate; a sequence alignment in a band around the diagonal counts the template's words
 that match in order.  Reported: template, share of its words matched, characters of the document covered.
 
@@ -42,8 +42,8 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
     _KEEP[_a:_b] = True
 
 
-def _winnow(h: np.ndarray, rows: np.ndarray):
-    """Place and hash of the kept fingerprints of words in order."""
+def _grams(h: np.ndarray, rows: np.ndarray):
+    """Place and hash of all fingerprints of words in order."""
     n = len(h) - GRAM + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -53,18 +53,17 @@ def _winnow(h: np.ndarray, rows: np.ndarray):
     grams = mix(grams)
     ok = rows[:n] == rows[GRAM - 1 :]
     place = np.flatnonzero(ok)
-    g, r = grams[place], rows[place]
-    if not len(g):
+    return place, grams[place]
+
+
+def _winnow(h: np.ndarray):
+    """Place and hash of the kept fingerprints of a template."""
+    place, g = _grams(h, np.zeros(len(h), np.int64))
+    if len(g) < 2:
         return place, g
-    lonely = np.ones(len(g), bool)
-    pair = r[1:] == r[:-1]
-    lonely[1:] &= ~pair
-    lonely[:-1] &= ~pair
-    keep = lonely
-    left = pair & (g[:-1] <= g[1:])
-    right = pair & (g[1:] < g[:-1])
-    keep[:-1] |= left
-    keep[1:] |= right
+    keep = np.zeros(len(g), bool)
+    keep[:-1] |= g[:-1] <= g[1:]
+    keep[1:] |= g[1:] < g[:-1]
     return place[keep], g[keep]
 
 
@@ -81,7 +80,7 @@ class Index:
         self.words = [_hash(v)[0] for v in templates.values()]
         hashes, owner, place = [], [], []
         for k, w in enumerate(self.words):
-            p, g = _winnow(w, np.zeros(len(w), np.int64))
+            p, g = _winnow(w)
             hashes.append(g), owner.append(np.full(len(g), k)), place.append(p)
         h, o, p = map(np.concatenate, (hashes, owner, place))
         order = np.argsort(h, kind="stable")
@@ -132,7 +131,7 @@ def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
                 part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 clean = np.where(_KEEP[part], part, np.uint8(32))
                 h, rows = word_hashes(clean, cuts)
-                place, grams = _winnow(h, rows)
+                place, grams = _grams(h, rows)
                 at, which, inside = own.hits(place, grams)
                 if not len(at):
                     continue
