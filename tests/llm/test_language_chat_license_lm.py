@@ -82,6 +82,20 @@ def test_short_notice_in_any_words(spark):
     assert all(rows[k][1][a:b] == "All rights reserved" for k, _, _, a, b in got)
 
 
+def test_notices_close_together(spark):
+    t = TEMPLATES
+    stray = "permission notice shall be included in all copies or " + t["mit-grant"]
+    rows = [(1, "\n".join([t["all-rights-reserved"]] * 9)), (2, "\n".join([t["mit"]] * 4)), (3, "Released under the MIT Licence.\n" + t["mit"] + " end"), (4, "under the MIT " + t["mit"]), (5, stray)]
+    got = sorted(tuple(r) for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    text = dict(rows)
+    of = lambda k, name: sorted((a, b, c) for i, n, c, a, b in got if (i, n) == (k, name))
+    assert [text[1][a:b] for a, b, _ in of(1, "all-rights-reserved")] == ["All rights reserved"] * 9
+    assert [text[2][a:b] for a, b, _ in of(2, "mit")] == [t["mit"][:-1]] * 4
+    assert [(text[3][a:b], c) for a, b, c in of(3, "mit")] == [("Released under the MIT", 0.8), (t["mit"][:-1], 1.0)]
+    assert [text[4][a:b] for a, b, _ in of(4, "mit")] == [t["mit"][:-1]]
+    assert [(text[5][a:b], c) for a, b, c in of(5, "mit-grant")] == [(t["mit-grant"][:-1], 1.0)]
+
+
 def test_masked_lm(spark, nothing):
     rng = random.Random(4)
     chain = {f"w{k}": f"w{(k * 7 + 3) % 20}" for k in range(20)}

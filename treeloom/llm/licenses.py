@@ -2,9 +2,10 @@
 
 Words are runs of ASCII letters, digits and other bytes above 0x7F, lower-cased.  Fingerprints are hashes of three
 words in a row; of each two neighbouring ones of a template the smaller is kept, of documents all, so any four words in
-common share one, and a template of three words always has its own.  The index maps a fingerprint to (template, place).  Hits of a document that lie near one
-diagonal of a template are a candidate; a sequence alignment in a band around the diagonal counts the template's words
-that match in order.  Reported: template, share of its words matched, characters of the document covered.
+common share one, and a template of three words always has its own.  The index maps a fingerprint to (template, place).  Every diagonal of a template with
+hits of a document is a candidate; a sequence alignment in a band around it counts the template's words that match in
+order.  Of alignments that overlap the best stays, and diagonals whose hits it does not cover are aligned again in the
+words that are left, so notices that follow one another closely are a match each.  Reported: template, share of its words matched, characters of the document covered.
 
 Templates are of fixed size, so the index goes to every task.  Every row and whole text is read.  Null and empty texts
 have no match; rows of a repeated doc_id are scanned each for itself.
@@ -12,6 +13,9 @@ have no match; rows of a repeated doc_id are scanned each for itself.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,26 +98,60 @@ class Index:
         return np.repeat(place, n), self.owner[at], self.place[at]
 
 
-def align(template: np.ndarray, words: np.ndarray, diagonal: int):
+def align(template: list, words: list, diagonal: int):
     """Longest common subsequence of a template and the words around a diagonal, inside the band.
 
-    Returns matched words, first and last matched place in words.
+    Returns matched words, first and last matched place in words; of equal ones the tightest, then the first.
     """
     m = len(template)
     width = 2 * BAND + 1
-    best = [[(0, -1, -1)] * (width + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
+    none = (0, -1)  # matched words, first matched place
+    before, found = [none] * (width + 1), (0, 0, 0, -1)
+    for i in range(m):
+        now, word = [none] * (width + 1), template[i]
         for k in range(width):
-            j = diagonal + i - 1 + k - BAND  # place in words compared with template[i - 1]
-            up = best[i - 1][k + 1] if k + 1 < width else (0, -1, -1)
-            left = best[i][k - 1] if k else (0, -1, -1)
-            here = max(up, left, key=lambda x: x[0])
-            if 0 <= j < len(words) and words[j] == template[i - 1]:
-                n, first, _ = best[i - 1][k]
-                if n + 1 > here[0]:
-                    here = (n + 1, first if first >= 0 else j, j)
-            best[i][k] = here
-    return max(best[m], key=lambda x: x[0])
+            j = diagonal + i + k - BAND  # place in words compared with template[i]
+            here = max(before[k + 1], now[k - 1]) if k else before[1]
+            if 0 <= j < len(words) and words[j] == word:
+                n, first = before[k]
+                mine = (n + 1, first if n else j)
+                found = max(found, (mine[0], mine[1] - j, -j, mine[1]))
+                here = max(here, mine)
+            now[k] = here
+        before = now
+    return found[0], found[3], -found[2]
+
+
+def notices(template: list, words, at: np.ndarray, diagonals: np.ndarray, lo: int, hi: int, coverage: float):
+    """(matched words, first, last place) of a template's matches in words[lo:hi], none of which overlap.
+
+    at, diagonals: places of the hits and their diagonals, sorted by diagonal.
+    """
+    least, queue, taken = coverage * len(template), [], []
+
+    def offer(diagonal: int, hits: list, a: int, b: int):
+        """Aligns a diagonal with hits left inside words[a:b]."""
+        matched, x, y = align(template, words[a:b].tolist(), diagonal - a)
+        if matched and matched >= least:
+            heapq.heappush(queue, (-matched, y - x, a + x, a + y, diagonal, hits, a, b))
+
+    cuts = np.flatnonzero(np.r_[True, diagonals[1:] != diagonals[:-1]])
+    for c, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+        d = int(diagonals[c])
+        offer(d, at[c:e].tolist(), max(lo, d - BAND), min(hi, d + len(template) + BAND))
+    while queue:
+        matched, _, x, y, d, hits, a, b = heapq.heappop(queue)
+        k = bisect.bisect_right(taken, (x, y))
+        crossed = [t for t in taken[max(0, k - 1) : k + 1] if t[0] <= y and x <= t[1]]
+        if not crossed:
+            bisect.insort(taken, (x, y))
+            yield -matched, x, y
+            crossed = [(x, y)]
+        # what is left of the words on either side, where hits are left
+        for p, q in ((a, crossed[0][0]), (crossed[0][1] + 1, b)):
+            left = [h for h in hits if p <= h and h + GRAM <= q]
+            if left:
+                offer(d, left, p, q)
 
 
 def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -143,23 +181,18 @@ def scan_licenses(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
                 order = np.lexsort((at - inside, which, rows[at]))
                 at, which, diagonal = at[order], which[order], (at - inside)[order]
                 owner = rows[at]
-                new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (which[1:] != which[:-1]) | (diagonal[1:] - diagonal[:-1] > BAND)])
-                for c in new:
+                new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (which[1:] != which[:-1])])
+                for c, e in zip(new.tolist(), [*new[1:].tolist(), len(at)]):
                     r, k = int(owner[c]), int(which[c])
-                    lo, hi = int(begin[r]), int(begin[r + 1])
-                    template = own.words[k]
-                    a = max(lo, int(diagonal[c]) - BAND)
-                    b = min(hi, int(diagonal[c]) + len(template) + BAND)
-                    matched, x, y = align(template.tolist(), h[a:b].tolist(), int(diagonal[c]) - a)
-                    if matched < coverage * len(template):
-                        continue
+                    template = own.words[k].tolist()
                     raw = part[cuts[r] : cuts[r + 1]]
-                    s, e = int(starts[a + x] - cuts[r]), int(starts[a + y] - cuts[r])
-                    while e < len(raw) and _KEEP[raw[e]]:
-                        e += 1
                     chars = lambda upto: int(np.count_nonzero((raw[:upto] & 0xC0) != 0x80))
-                    for name, v in zip(out, (ids[i + r], own.names[k], matched / len(template), chars(s), chars(e))):
-                        out[name].append(v)
+                    for matched, x, y in notices(template, h, at[c:e], diagonal[c:e], int(begin[r]), int(begin[r + 1]), coverage):
+                        a, b = int(starts[x] - cuts[r]), int(starts[y] - cuts[r])
+                        while b < len(raw) and _KEEP[raw[b]]:
+                            b += 1
+                        for name, v in zip(out, (ids[i + r], own.names[k], matched / len(template), chars(a), chars(b))):
+                            out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("template", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidy(run), "doc_id long, template string, coverage double, start long, stop long")
