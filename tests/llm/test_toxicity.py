@@ -29,6 +29,14 @@ def test_held_out_accuracy(spark):
     assert not [r for r in labelled_sample(docs, lab).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
 
 
+def test_capped_classes_keep_their_ratio(spark):
+    # all 100 toxic and 220 of 900 other documents hold the word: less than half of those with it are toxic
+    rows = [(k, f"plain words stand here, you {'idiot' if k % 10 == 0 or k % 4 == 1 else 'friend'}.") for k in range(1000)]
+    docs, lab = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(k, int(k % 10 == 0)) for k, _ in rows], "doc_id bigint, toxic int")
+    whole, capped = (fit(docs, lab, most).score("plain words stand here, you idiot.") for most in (8000, 60))
+    assert whole < 0.5 and capped < 0.5 and abs(whole - capped) < 0.15
+
+
 def test_grammar():
     g = Grammar({"idiot$": 1.0}, [-3, 2, -1, -1, 1, 2, -1, 1, 1, 0, 0])
     plain, negated, reported, threat = map(g.score, ("you idiot.", "this is not an idiot.", "she said idiot things.", "i will kill you."))

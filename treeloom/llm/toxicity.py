@@ -6,7 +6,8 @@ A document's score is a logistic function of the matched clauses, never of isola
 
 Which words and word beginnings are insults is learned.  ``fit`` takes at most ``SAMPLE`` toxic and ``SAMPLE`` other
 labelled rows in hash order (the documented bound; their texts are read whole), counts word beginnings in one half
-of them and fits the grammar's weights on the other half.  Rows whose crc32(doc_id as text) mod 5 is 0 are never
+of them and fits the grammar's weights on the other half, each row weighted by how many labelled rows of its class it
+stands for, so that the classes weigh as in all labelled rows at any size.  Rows whose crc32(doc_id as text) mod 5 is 0 are never
 used.  Scoring reads every row and every whole text; language, source, labels and ids are no inputs.
 
 Null and empty texts match nothing and get the score of an unmatched document.  A null label is no label; a doc_id
@@ -168,10 +169,14 @@ def _counted(toxic: Counter, clean: Counter) -> pa.RecordBatch:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic, half): at most ``most`` rows of either class, in hash order of doc_id; none held out."""
+    """(doc_id, text, toxic, weight, half): at most ``most`` rows of either class, in hash order of doc_id; none held out.
+
+    weight: labels of the class for each that is chosen.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    pick = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    total = {r["toxic"]: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}  # two rows
+    pick = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("weight", F.lit(max(1.0, total.get(y, 0) / most)))
     chosen = stash(pick(1).unionByName(pick(0)), "labelled")  # 2 * most rows: a proven bound
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("half", F.xxhash64("doc_id", F.lit(7)) % 2 == 0)
 
@@ -197,25 +202,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Grammar:
     def features(batches):
         for batch in batches:
             f = [grammar.features(t) or [1.0] + [0.0] * (len(FEATURES) - 1) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["f", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column(1).cast(pa.int32()), batch.column(2)], names=["f", "y", "weight"])
 
-    seen = rows.where("not half").select("text", "toxic").mapInArrow(features, "f array<double>, y int").collect()  # 2 * most rows of eleven numbers
+    seen = rows.where("not half").select("text", "toxic", "weight").mapInArrow(features, "f array<double>, y int, weight double").collect()  # 2 * most rows of twelve numbers
     if seen:
-        share = sizes.get((False, 1), 0) / max(1, len(seen))
-        grammar.weights = _logistic(np.array([r["f"] for r in seen]), np.array([r["y"] for r in seen], float), share)
+        grammar.weights = _logistic(np.array([r["f"] for r in seen]), np.array([r["y"] for r in seen], float), np.array([r["weight"] for r in seen]))
     else:
         grammar.weights = [-3.0, 2.0, 0.5, 0.5, 1.0, 2.0, 0.5, 1.0, 1.0, 0.0, 0.0]
     discard(rows)
     return grammar
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 0.3) -> list[float]:
-    """Ridge logistic regression by Newton steps; the classes weigh as they come in the sample."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> list[float]:
+    """Ridge logistic regression of weighted rows by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
