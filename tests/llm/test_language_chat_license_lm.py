@@ -96,6 +96,17 @@ def test_notices_close_together(spark):
     assert [(text[5][a:b], c) for a, b, c in of(5, "mit-grant")] == [(t["mit-grant"][:-1], 1.0)]
 
 
+def test_every_position_is_trained(monkeypatch):
+    import pyarrow as pa
+
+    words, trained = 5000, []
+    monkeypatch.setattr(masked_lm.Network, "train", lambda self, context, target: trained.append(len(target)))
+    batch = pa.record_batch([pa.array([" ".join(f"w{k % 97}" for k in range(words // 10))] * 10)], names=["text"])
+    for turn in range(masked_lm.ROUNDS):
+        list(masked_lm._train(masked_lm.Network().flat, turn)([batch]))
+    assert sum(trained) == words
+
+
 def test_masked_lm(spark, nothing):
     rng = random.Random(4)
     chain = {f"w{k}": f"w{(k * 7 + 3) % 20}" for k in range(20)}

@@ -6,8 +6,8 @@ predicted within its class by corpus counts in ``CELLS`` hash cells.  A document
 both, over all its words, each predicted from both sides.
 
 Training gathers from the whole corpus.  In each round every task starts from the same network, goes once through the
-masked positions of all its documents (one position in eight, by hash of place; other positions in other rounds, as
-usual for masked models), and hands on its network and its counts; the mean, weighted by words, starts the next round.
+masked positions of all its documents (one in ``ROUNDS``, by hash of place: every position is a target in exactly one
+of the rounds), and hands on its network and its counts; the mean, weighted by words, starts the next round.
 What is sent grows with the number of tasks; sums are streamed, so no task or driver holds more than a few networks.
 With the tasks' share of the data the means differ a little, so scores depend slightly on how the input is split.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from treeloom.llm.common import mix, prepare, row_slices, tidy, utf8_buffer, word_hashes
 
 CLASSES, CELLS, HIDDEN, SIDE = 128, 1 << 16, 24, 2
-ROUNDS, MASKED, STEP, SUMS = 2, 8, 0.15, 16
+ROUNDS, STEP, SUMS = 2, 0.15, 16
 #: Words in one step of training, words scored at once.
 TRAINED, BATCH = 512, 512
 
@@ -122,7 +122,7 @@ def _train(flat: np.ndarray, turn: int):
                 counts += np.bincount(cell, minlength=CELLS)
                 words += len(cls)
                 place = mix(h + np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                masked = np.flatnonzero(place % np.uint64(MASKED) == turn)
+                masked = np.flatnonzero(place % np.uint64(ROUNDS) == turn)
                 held.append((_contexts(cls, rows)[:, masked], cls[masked].astype(np.int64)))
                 size += len(masked)
                 if size >= 16 * TRAINED:
