@@ -41,7 +41,7 @@ def test_op10(spark, duck):
 
 
 def test_op8(spark, duck):
-    n = duck.sql("SELECT count(*) FROM documents").fetchone()[0]
+    n = duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     rows = queries.op8_toxicity(spark, SF).collect()
     assert len(rows) == n and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 

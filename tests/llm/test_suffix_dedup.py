@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from treeloom.llm import induced_sort, suffix_dedup
-from treeloom.llm.suffix_dedup import cut_spans, repeated_spans
+from treeloom.llm.suffix_dedup import cut_repeats
 
 
 def brute(rows, size=100):
@@ -24,7 +24,7 @@ def brute(rows, size=100):
 
 
 def run(docs):
-    rows = cut_spans(docs, repeated_spans(docs, 100)).collect()
+    rows = cut_repeats(docs, 100).collect()
     return {r["doc_id"]: (r["__n_bytes"], r["__n_removed"], r["__n_spans"], hashlib.sha256(bytes(r["__kept"])).hexdigest()) for r in rows}
 
 
@@ -39,7 +39,7 @@ def test_hot_anchors_are_split(docs, texts, monkeypatch):
 
 def test_empty(nothing, spark):
     assert run(nothing) == {}
-    got = cut_spans(x := spark.createDataFrame([(None, "a" * 300), (1, "a" * 150), (2, None)], "doc_id bigint, text string"), repeated_spans(x, 100)).collect()
+    got = cut_repeats(spark.createDataFrame([(None, "a" * 300), (1, "a" * 150), (2, None)], "doc_id bigint, text string"), 100).collect()
     assert {r["doc_id"]: r["__n_removed"] for r in got} == {None: 299, 1: 150, 2: 0}
 
 
@@ -49,7 +49,7 @@ def test_rows_of_one_id_are_judged_apart(spark):
     docs = spark.createDataFrame([(i, t, f"x{k}") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, extra string").repartition(4)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     want = sorted((repr(order[k][0]), *v) for k, v in brute([(k, t) for k, (_, t) in enumerate(order)]).items())
-    out = cut_spans(docs, repeated_spans(docs, 100)).collect()
+    out = cut_repeats(docs, 100).collect()
     assert sorted((repr(r["doc_id"]), r["__n_bytes"], r["__n_removed"], r["__n_spans"], hashlib.sha256(bytes(r["__kept"])).hexdigest()) for r in out) == want
     assert {r["extra"] for r in out} == {f"x{k}" for k in range(len(rows))}
 

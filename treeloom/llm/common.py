@@ -6,9 +6,12 @@ Nothing here keeps state on one machine.  Stages are cut by writing Parquet into
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +22,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none (tests)."""
+    """The folder all executors see; a temporary one only in a local session that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="treeloom-"))
     return "file://" + _own_dir[0]
@@ -45,14 +51,51 @@ def stash(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete stages that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_stash_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
+
+
+_left: list[Callable[[], None]] = []
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """A result that is still to be read stands on these files: they go when the driver's program ends."""
+    _left.append(lambda: delete(spark, path))
+
+
+def _delete_left() -> None:
+    for done in _left:
+        with contextlib.suppress(Exception):  # the session may have been stopped before: its files go with the shared folder
+            done()
+
+
+atexit.register(_delete_left)
+
+
+def write_rows(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
+    """df as a table bucketed by ``key``: joins on it move the other side only.  It stays until the program ends."""
+    spark = df.sparkSession
+    path, name = fresh_path(spark, tag), f"treeloom_{tag}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._stash_path = path
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are not the catalog's
+    at_exit(spark, path)
+    return out
+
+
+def bucket_count(spark: SparkSession, size: int, each: int = 8 << 20) -> int:
+    """Buckets of so many bytes each; no fewer than a shuffle has partitions, or Spark would shuffle the table again."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // each)
 
 
 def release(spark: SparkSession) -> None:
@@ -65,14 +108,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True if df (a written stage) has at most max_rows rows: the proof that a broadcast needs."""
-    return df.count() <= max_rows
+#: Bytes of a broadcast table at most.
+BROADCAST_BYTES = 16 << 20
+
+
+def weight(df: DataFrame) -> int:
+    """Bytes that the rows of a written stage take as a broadcast: fixed columns, texts and arrays by their length."""
+    fixed, parts = 16, []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif kind == "array":
+            inner = f.dataType.elementType.typeName()
+            length = lambda x: F.coalesce(F.octet_length(x), F.lit(0)).cast("long") + 16
+            parts.append(F.coalesce(F.aggregate(f.name, F.lit(0).cast("long"), lambda a, x: a + length(x)), F.lit(0)) if inner in ("string", "binary") else F.coalesce(F.size(f.name), F.lit(0)) * 16)
+        else:
+            fixed += 16 if kind == "struct" else 8
+    return df.agg(F.sum(sum(parts, F.lit(fixed).cast("long")))).first()[0] or 0
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a written stage only behind a check of its size; beyond it the join shuffles."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df.hint("merge")
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a written stage only behind a check of its bytes; beyond it the join shuffles."""
+    return F.broadcast(df) if weight(df) <= most else df.hint("merge")
 
 
 def text_size(docs: DataFrame) -> tuple[int, int]:
@@ -87,8 +145,11 @@ def file_count(rows: int, each: int = 50_000) -> int:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Texts are long: Arrow batches of fewer rows keep the workers' memory small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Texts are long: Arrow batches bounded in bytes keep the workers' memory small.  Settings of the caller that are tighter stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 # ---------------------------------------------------------------- numpy side
@@ -119,8 +180,10 @@ def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if column.null_count:
+        column = column.fill_null("")
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 

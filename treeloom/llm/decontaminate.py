@@ -54,7 +54,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> PositionalIndex:
     """Postings of the documents' tokens whose term is in ``vocabulary`` (term)."""
     terms = stash(vocabulary.select("term").distinct().select("term", F.xxhash64("term").alias("term_id")), "terms")
     tokens = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    postings = stash(tokens.join(maybe_broadcast(terms, BROADCAST_ROWS), "term").select("term_id", "doc_id", "pos"), "postings")
+    postings = stash(tokens.join(maybe_broadcast(terms), "term").select("term_id", "doc_id", "pos"), "postings")
     counts = postings.groupBy("term_id").agg(F.count("*").alias("count"))
     counted = stash(terms.join(counts, "term_id", "left").select("term", "term_id", F.coalesce("count", F.lit(0)).alias("count")), "counts")
     discard(terms)
@@ -77,10 +77,10 @@ def candidates(index: PositionalIndex, items: DataFrame) -> DataFrame:
     pairs = windows.select("item", "lead", "second").distinct()
     used = pairs.select("item", F.explode(F.array("lead", "second")).alias("at")).distinct()
     lists = stash(used.join(positions.select("item", F.col("pos").alias("at"), "term").distinct(), ["item", "at"]).join(index.terms, "term").select("term_id", F.xxhash64("item").alias("item_hash"), "at"), "lists")
-    matched = index.postings.join(maybe_broadcast(lists, BROADCAST_ROWS), "term_id").select("doc_id", "item_hash", (F.col("pos") - F.col("at")).alias("shift"), "at")
+    matched = index.postings.join(maybe_broadcast(lists), "term_id").select("doc_id", "item_hash", (F.col("pos") - F.col("at")).alias("shift"), "at")
     gathered = matched.groupBy("doc_id", "item_hash", "shift").agg(F.collect_set("at").alias("found"))  # item positions: bounded by the item
     wanted = stash(pairs.groupBy("item").agg(F.collect_set(F.struct("lead", "second")).alias("pairs")).select(F.xxhash64("item").alias("item_hash"), "item", "pairs"), "pairs")
-    both = gathered.join(maybe_broadcast(wanted, BROADCAST_ROWS), "item_hash")
+    both = gathered.join(maybe_broadcast(wanted), "item_hash")
     out = both.where(F.exists("pairs", lambda p: F.array_contains("found", p["lead"]) & F.array_contains("found", p["second"]))).select("doc_id", "item", "shift")
     out = stash(out, "candidates")
     discard(windows, lists, wanted, positions)
@@ -119,7 +119,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     each = hits.select("doc_id", "n_words", F.when(F.col("hits").isNotNull(), covered).otherwise(0).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["item"])).alias("items"))
     clean = each.where("items is null or size(items) = 0").select("doc_id", "n_words", "n_hit", F.array().cast("array<string>").alias("items"))
     dirty = each.where("size(items) > 0").withColumn("row", F.monotonically_increasing_id())
-    named_hits = dirty.select("row", "doc_id", "n_words", "n_hit", F.explode("items").alias("item")).join(maybe_broadcast(named, BROADCAST_ROWS), "item")
+    named_hits = dirty.select("row", "doc_id", "n_words", "n_hit", F.explode("items").alias("item")).join(maybe_broadcast(named), "item")
     named_hits = named_hits.groupBy("row", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
     return clean.unionByName(named_hits.drop("row"))
 
@@ -133,6 +133,6 @@ def proximity_hits(docs: DataFrame, items: DataFrame, within: int = 5) -> DataFr
     pair = windows.select("item_id", "lead", "second").distinct()
     pair = pair.join(term.select("item_id", F.col("pos").alias("lead"), F.col("term_id").alias("t1")), ["item_id", "lead"]).join(term.select("item_id", F.col("pos").alias("second"), F.col("term_id").alias("t2")), ["item_id", "second"]).select("item_id", "t1", "t2").distinct()
     pair = stash(pair, "near")
-    lead = index.postings.join(maybe_broadcast(pair, BROADCAST_ROWS), F.col("term_id") == F.col("t1")).select("doc_id", "item_id", "t2", F.col("pos").alias("p1"), F.explode(F.sequence(F.floor(F.col("pos") / within) - 1, F.floor(F.col("pos") / within) + 1)).alias("cell"))
+    lead = index.postings.join(maybe_broadcast(pair), F.col("term_id") == F.col("t1")).select("doc_id", "item_id", "t2", F.col("pos").alias("p1"), F.explode(F.sequence(F.floor(F.col("pos") / within) - 1, F.floor(F.col("pos") / within) + 1)).alias("cell"))
     other = index.postings.select(F.col("term_id").alias("t2"), "doc_id", F.col("pos").alias("p2"), F.floor(F.col("pos") / within).alias("cell"))
     return lead.join(other, ["doc_id", "t2", "cell"]).where(F.abs(F.col("p1") - F.col("p2")) <= within).select("doc_id", "item_id", F.least("p1", "p2").alias("first"), F.greatest("p1", "p2").alias("last")).distinct()

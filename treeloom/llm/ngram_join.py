@@ -274,7 +274,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     release(docs.sparkSession)
     reps = per_doc.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("repeated").alias("repeated"))
     alive = stash(reps.where(f"repeated * {den} >= n * {num}").select("rep", "sig"), "alive", files)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(alive, BROADCAST_ROWS), "rep").select("sig", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(alive), "rep").select("sig", "text")
     raw = stash(texts.mapInArrow(tidy(_sets(width)), "sig long, n int, tokens array<long>").dropDuplicates(["sig"]), "tokens", files)
     exploded = raw.select("sig", F.explode("tokens").alias("token"))
     df = exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")

@@ -14,7 +14,7 @@ from treeloom.llm.licenses import scan_licenses
 from treeloom.llm.media import media_features
 from treeloom.llm.ngram_join import jaccard_components
 from treeloom.llm.pieces import encode_documents
-from treeloom.llm.suffix_dedup import cut_spans, repeated_spans
+from treeloom.llm.suffix_dedup import cut_repeats
 from treeloom.llm.toxicity import fit, score_documents
 
 
@@ -59,7 +59,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = cut_spans(docs, repeated_spans(docs, 100))
+    cut = cut_repeats(docs, 100)
     return cut.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 

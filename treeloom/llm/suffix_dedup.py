@@ -29,19 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import _BYTE, _powers, discard, mix, prepare, release, row_slices, stash, text_size, tidy, utf8_buffer
+from treeloom.llm.common import _BYTE, _powers, at_exit, bucket_count, discard, mix, prepare, release, row_slices, stash, text_size, tidy, utf8_buffer, write_rows
 from treeloom.llm.induced_sort import sort_suffixes
 
 GRAM, FINE_GRAM = 36, 90
 #: Distinct units of one anchor from which it is split.
 HOT = 3000
 #: Units of one map block; text of one shard.
-BLOCK_UNITS = 400_000
+BLOCK_UNITS = 200_000
 SHARD_BYTES = 4 << 20
 #: Bytes hashed at once by a map task.
-SLICE_BYTES = 1 << 19
-#: Wanted units are sent to all tasks only if there are no more of them than this; else the texts are shuffled.
-BROADCAST_UNITS = 100_000
+SLICE_BYTES = 1 << 18
 
 
 class Hashed:
@@ -86,66 +84,76 @@ def units(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
 
 
 _BLOCK = np.dtype([("anchor", "<u8"), ("unit", "<u8"), ("row", "<u2"), ("start", "<u4"), ("count", "u1")])
-_FOUND = "doc_id long, start long, stop long, anchor long, hot boolean, repeat boolean"
+_FOUND = "__row long, start int, stop int, anchor long, hot boolean, repeat boolean"
+_LOCAL = np.dtype([("row", "<i8"), ("start", "<u4"), ("stop", "<u4")])
 
 
 def _pack(parts: int, size: int):
     """Map side: blocks of units cut by anchor; what repeats within the block is known to be a repeat at once."""
 
     def run(batches):
-        docs, rows, held = [], [], 0
+        keys, blocks, held = [], [], 0
 
         def flush():
-            nonlocal docs, rows, held
-            ids = np.array(docs, np.int64)
-            u = np.concatenate(rows) if rows else np.zeros(0, _BLOCK)
+            nonlocal keys, blocks, held
+            ids = np.concatenate(keys)
+            u = np.concatenate(blocks)
             order = np.lexsort((u["start"], ids[u["row"]], u["unit"], u["anchor"]))
             u = u[order]
             again = np.r_[False, (u["anchor"][1:] == u["anchor"][:-1]) & (u["unit"][1:] == u["unit"][:-1])][: len(u)]
-            local, u = u[again], u[~again]
+            local, u = _joined(ids, u[again], size), u[~again]
             part = (u["anchor"] >> np.uint64(20)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
             u, part = u[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
-            out = {"p": [], "docs": [], "units": [], "local": []}
             share = np.array_split(local, parts)
+            out = {"p": [], "docs": [], "units": [], "local": []}
             for q in range(parts):
                 if cut[q + 1] > cut[q] or len(share[q]):
                     mine = u[cut[q] : cut[q + 1]]
-                    used = np.unique(np.r_[mine["row"], share[q]["row"]])
-                    mine, lost = mine.copy(), share[q].copy()
-                    mine["row"], lost["row"] = np.searchsorted(used, mine["row"]), np.searchsorted(used, lost["row"])
-                    spans = np.stack((ids[used][lost["row"]], lost["start"].astype(np.int64), lost["start"].astype(np.int64) + lost["count"] - 1 + size), 1) if len(lost) else np.zeros((0, 3), np.int64)
-                    for k, v in (("p", q), ("docs", ids[used].tobytes()), ("units", mine.tobytes()), ("local", spans.tobytes())):
+                    used, mine["row"] = np.unique(mine["row"], return_inverse=True)
+                    for k, v in (("p", q), ("docs", ids[used].tobytes()), ("units", mine.tobytes()), ("local", share[q].tobytes())):
                         out[k].append(v)
-            docs, rows, held = [], [], 0
+            keys, blocks, held = [], [], 0
             return pa.RecordBatch.from_pydict(out, schema=pa.schema([("p", pa.int32()), ("docs", pa.binary()), ("units", pa.binary()), ("local", pa.binary())]))
 
+        rows = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy()
             data, offsets = utf8_buffer(batch.column(1))
             for i, j in row_slices(offsets, SLICE_BYTES):
-                if held >= BLOCK_UNITS or len(docs) + j - i > 65_000:
-                    yield flush()
-                for i2 in range(i, j, 60_000):
-                    j2 = min(j, i2 + 60_000)
-                    if docs and len(docs) + j2 - i2 > 65_000:
+                for i2 in range(i, j, 30_000):
+                    j2 = min(j, i2 + 30_000)
+                    if keys and (held >= BLOCK_UNITS or rows + j2 - i2 > 65_000):
                         yield flush()
+                        rows = 0
                     row, start, count, anchor, unit = units(data[offsets[i2] : offsets[j2]], offsets[i2 : j2 + 1] - offsets[i2], size, GRAM)
                     u = np.zeros(len(row), _BLOCK)
-                    u["anchor"], u["unit"], u["row"], u["start"], u["count"] = anchor, unit, row + len(docs), start, count
-                    rows.append(u)
-                    docs.extend(ids[i2:j2].tolist())
+                    u["anchor"], u["unit"], u["row"], u["start"], u["count"] = anchor, unit, row + rows, start, count
+                    blocks.append(u)
+                    keys.append(ids[i2:j2])
+                    rows += j2 - i2
                     held += len(u)
-        if docs:
+        if keys:
             yield flush()
 
     return run
 
 
-def _spans(doc, start, stop, anchor=None, hot=None, repeat=True) -> pa.Table:
-    n = len(doc)
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64()), "anchor": pa.array(anchor, pa.int64()) if anchor is not None else pa.nulls(n, pa.int64()), "hot": pa.array(hot, pa.bool_()) if hot is not None else pa.array(np.zeros(n, bool)), "repeat": pa.array(np.full(n, repeat))})
+def _joined(ids: np.ndarray, u: np.ndarray, size: int) -> np.ndarray:
+    """Repeated units as spans, those of a row that overlap as one."""
+    u = u[np.lexsort((u["start"], u["row"]))]
+    stop = u["start"].astype(np.int64) + u["count"] - 1 + size
+    new = np.flatnonzero(np.r_[True, (u["row"][1:] != u["row"][:-1]) | (u["start"][1:] > stop[:-1])][: len(u)])
+    out = np.zeros(len(new), _LOCAL)
+    if len(new):
+        out["row"], out["start"], out["stop"] = ids[u["row"][new]], u["start"][new], stop[np.r_[new[1:] - 1, len(u) - 1]]  # units follow each other: stops rise
+    return out
+
+
+def _spans(row, start, stop, anchor=None, hot=None, repeat=True) -> pa.Table:
+    n = len(row)
+    return pa.table({"__row": pa.array(row, pa.int64()), "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32)), "anchor": pa.array(anchor, pa.int64()) if anchor is not None else pa.nulls(n, pa.int64()), "hot": pa.array(hot, pa.bool_()) if hot is not None else pa.array(np.zeros(n, bool)), "repeat": pa.array(np.full(n, repeat))})
 
 
 def _match(size: int):
@@ -153,18 +161,18 @@ def _match(size: int):
 
     def run(key, group):
         docs, us, local = [], [], []
-        for d, u, s in zip(*(group.column(k).to_pylist() for k in ("docs", "units", "local"))):
-            u = np.frombuffer(u, _BLOCK)
+        for d, u, s in zip(group.column("docs"), group.column("units"), group.column("local")):
+            u = np.frombuffer(u.as_buffer(), _BLOCK)
             us.append(u)
-            docs.append(np.frombuffer(d, np.int64)[u["row"]])
-            local.append(np.frombuffer(s, np.int64).reshape(-1, 3))
+            docs.append(np.frombuffer(d.as_buffer(), np.int64)[u["row"]])
+            local.append(np.frombuffer(s.as_buffer(), _LOCAL))
         u, doc, spans = np.concatenate(us), np.concatenate(docs), np.concatenate(local)
         order = np.lexsort((u["start"], doc, u["unit"], u["anchor"]))
         u, doc = u[order], doc[order]
         same = u["anchor"][1:] == u["anchor"][:-1]
         again = np.r_[False, same & (u["unit"][1:] == u["unit"][:-1])][: len(u)]
         start, stop = u["start"].astype(np.int64), u["start"].astype(np.int64) + u["count"] - 1 + size
-        out = [_spans(spans[:, 0], spans[:, 1], spans[:, 2]), _spans(doc[again], start[again], stop[again])]
+        out = [_spans(spans["row"], spans["start"], spans["stop"]), _spans(doc[again], start[again], stop[again])]
         first = ~again
         anchor, doc, start, stop = u["anchor"][first], doc[first], start[first], stop[first]
         if len(anchor):
@@ -182,10 +190,11 @@ def _texts(size: int):
 
     def run(batches):
         for batch in batches:
-            out = {"shard_key": [], "doc_id": [], "start": [], "unit": []}
-            for doc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                raw = np.frombuffer((text or "").encode(), np.uint8)
-                for w in wanted:
+            out = {"shard_key": [], "__row": [], "start": [], "unit": []}
+            for doc, text, wanted in zip(*(batch.column(k) for k in range(3))):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                doc = doc.as_py()
+                for w in wanted.as_py():
                     a, b = w["start"], w["stop"]
                     if w["hot"]:
                         part = raw[a:b]
@@ -194,9 +203,9 @@ def _texts(size: int):
                     else:
                         pieces = ((w["anchor"], a, b),)
                     for k, x, y in pieces:
-                        for name, v in (("shard_key", k), ("doc_id", doc), ("start", x), ("unit", raw[x:y].tobytes())):
+                        for name, v in (("shard_key", k), ("__row", doc), ("start", x), ("unit", raw[x:y].tobytes())):
                             out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard_key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("unit", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard_key", pa.int64()), ("__row", pa.int64()), ("start", pa.int64()), ("unit", pa.binary())]))
 
     return run
 
@@ -252,7 +261,7 @@ def _sort_shard(size: int):
 
 def _merged(t: pa.Table) -> pa.Table:
     """Overlapping spans of a document as one."""
-    doc, start, stop = (t.column(k).to_numpy() for k in ("doc_id", "start", "stop"))
+    doc, start, stop = (t.column(k).to_numpy() for k in ("__row", "start", "stop"))
     order = np.lexsort((start, doc))
     doc, start, stop = doc[order], start[order], stop[order]
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])])  # equal lengths: stops are sorted too
@@ -290,66 +299,84 @@ def keyed(docs: DataFrame, repeat: bool) -> DataFrame:
     return out
 
 
-def repeated_spans(docs: DataFrame, size: int = 100) -> DataFrame:
-    """(doc_id, start, stop) of docs (doc_id, text): byte spans to remove; they may overlap.  doc_id is the key of the row (``keyed``)."""
+def row_table(docs: DataFrame) -> DataFrame:
+    """docs with the column __row, written once in buckets of it: the only time that whole texts are shuffled."""
     prepare(docs.sparkSession)
-    repeat = ids_repeat(docs)
-    docs = keyed(docs.select("doc_id", "text"), repeat)
-    parts = max(256, text_size(docs)[0] // (8 << 20))
-    packed = docs.select("__row", "text").mapInArrow(tidy(_pack(parts, size)), "p int, docs binary, units binary, local binary")
+    rows = keyed(docs, ids_repeat(docs))
+    out = write_rows(rows, "__row", bucket_count(docs.sparkSession, text_size(docs)[0]), "texts")
+    discard(rows)
+    release(docs.sparkSession)
+    return out
+
+
+def repeated_spans(rows: DataFrame, size: int = 100) -> DataFrame:
+    """(__row, start, stop) over ``row_table`` rows: byte spans to remove; they may overlap."""
+    spark = rows.sparkSession
+    prepare(spark)
+    bytes_ = text_size(rows)[0]
+    packed = rows.select("__row", "text").mapInArrow(tidy(_pack(max(64, bytes_ >> 24), size)), "p int, docs binary, units binary, local binary")
     found = stash(packed.groupBy("p").applyInArrow(_match(size), _FOUND), "units")
     del packed
-    release(docs.sparkSession)
-    wanted = found.where("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "anchor", "hot")).alias("wanted"))  # bounded by the document
-    wanted = stash(wanted, "wanted")
-    n = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    side = F.broadcast(wanted) if n <= BROADCAST_UNITS else wanted.hint("merge")
-    key = docs.select(F.col("__row").alias("doc_id"), "text")
-    pieces = key.join(side, "doc_id").select("doc_id", "text", "wanted").mapInArrow(tidy(_texts(size)), "shard_key long, doc_id long, start long, unit binary")
+    release(spark)
+    open_ = found.where("not repeat")
+    n = open_.count()
+    pieces = rows.select("__row", "text").join(_of_row(open_, bytes_, "start", "stop", "anchor", "hot"), "__row").select("__row", "text", "__list").mapInArrow(tidy(_texts(size)), "shard_key long, __row long, start long, unit binary")
     shards = max(24, n * 160 // SHARD_BYTES)
-    sorted_spans = pieces.repartition(shards, "shard_key").mapInArrow(tidy(_sort_shard(size)), _FOUND)
-    spans = stash(found.where("repeat").unionByName(sorted_spans).select("doc_id", "start", "stop"), "repeats")
-    discard(found, wanted, docs)
-    del pieces, sorted_spans
-    release(docs.sparkSession)
-    spans._ids_repeat = repeat
-    return spans
+    spans = pieces.repartition(shards, "shard_key").mapInArrow(tidy(_sort_shard(size)), _FOUND)
+    spans = stash(spans.where("repeat").select("__row", "start", "stop"), "sorted")
+    del pieces, open_
+    release(spark)
+    at_exit(spark, found._stash_path)
+    at_exit(spark, spans._stash_path)
+    return found.where("repeat").select("__row", "start", "stop").unionByName(spans)
+
 
+def _of_row(spans: DataFrame, bytes_: int, *columns: str) -> DataFrame:
+    """The spans of each row as a list, dealt out as ``row_table`` is; a list is bounded by its text."""
+    dealt = spans.repartition(bucket_count(spans.sparkSession, bytes_), "__row")
+    return dealt.groupBy("__row").agg(F.collect_list(F.struct(*columns)).alias("__list")).hint("shuffle_hash")
 
-def _cut(batches):
+
+def _cut(names: list[str]):
     """Unites a document's spans and cuts them out."""
-    for batch in batches:
-        n_bytes, removed, spans, kept, had = [], [], [], [], []
-        for text, where in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("__spans")).to_pylist()):
-            raw = (text or "").encode()
-            n_bytes.append(len(raw))
-            had.append(text is not None)
-            pieces, at, gone, runs, reach = [], 0, 0, 0, -1
-            for s in sorted((w["start"], w["stop"]) for w in where or ()):
-                a, b = s
-                if a > reach:
-                    runs += 1
-                    pieces.append(raw[at:a])
-                    gone += b - a
-                elif b > reach:
-                    gone += b - reach
-                reach = max(reach, b)
-                at = max(at, b)
-            pieces.append(raw[at:])
-            removed.append(gone)
-            spans.append(runs)
-            kept.append(b"".join(pieces))
-        names = [f.name for f in batch.schema if f.name not in ("text", "__spans")]
-        cols = [batch.column(batch.schema.get_field_index(k)) for k in names]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(had, pa.bool_())], names=[*names, "__n_bytes", "__n_removed", "__n_spans", "__kept", "__text", "__had_text"])
-
-
-def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``spans``, a written stage, are used up.  Returns docs without text, with __n_bytes, __n_removed, __n_spans, __kept (the bytes that stay), __text (their whole characters), __had_text."""
-    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__spans")).withColumnRenamed("doc_id", "__doc")  # bounded by the document
-    grouped = stash(grouped, "spans")
-    discard(spans)
-    release(docs.sparkSession)
-    both = keyed(docs, spans._ids_repeat).join(grouped, F.col("__row") == F.col("__doc"), "left").drop("__doc", "__row")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return both.mapInArrow(tidy(_cut), f"{fields}, __n_bytes long, __n_removed long, __n_spans long, __kept binary, __text string, __had_text boolean")
+
+    def run(batches):
+        for batch in batches:
+            n_bytes, removed, spans, kept, had = [], [], [], [], []
+            for text, where in zip(batch.column(len(names)), batch.column(len(names) + 1).to_pylist()):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                n_bytes.append(len(raw))
+                had.append(text.is_valid)
+                pieces, at, gone, runs, reach = [], 0, 0, 0, -1
+                for a, b in sorted((w["start"], w["stop"]) for w in where or ()):
+                    if a > reach:
+                        runs += 1
+                        pieces.append(raw[at:a])
+                        gone += b - a
+                    elif b > reach:
+                        gone += b - reach
+                    reach = max(reach, b)
+                    at = max(at, b)
+                pieces.append(raw[at:])
+                removed.append(gone)
+                spans.append(runs)
+                kept.append(b"".join(pieces))
+            cols = batch.columns[: len(names)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array(had, pa.bool_())], names=[*names, "__n_bytes", "__n_removed", "__n_spans", "__kept", "__text", "__had_text"])
+
+    return run
+
+
+def cut_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows without __row and text, with __n_bytes, __n_removed, __n_spans, __kept (the bytes that stay), __text (their whole characters), __had_text."""
+    fields = [f for f in rows.schema if f.name not in ("text", "__row")]
+    names = [f.name for f in fields]
+    both = rows.join(_of_row(spans, text_size(rows)[0], "start", "stop"), "__row", "left").select(*(F.col(f"`{k}`") for k in names), "text", "__list")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__n_bytes long, __n_removed long, __n_spans long, __kept binary, __text string, __had_text boolean"])
+    return both.mapInArrow(tidy(_cut(names)), schema)
+
+
+def cut_repeats(docs: DataFrame, size: int = 100) -> DataFrame:
+    """``cut_spans`` of all strings of ``size`` bytes that docs (doc_id, text, ...) repeat."""
+    rows = row_table(docs)
+    return cut_spans(rows, repeated_spans(rows, size))
