@@ -14,17 +14,14 @@ from treeloom.llm.common import maybe_broadcast, stash, table
 from treeloom.llm.decontaminate import phrase_hits
 from treeloom.llm.ngram_join import jaccard_components
 from treeloom.llm.pieces import encode_documents
-from treeloom.llm.suffix_dedup import cut_spans, repeated_spans
+from treeloom.llm.suffix_dedup import cut_repeats
 from treeloom.llm.toxicity import fit, score_documents
 
-#: Rejected ids are broadcast up to so many (8 bytes each); beyond that the join shuffles.
-BROADCAST_IDS = 500_000
-
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ``rejected`` (doc_id)."""
     ids = stash(rejected.select(F.col("doc_id").alias("__rejected")).distinct(), "rejected", 12)
-    return docs.join(maybe_broadcast(ids, BROADCAST_IDS), F.col("doc_id") == F.col("__rejected"), "left_anti")
+    return docs.join(maybe_broadcast(ids), F.col("doc_id") == F.col("__rejected"), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +41,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     A cut may fall inside a character; what is left of that character is dropped.
     """
-    cut = cut_spans(docs, repeated_spans(docs.select("doc_id", "text"), 100))
+    cut = cut_repeats(docs, 100)
     text = F.when(F.col("__had_text"), F.col("__text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long"))).select(docs.columns)
 
