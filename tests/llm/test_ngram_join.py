@@ -1,5 +1,6 @@
-from collections import defaultdict
+import random
 
+from treeloom.llm import ngram_join
 from treeloom.llm.components import connected_components, star_contraction
 from treeloom.llm.ngram_join import jaccard_components
 
@@ -52,6 +53,58 @@ def test_nulls_and_repeated_rows(spark, nothing):
     assert jaccard_components(nothing).count() == 0
 
 
+def by_row(rows, width=4, num=85, den=100):
+    """Brute force over rows: those of one doc_id are linked, a null doc_id is a document of its own."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    low = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                same = rows[a][0] is not None and rows[a][0] == rows[b][0]
+                if sets[a] and sets[b] and (same or den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])):
+                    low[a] = low[b] = min(low[a], low[b])
+    least = lambda k: min((i for (i, _), c in zip(rows, low) if c == low[k] and i is not None), default=None)
+    return sorted(((i, len(sets[k]), least(k) if sets[k] else i) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def test_links_pass_through_repeated_and_null_ids(spark):
+    w = [f"w{k}" for k in range(120)]
+    at = lambda k: " ".join(w[3 * k :] + [f"y{j}" for j in range(3 * k)])  # noqa: E731  links with the next, not with the one after it
+    x, c = " ".join(f"x{k}" for k in range(40)), " ".join(f"c{k}" for k in range(40))
+    rows = [(1, x), (1, c), (8, c + " z"), (8, c + " z"), (20, at(0)), (None, at(1)), (21, at(2)), (None, "alone in the world of words"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id bigint, text string, key string").repartition(3)
+    got = sorted(((r[0], r[1], r[2]) for r in jaccard_components(docs).collect()), key=repr)
+    assert got == by_row(rows)
+    assert (8, 38, 1) in got
+
+
+def test_long_lists(spark, monkeypatch):
+    # near copies that resemble their base but not each other, and a ring of near copies without a base
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(100)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 90):
+        w = list(base)
+        for j in rng.sample(range(100), 2):
+            w[j] = f"n{k}_{j}"
+        rows.append((k, " ".join(w)))
+    ring = [f"r{k}" for k in range(100)]
+    for k in range(100, 190):
+        w = list(ring)
+        for j in (k - 100, (k - 99) % 90):
+            w[j] = f"m{j}"
+        rows.append((k, " ".join(w)))
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+    monkeypatch.setattr(ngram_join, "FULL", 1)
+    monkeypatch.setattr(ngram_join, "SALTED", 7)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (5, 5), (3, 9), (9, 20), (20, 21)]
     e = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)

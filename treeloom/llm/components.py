@@ -44,12 +44,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each partition first turns its edges into a forest (never more edges than nodes).  What is left goes to one
     task if it is counted and found small, else through rounds of star contraction.  Same result either way.
+    The result reads a written stage: ``discard`` it when it has been used.
     """
     e = stash(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "node long, component long").where("node <> component").distinct(), "forest", 12)
     n = e.count()
     if n <= ONE_TASK:
-        return e.coalesce(1).mapInArrow(_forest, "node long, component long")
-    return star_contraction(e.select(F.col("node").alias("a"), F.col("component").alias("b")), file_count(n))
+        out = e.coalesce(1).mapInArrow(_forest, "node long, component long")
+        out._stash_path = e._stash_path
+    else:
+        out = star_contraction(e.select(F.col("node").alias("a"), F.col("component").alias("b")), file_count(n))
+        discard(e)
+    return out
 
 
 def star_contraction(edges: DataFrame, files: int = 12) -> DataFrame:
@@ -75,4 +80,6 @@ def star_contraction(edges: DataFrame, files: int = 12) -> DataFrame:
             break
         last = now
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = pairs.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out._stash_path = e._stash_path
+    return out

@@ -3,22 +3,25 @@
 ``jaccard_components`` finds the groups of documents linked by a Jaccard similarity of their distinct word n-grams
 of at least num/den.  What it does with all rows:
 
-1. *Equal sets collapse.*  Each set has a 64-bit signature; one representative per signature goes on.
+1. *Equal sets collapse.*  Each set has a 64-bit signature; one row per signature goes on with its text.
 2. *Repeated-token filter* (exact).  A document with a partner shares ceil(t*n) tokens with it, so that many of
    its tokens must occur in two different sets.  Token postings go, packed and cut by hash range, to reducers that
    count in how many sets a token lies; a document keeps its number of repeated tokens and nothing else comes back.
 3. *Global orders.*  For the rest, tokens are ordered by (document frequency, hash), by (document frequency bucket,
    another hash) and by a third hash alone.  Under every order two linked sets share a token of their prefixes of
    n - ceil(t*n) + 1 tokens.  Lists of the first order make candidates; those that share no prefix token under the
-   other two orders are dropped before the sets are compared.
+   other two orders are dropped before any set is read.
    A further exact filter stands in the join itself: each set has a bitmap in which every token flips one of ``BITS``
    bits; two bitmaps differ in no more bits than the sets differ in tokens, and links bound that number.
-4. *Hot lists contract.*  A list (all sets with one rare token) is first compared with a pivot only; linked sets fall
-   into one component and need no further comparison.  After a few rounds with other pivots, the pairs of a list
-   that still lie in different components are all compared, so no link between components is lost.
-
-Nulls and empty texts have no set: n_shingles 0, a component of their own.  Rows of a repeated doc_id count as one
-document for the links (equal texts) and come out once per row.
+4. *Long lists contract.*  Before the lists (all sets with one prefix token) are joined, rounds over the long ones
+   link what they can at a cost in proportion to their rows: every set is compared with the sets of a random bucket of
+   one list, and with the set of most links (near copies of one base all link to it).  Linked sets are one component.
+   Rounds go on while they shorten what is left to do.  Then every list is joined in full, but for the pairs within a
+   component: each set outside its list's largest component against all others.  No link between components is lost.
+
+Nulls and empty texts have no set: n_shingles 0, a component of their own.  A doc_id on several rows is one document:
+those of its rows that have a set have one component, whatever their texts.  A row without doc_id is a document of its own, links pass through
+it, and its component_id is the smallest doc_id it reaches, null if there is none.
 """
 
 from __future__ import annotations
@@ -31,17 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import discard, file_count, maybe_broadcast, mix, prepare, release, row_slices, stash, text_size, tidy, utf8_buffer, word_hashes
+from treeloom.llm.common import at_exit, discard, file_count, maybe_broadcast, mix, prepare, release, row_slices, stash, text_size, tidy, utf8_buffer, word_hashes
 from treeloom.llm.components import connected_components
 
-#: A list of ids goes by broadcast only up to so many rows (8 bytes each); beyond that the join shuffles.
-BROADCAST_ROWS = 500_000
 #: Tokens gathered before a map task hands a block on; bounds its memory.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 #: Bits of a set's parity bitmap.
 BITS = 1024
-#: Rounds of pivots before what is left of the lists is compared in full.
-ROUNDS = 3
+WORDS = [f"x{k}" for k in range(BITS // 64)]
+#: Sets of a bucket; comparisons for each row of the lists up to which they are joined in full at once.
+BUCKET, FULL = 16, 16
+#: Sets of a list that one key of the full join stands for.
+SALTED = 2048
 
 
 def _need(n, num, den):
@@ -77,10 +81,10 @@ def shingle_sets(column, width: int):
                 yield np.zeros(0, np.uint64)
 
 
-_POSTING = pa.schema([("p", pa.int32()), ("batch", pa.string()), ("tokens", pa.binary()), ("idx", pa.binary()), ("sigs", pa.binary()), ("docs", pa.binary())])
-_COUNTED = pa.schema([("batch", pa.string()), ("counts", pa.binary()), ("sigs", pa.binary()), ("docs", pa.binary())])
-_PER_DOC = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("repeated", pa.int64())])
-_DOC = np.dtype([("doc", "<i8"), ("null", "u1"), ("n", "<i4"), ("sig", "<i8")])
+_POSTING = pa.schema([("p", pa.int32()), ("batch", pa.string()), ("tokens", pa.binary()), ("idx", pa.binary()), ("used", pa.binary()), ("sigs", pa.binary()), ("docs", pa.binary())])
+_COUNTED = pa.schema([("batch", pa.string()), ("used", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
+_PER_DOC = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("repeated", pa.int64())])
+_DOC = np.dtype([("doc", "<i8"), ("null", "u1"), ("text", "<i8"), ("n", "<i4"), ("sig", "<i8"), ("set", "<u2")])
 
 
 def _signature(tokens: np.ndarray) -> int:
@@ -88,47 +92,47 @@ def _signature(tokens: np.ndarray) -> int:
 
 
 def _emit_postings(width: int, parts: int):
-    """Map side: blocks of postings, cut by hash range.  A posting: five bytes of token hash, index of its set."""
+    """Map side: blocks of postings, cut by hash range.  A posting: five bytes of token hash, number of its set.
+
+    A range gets the signatures of the sets that have a token in it, and one of the ranges the block's documents.
+    """
 
     def run(batches):
-        docs, sigs, seen, tokens, index, held = [], [], {}, [], [], 0
+        docs, sigs, seen, tokens, held = [], [], {}, [], 0
 
         def flush():
-            nonlocal docs, sigs, seen, tokens, index, held
+            nonlocal docs, sigs, seen, tokens, held
             name = uuid.uuid4().hex
-            header = np.array(docs, _DOC).tobytes()
-            sig = np.array(sigs, np.int64).tobytes()
+            header, sig = np.array(docs, _DOC).tobytes(), np.array(sigs, np.int64)
             rows = {k: [] for k in _POSTING.names}
-            if tokens:
-                t = np.concatenate(tokens)
-                x = np.repeat(np.arange(len(tokens), dtype=np.uint16), [len(a) for a in tokens])
-                p = ((t >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(p, kind="stable")
-                t, x, p = t[order], x[order], p[order]
-                cut = np.searchsorted(p, np.arange(parts + 1))
-                five = t.view(np.uint8).reshape(-1, 8)[:, :5]
-            else:
-                cut, five, x = np.zeros(parts + 1, np.int64), np.zeros((0, 5), np.uint8), np.zeros(0, np.uint16)
+            t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            x = np.repeat(np.arange(len(tokens), dtype=np.uint16), [len(a) for a in tokens])
+            p = ((t >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(p, kind="stable")
+            t, x, p = t[order], x[order], p[order]
+            cut = np.searchsorted(p, np.arange(parts + 1))
+            five = t.view(np.uint8).reshape(-1, 8)[:, :5]
             home = int(name[:6], 16) % parts
             for q in range(parts):
                 a, b = cut[q], cut[q + 1]
                 if b > a or q == home:
-                    for k, v in zip(_POSTING.names, (q, name, five[a:b].tobytes(), x[a:b].tobytes(), sig, header if q == home else None)):
+                    used, local = np.unique(x[a:b], return_inverse=True)
+                    for k, v in zip(_POSTING.names, (q, name, five[a:b].tobytes(), local.astype(np.uint16).tobytes(), used.tobytes(), sig[used].tobytes(), header if q == home else None)):
                         rows[k].append(v)
-            docs, sigs, seen, tokens, index, held = [], [], {}, [], [], 0
+            docs, sigs, seen, tokens, held = [], [], {}, [], 0
             return pa.RecordBatch.from_pydict(rows, schema=_POSTING)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc, s in zip(ids, shingle_sets(batch.column(1), width)):
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc, text, s in zip(ids, hashes, shingle_sets(batch.column(1), width)):
                 sig = _signature(s)
-                docs.append((doc or 0, doc is None, len(s), sig))
                 if len(s) and sig not in seen:
                     seen[sig] = len(tokens)
                     sigs.append(sig)
                     tokens.append(s)
                     held += len(s)
-                if held >= BLOCK_TOKENS or len(tokens) >= 60_000 or len(docs) >= 200_000:
+                docs.append((doc or 0, doc is None, text, len(s), sig, seen.get(sig, 0)))
+                if held >= BLOCK_TOKENS or len(tokens) >= 60_000 or len(docs) >= 100_000:
                     yield flush()
         if docs:
             yield flush()
@@ -138,58 +142,42 @@ def _emit_postings(width: int, parts: int):
 
 def _count_repeated(key, group):
     """Reducer of one hash range: for each set of each block, how many of its tokens lie in two different sets."""
-    rows = group.to_pylist()
+    column = lambda k, kind: [np.frombuffer(v.as_buffer(), kind) for v in group.column(k)]
     tokens, sigs, owner, spans, at = [], [], [], [], 0
-    for r in rows:
-        five = np.frombuffer(r["tokens"], np.uint8).reshape(-1, 5)
-        t = np.zeros((len(five), 8), np.uint8)
-        t[:, :5] = five
-        x = np.frombuffer(r["idx"], np.uint16)
-        s = np.frombuffer(r["sigs"], np.int64)
+    for five, x, s in zip(column("tokens", np.uint8), column("idx", np.uint16), column("sigs", np.int64)):
+        t = np.zeros((len(five) // 5, 8), np.uint8)
+        t[:, :5] = five.reshape(-1, 5)
         tokens.append(t.view(np.uint64).ravel())
         sigs.append(s[x])
-        owner.append(x.astype(np.int64) + at)
+        owner.append(x.astype(np.int32) + at)
         spans.append((at, at + len(s)))
         at += len(s)
-    out = {k: [] for k in _COUNTED.names}
-    t, s, o = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (tokens, sigs, owner))
+    t, s, o = (np.concatenate(a) for a in (tokens, sigs, owner))
+    counts = np.zeros(at, np.int64)
     if len(t):
         order = np.argsort(t, kind="stable")
         t, s, o = t[order], s[order], o[order]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         shared = np.minimum.reduceat(s, starts) != np.maximum.reduceat(s, starts)
-        many = np.repeat(shared, np.diff(np.r_[starts, len(t)]))
-        counts = np.bincount(o[many], minlength=at)
-    else:
-        counts = np.zeros(at, np.int64)
-    for r, (a, b) in zip(rows, spans):
-        c = counts[a:b]
-        home = r["docs"] is not None
-        if c.any() or home:
-            for k, v in zip(_COUNTED.names, (r["batch"], c.astype(np.uint32).tobytes() if len(c) and c.max() > 65535 else b"\x02" + c.astype(np.uint16).tobytes(), r["sigs"] if home else None, r["docs"])):
+        counts = np.bincount(o[np.repeat(shared, np.diff(np.r_[starts, len(t)]))], minlength=at)
+    out = {k: [] for k in _COUNTED.names}
+    for name, used, docs, (a, b) in zip(group.column("batch"), column("used", np.uint16), group.column("docs"), spans):
+        some = counts[a:b] > 0
+        if some.any() or docs.is_valid:
+            for k, v in zip(_COUNTED.names, (name.as_py(), used[some].tobytes(), counts[a:b][some].astype(np.uint32).tobytes(), docs.as_py())):
                 out[k].append(v)
     return pa.table(out, schema=_COUNTED)
 
 
 def _per_document(key, group):
     """Adds up a block's counts over the hash ranges."""
-    total, sigs, docs = 0, None, None
-    for r in group.to_pylist():
-        raw = r["counts"]
-        c = np.frombuffer(raw[1:], np.uint16) if len(raw) % 2 else np.frombuffer(raw, np.uint32)
-        total = total + c.astype(np.int64)
-        if r["docs"] is not None:
-            sigs, docs = np.frombuffer(r["sigs"], np.int64), np.frombuffer(r["docs"], _DOC)
-    of = dict(zip(sigs.tolist(), np.atleast_1d(total).tolist())) if len(sigs) else {}
-    return pa.table(
-        {
-            "doc_id": pa.array(docs["doc"], mask=docs["null"].astype(bool)),
-            "n_shingles": docs["n"].astype(np.int64),
-            "sig": docs["sig"].copy(),
-            "repeated": np.array([of.get(x, 0) for x in docs["sig"].tolist()], np.int64),
-        },
-        schema=_PER_DOC,
-    )
+    total, docs = np.zeros(1 << 16, np.int64), None
+    for used, counts, header in zip(group.column("used"), group.column("counts"), group.column("docs")):
+        total[np.frombuffer(used.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+        if header.is_valid:
+            docs = np.frombuffer(header.as_buffer(), _DOC)
+    repeated = np.where(docs["n"] > 0, total[docs["set"]], 0)
+    return pa.table({"doc_id": pa.array(docs["doc"], mask=docs["null"].astype(bool)), "text_hash": docs["text"].copy(), "n_shingles": docs["n"].astype(np.int64), "sig": docs["sig"].copy(), "repeated": repeated}, schema=_PER_DOC)
 
 
 def _sets(width: int):
@@ -208,11 +196,12 @@ def _sets(width: int):
 
 
 def _orders(num: int, den: int):
-    """Prefixes of a set under the three global orders; of the first only tokens that another set has."""
+    """Prefixes of a set under the three global orders; only tokens that another set has."""
+    schema = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64())), ("third", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            out = {"sig": [], "n": [], "tokens": [], "first": [], "second": [], "third": [], "parity": []}
+            out = {k: [] for k in schema.names}
             all_tokens, all_df = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
             cuts = batch.column(1).offsets.to_numpy()
             cuts = cuts - cuts[0]
@@ -224,124 +213,135 @@ def _orders(num: int, den: int):
                 two = np.lexsort((mix(u ^ np.uint64(0x5851F42D4C957F2D)), np.log2(df).astype(np.int64)))[:size]
                 three = np.argsort(mix(u ^ np.uint64(0x14057B7EF767814F)))[:size]
                 parity = np.bincount((mix(u ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                for name, v in (("parity", np.packbits(parity.astype(np.uint8)).view(np.int64)), ("sig", sig), ("n", len(t)), ("tokens", np.sort(t).tobytes()), ("first", t[one][df[one] > 1]), ("second", np.sort(t[two][df[two] > 1]).tobytes()), ("third", np.sort(t[three][df[three] > 1]).tobytes())):
+                for name, v in zip(schema.names, (sig, len(t), *(t[x][df[x] > 1] for x in (one, two, three)), np.packbits(parity.astype(np.uint8)).view(np.int64))):
                     out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.binary()), ("third", pa.binary()), ("parity", pa.list_(pa.int64()))]))
-
-    return run
-
-
-def _compare(num: int, den: int):
-    """Keeps the pairs that share prefix tokens under the other orders and then reach the similarity."""
-
-    def run(batches):
-        for batch in batches:
-            col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
-            keep = []
-            for i in range(batch.num_rows):
-                get = lambda k: np.frombuffer(col[k][i].as_buffer(), np.int64)
-                good = True
-                for k in ("second", "third"):
-                    x, y = get(k + "_a"), get(k + "_b")
-                    if not len(np.intersect1d(x, y, assume_unique=True)):
-                        good = False
-                        break
-                if good:
-                    x, y = get("tokens_a"), get("tokens_b")
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good = den * both >= num * (len(x) + len(y) - both)
-                keep.append(good)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set signatures that are linked."""
-    side = lambda x: sets.select(F.col("sig").alias(x), F.col("tokens").alias("tokens_" + x), F.col("second").alias("second_" + x), F.col("third").alias("third_" + x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(_compare(num, den)), "a long, b long")
+def _linked(pairs: DataFrame, orders: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of set signatures that are linked: first the filters of the other orders, then the sets."""
+    side = lambda x: orders.select(F.col("sig").alias(x), F.col("second").alias("second_" + x), F.col("third").alias("third_" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    side = lambda x: sets.select(F.col("sig").alias(x), F.col("tokens").alias("tokens_" + x))
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return both.join(side("a"), "a").join(side("b"), "b").where(shared * den >= (F.size("tokens_a") + F.size("tokens_b") - shared) * num).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     size, rows = text_size(docs)
-    parts, files = max(256, size // (16 << 20)), file_count(rows)
-    postings = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_emit_postings(width, parts)), "p int, batch string, tokens binary, idx binary, sigs binary, docs binary")
-    counted = postings.groupBy("p").applyInArrow(_count_repeated, "batch string, counts binary, sigs binary, docs binary")
-    per_doc = stash(counted.groupBy("batch").applyInArrow(_per_document, "doc_id long, n_shingles long, sig long, repeated long"), "sets", files)
+    parts, files = max(64, size >> 24), file_count(rows)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    postings = docs.mapInArrow(tidy(_emit_postings(width, parts)), "p int, batch string, tokens binary, idx binary, used binary, sigs binary, docs binary")
+    counted = postings.groupBy("p").applyInArrow(_count_repeated, "batch string, used binary, counts binary, docs binary")
+    per_doc = stash(counted.groupBy("batch").applyInArrow(_per_document, "doc_id long, text_hash long, n_shingles long, sig long, repeated long"), "sets", files)
+    at_exit(docs.sparkSession, per_doc._stash_path)
     del postings, counted
     release(docs.sparkSession)
-    reps = per_doc.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("repeated").alias("repeated"))
-    alive = stash(reps.where(f"repeated * {den} >= n * {num}").select("rep", "sig"), "alive", files)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(maybe_broadcast(alive), "rep").select("sig", "text")
-    raw = stash(texts.mapInArrow(tidy(_sets(width)), "sig long, n int, tokens array<long>").dropDuplicates(["sig"]), "tokens", files)
-    exploded = raw.select("sig", F.explode("tokens").alias("token"))
+    known = per_doc.where("n_shingles > 0")
+    key = lambda df: df.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    reps = key(known).groupBy("sig").agg(F.min(F.struct("key", "text_hash")).alias("row"), F.max("n_shingles").alias("n"), F.max("repeated").alias("repeated"))
+    alive = stash(reps.where(f"repeated * {den} >= n * {num}").select("row.key", "row.text_hash", "sig"), "alive", files)
+    texts = key(docs).join(maybe_broadcast(alive), ["key", "text_hash"]).select("sig", "text")
+    sets = stash(texts.mapInArrow(tidy(_sets(width)), "sig long, n int, tokens array<long>").dropDuplicates(["sig"]), "tokens", files)
+    exploded = sets.select("sig", F.explode("tokens").alias("token"))
     df = exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     with_df = exploded.join(df, "token", "left").groupBy("sig").agg(F.collect_list(F.struct("token", F.coalesce("df", F.lit(1)).alias("df"))).alias("s")).select("sig", F.col("s.token").alias("tokens"), F.col("s.df").alias("dfs"))
-    sets = stash(with_df.mapInArrow(tidy(_orders(num, den)), "sig long, n int, tokens binary, first array<long>, second binary, third binary, parity array<long>"), "orders")
-    discard(raw, alive)
+    orders = stash(with_df.mapInArrow(tidy(_orders(num, den)), "sig long, n int, first array<long>, second array<long>, third array<long>, parity array<long>"), "orders")
+    discard(alive)
     del texts, exploded, df, with_df
     release(docs.sparkSession)
-    words = [F.col("parity")[k].alias(f"x{k}") for k in range(BITS // 64)]
-    lists = stash(sets.select("sig", "n", F.explode("first").alias("token"), *words), "lists", files)
-    labels = _contract(lists, sets, num, den, files)
-    reps = per_doc.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    # rows of one doc_id are one document
+    one_id = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("sig").alias("b"), F.max("sig").alias("high")).where("b < high").select("doc_id", "b")
+    same = stash(known.join(one_id, "doc_id").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct(), "same", files)
+    labels = _contract(orders, sets, same, num, den, files)
+    reps = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     of_sig = reps.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = of_sig.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_sig = stash(of_sig.join(smallest, "component").select("sig", "component_id"), "components", files)
-    discard(sets, labels)
+    at_exit(docs.sparkSession, of_sig._stash_path)
+    discard(sets, orders, labels, same)
     release(docs.sparkSession)
-    found = per_doc.where("n_shingles > 0").join(of_sig, "sig", "left").select("doc_id", "n_shingles", "component_id")
+    found = known.join(of_sig, "sig", "left").select("doc_id", "n_shingles", "component_id")
     alone = per_doc.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
 
-def _contract(lists: DataFrame, sets: DataFrame, num: int, den: int, files: int) -> DataFrame:
-    """(sig, component) over the links among the sets of each list."""
-    spark = lists.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, component long")
-    words = [f"x{k}" for k in range(BITS // 64)]
-    differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in words)
+def _contract(orders: DataFrame, sets: DataFrame, same: DataFrame, num: int, den: int, files: int) -> DataFrame:
+    """(sig, component) over ``same`` and the links among the sets of each list."""
+    differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in WORDS)
     fits = f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and ({differ}) * {den + num} <= (n_a + n_b) * {den - num}"
-    written, links = lists, []
-    lists = lists.withColumn("component", F.col("sig"))
-    for turn in range(ROUNDS + 1):
-        heads = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig", "n", "component", *words)).alias("pivot")).where("low <> high")
-        if turn < ROUNDS:
-            pairs = lists.join(heads, "token").where("component <> pivot.component").select("sig", F.col("pivot.sig").alias("p"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b"), *(F.col(x).alias(x + "_a") for x in words), *(F.col("pivot." + x).alias(x + "_b") for x in words)).where(fits)
-            pairs = pairs.select(F.least("sig", "p").alias("a"), F.greatest("sig", "p").alias("b"))
+    named = lambda df, x, *more: df.select(*more, F.col("sig").alias(x), F.col("component").alias("c_" + x), F.col("n").alias("n_" + x), *(F.col(w).alias(f"{w}_{x}") for w in WORDS))
+    parts = [F.col("parity")[k].alias(w) for k, w in enumerate(WORDS)]
+    lists = stash(orders.select("sig", "n", F.explode("first").alias("token"), *parts), "lists", files)
+    links, labels = [same], _labels(same)
+    before, turn = None, 0
+    while True:
+        named_lists = lists.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        named_lists = stash(named_lists, "named", files)
+        discard(lists)
+        lists = named_lists
+        heads = lists.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        heads = stash(heads.select("token", "m", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.k")).alias("q")), "heads", files)
+        cost, rows = heads.agg(F.sum(F.col("q") * F.col("m")), F.sum("m")).first()
+        if not rows:
+            discard(lists, heads)
+            break
+        last = cost <= FULL * rows or before is not None and cost > 0.7 * before
+        if last:
+            both = lists.join(heads, "token").withColumn("salts", F.ceil(F.col("m") / SALTED).cast("int"))
+            x = named(both.where("component <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "a", "token", "salt", "largest")
+            y = named(both.withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int")), "b", "token", "salt")
+            # a pair of two sets outside the largest component is met from both sides: once is enough
+            pairs, used = x.join(y, ["token", "salt"]).where("c_a <> c_b and (a < b or c_b = largest)").where(fits).select("a", "b"), None
         else:
-            x = lists.select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), *(F.col(w).alias(w + "_a") for w in words))
-            y = lists.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), *(F.col(w).alias(w + "_b") for w in words))
-            pairs = x.join(y, "token").where("a < b and c_a <> c_b").where(fits).select("a", "b")
-        pairs = stash(pairs.distinct(), "pairs", files)
-        if pairs.isEmpty():
-            if turn == ROUNDS:
-                break
-            mixed = stash(lists.join(heads.select("token"), "token", "left_semi"), "mixed", files)
-            discard(written)
-            written = mixed
-            if mixed.isEmpty():
-                break
-            lists = mixed
-            continue
-        found = stash(_linked(pairs, sets, num, den), "links", files)
-        discard(pairs)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            links.append(found)
-            labels = stash(connected_components(edges), "labels")
-            if turn < ROUNDS:
-                named = lists.drop("component").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-                named = stash(named, "named", files)
-                mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-                lists = stash(named.join(mixed, "token", "left_semi"), "mixed", files)
-                discard(named, written)
-                written = lists
-                if lists.isEmpty():
-                    break
-    out = stash(labels.select(F.col("node").alias("sig"), "component"), "labels")
-    discard(written, labels, *links)
+            pairs, used = _sampled(lists, heads, links, turn, named, fits)
+        pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", files)
+        links.append(stash(_linked(pairs, orders, sets, num, den), "links", files))
+        old, labels = labels, _labels(_all(links))
+        discard(pairs, old, *([used] if used is not None else []))
+        if last:
+            discard(lists, heads)
+            break
+        # what one component holds already is done with
+        mixed = stash(lists.drop("component").join(heads.select("token"), "token", "left_semi"), "mixed", files)
+        discard(lists, heads)
+        lists, before, turn = mixed, cost, turn + 1
+    discard(*links[1:])
+    out = labels.withColumnRenamed("node", "sig")
+    out._stash_path = labels._stash_path
+    return out
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
     return out
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, component), written."""
+    found = connected_components(edges)
+    out = stash(found, "labels")
+    discard(found)
+    return out
+
+
+def _sampled(lists: DataFrame, heads: DataFrame, links: list[DataFrame], turn: int, named, fits: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b) of one round over the long lists, as many as they have sets times a constant; a stage they read."""
+    long_ = lists.join(heads.where(f"m > {BUCKET}").select("token", "m"), "token")
+    # each set in one of its long lists: the longest at first, then that of smallest hash, which near copies share
+    rank = F.struct("m", "token") if turn == 0 else F.struct(F.xxhash64("token", F.lit(turn)), "token")
+    one = long_.groupBy("sig").agg(F.max(rank)["token"].alias("token"))
+    rows = stash(long_.join(one, ["sig", "token"]), "long")
+    buckets = F.pow(F.lit(2), F.ceil(F.log2(F.col("m") / BUCKET))).cast("long")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("sig", F.lit(turn)), buckets))
+    pairs = named(dealt, "a", "token", "bucket").join(named(dealt, "b", "token", "bucket"), ["token", "bucket"]).where("a < b and c_a <> c_b").where(fits).select("a", "b")
+    degree = _all(links).select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("degree"))
+    hubs = rows.join(degree, "sig").groupBy("token").agg(F.max(F.struct("degree", "sig", "n", "component", *WORDS)).alias("hub")).select("token", "hub.*")
+    to_hub = named(rows, "a", "token").join(named(hubs, "b", "token"), "token").where("c_a <> c_b").where(fits).select("a", "b")
+    return pairs.unionByName(to_hub), rows
