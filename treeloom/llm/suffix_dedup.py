@@ -37,7 +37,7 @@ GRAM, FINE_GRAM = 36, 90
 HOT = 3000
 #: Units of one map block; text of one shard.
 BLOCK_UNITS = 200_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes hashed at once by a map task.
 SLICE_BYTES = 1 << 18
 
