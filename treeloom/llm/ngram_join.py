@@ -16,7 +16,7 @@ of at least num/den.  What it does with all rows:
 4. *Long lists contract.*  Before the lists (all sets with one prefix token) are joined, rounds over the long ones
    link what they can at a cost in proportion to their rows: every set is compared with the sets of a random bucket of
    one list, and with the set of most links (near copies of one base all link to it).  Linked sets are one component.
-   Rounds go on while they shorten what is left to do.  Then every list is joined in full, but for the pairs within a
+   Rounds go on while they link enough.  Then every list is joined in full, but for the pairs within a
    component: each set outside its list's largest component against all others.  No link between components is lost.
 
 Nulls and empty texts have no set: n_shingles 0, a component of their own.  A doc_id on several rows is one document:
@@ -42,8 +42,9 @@ BLOCK_TOKENS = 500_000
 #: Bits of a set's parity bitmap.
 BITS = 1024
 WORDS = [f"x{k}" for k in range(BITS // 64)]
-#: Sets of a bucket; comparisons for each row of the lists up to which they are joined in full at once.
-BUCKET, FULL = 16, 16
+#: Sets of a bucket; comparisons for each row of the lists up to which they are joined in full at once; share of the
+#: long lists' sets that a round must link to be worth another one.
+BUCKET, FULL, WORTH = 64, 4, 0.02
 #: Sets of a list that one key of the full join stands for.
 SALTED = 2048
 
@@ -278,7 +279,7 @@ def _contract(orders: DataFrame, sets: DataFrame, same: DataFrame, num: int, den
     parts = [F.col("parity")[k].alias(w) for k, w in enumerate(WORDS)]
     lists = stash(orders.select("sig", "n", F.explode("first").alias("token"), *parts), "lists", files)
     links, labels = [same], _labels(same)
-    before, turn = None, 0
+    worth, turn = True, 0
     while True:
         named_lists = lists.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         named_lists = stash(named_lists, "named", files)
@@ -290,7 +291,7 @@ def _contract(orders: DataFrame, sets: DataFrame, same: DataFrame, num: int, den
         if not rows:
             discard(lists, heads)
             break
-        last = cost <= FULL * rows or before is not None and cost > 0.7 * before
+        last = cost <= FULL * rows or not worth
         if last:
             both = lists.join(heads, "token").withColumn("salts", F.ceil(F.col("m") / SALTED).cast("int"))
             x = named(both.where("component <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "a", "token", "salt", "largest")
@@ -302,14 +303,17 @@ def _contract(orders: DataFrame, sets: DataFrame, same: DataFrame, num: int, den
         pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", files)
         links.append(stash(_linked(pairs, orders, sets, num, den), "links", files))
         old, labels = labels, _labels(_all(links))
-        discard(pairs, old, *([used] if used is not None else []))
+        if used is not None:
+            worth = links[-1].count() >= WORTH * used.count()
+            discard(used)
+        discard(pairs, old)
         if last:
             discard(lists, heads)
             break
         # what one component holds already is done with
         mixed = stash(lists.drop("component").join(heads.select("token"), "token", "left_semi"), "mixed", files)
         discard(lists, heads)
-        lists, before, turn = mixed, cost, turn + 1
+        lists, turn = mixed, turn + 1
     discard(*links[1:])
     out = labels.withColumnRenamed("node", "sig")
     out._stash_path = labels._stash_path
