@@ -46,8 +46,17 @@ def test_edges(spark, nothing):
     assert phrase_hits(d, empty).where("n_hit > 0").count() == 0
 
 
+def test_long_items_and_clashing_columns(spark):
+    long = [f"w{k % 700}x{k // 700}" for k in range(20_000)]
+    rows = [(1, " ".join(long), "a", 1), (2, "start " + " ".join(long[5000:5050]) + " end", "b", 2), (3, " ".join(long[k] for k in range(0, 200, 2)), "c", 3), (None, " ".join(long[-12:]), "d", 4)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, item_id string, pos int")
+    b = spark.createDataFrame([(5, " ".join(long), 1), (6, " ".join(long), 2)], "item_id bigint, text string, doc_id int")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in phrase_hits(d, b).collect()}
+    assert got == {1: (20_000, 20_000, ["5", "6"]), 2: (52, 50, ["5", "6"]), 3: (100, 0, []), None: (12, 12, ["5", "6"])}
+
+
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "rare x x odd"), (2, "rare x x x x x x x x odd"), (3, "odd rare")], "doc_id bigint, text string")
+    d = spark.createDataFrame([(1, "rare x x odd"), (2, "rare x x x x x x x x odd"), (3, "odd rare"), (4, "rare"), (4, "odd"), (None, "rare"), (None, "odd")], "doc_id bigint, text string")
     b = spark.createDataFrame([(7, "rare odd")], "item_id bigint, text string")
     assert {r["doc_id"] for r in proximity_hits(d, b, 4).collect()} == {1, 3}
 
