@@ -22,28 +22,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import stash, utf8_buffer
+from treeloom.llm.common import at_exit, discard, maybe_broadcast, prepare, stash, utf8_buffer
 
-CELLS, SAMPLE = 1 << 14, 1500
+CELLS, SAMPLE, SLICES = 1 << 14, 1500, 64
 #: Weight of one trigram's evidence; pseudo-counts of tags and suffixes, of a suffix's and of a host's prior.
 TEMPER, TAG_PRIOR, SUFFIX_PRIOR, HOST_PRIOR = 0.3, 1.0, 5.0, 3.0
 
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
-_META = re.compile(r"(?is)<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([a-z]{2,3})")
+_OPENS = re.compile(r"(?i)<(?:(script|style|noscript|template)\b|!--)")
+_CLOSES = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "noscript", "template")}
+_TAG = re.compile(r"<[^>]*>")
+_HTML = re.compile(r"(?i)<html\b[^>]*>")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
+_META = re.compile(r"(?i)<meta\b[^>]*>")
+_CONTENT = re.compile(r"(?i)content\s*=\s*[\"']?\s*([a-z]{2,3})")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _ENTITY = re.compile(r"&[#\w]{1,12};")
 
 
+def _visible(html: str) -> str:
+    """The page without hidden elements and comments; linear: a closing mark that is missing is looked for once."""
+    out, at, missing = [], 0, set()
+    for m in _OPENS.finditer(html):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in missing:
+            continue
+        if kind:
+            close = _CLOSES[kind].search(html, m.end())
+            end = close.end() if close else -1
+        else:
+            end = html.find("-->", m.end())
+            end = end + 3 if end >= 0 else -1
+        if end < 0:
+            missing.add(kind)
+            continue
+        out.append(html[at : m.start()])
+        at = end
+    out.append(html[at:])
+    return " ".join(out)
+
+
 def page_text(html: str | None) -> str:
     """Visible text of a page, without entities (they say nothing about a language)."""
-    return _ENTITY.sub(" ", _TAG.sub(" ", _HIDDEN.sub(" ", html or "")))
+    text = _visible(html or "")
+    cut = text.rfind(">") + 1  # before it every tag ends
+    return _ENTITY.sub(" ", _TAG.sub(" ", text[:cut]) + text[cut:])
+
+
+def declared_language(html: str | None) -> str:
+    """The language that the first html tag or else a meta tag declares, or "none"."""
+    head = (html or "")[: (html or "").rfind(">") + 1]
+    tag = _HTML.search(head)
+    found = _LANG.search(tag[0]) if tag else None
+    if not found:
+        for m in _META.finditer(head):
+            at = m[0].lower().find("content-language")
+            found = _CONTENT.search(m[0], at + len("content-language")) if at >= 0 else None
+            if found:
+                break
+    return found[1].lower() if found else "none"
 
 
 def trigram_cells(texts: list[str]):
     """Cells of all trigrams of letters, and the row of each.  Digits, signs and white space become one space."""
-    data, offsets = utf8_buffer(pa.array([t.lower() for t in texts], pa.large_string()))
+    data, offsets = utf8_buffer(pa.array([(t or "").lower() for t in texts], pa.large_string()))
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     letter = (data >= 97) & (data <= 122) | (data >= 128)
@@ -60,15 +101,13 @@ def fit_text(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray
     from pyspark.sql import Window
 
     ranked = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    langs = sorted(r[0] for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
-    # the lowest hashes of each language: one bounded sort for each
-    picked = None
-    for lang in langs:
-        x = ranked.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(most).select("doc_id", "lang")
-        picked = x if picked is None else picked.unionByName(x)
-    if picked is None:
+    # the lowest hashes of each language: first within slices of a language, then of what the slices leave
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+    sliced = ranked.withColumn("slice", F.pmod("h", F.lit(SLICES))).withColumn("place", place("lang", "slice")).where(F.col("place") <= most)
+    picked = stash(sliced.withColumn("place", place("lang")).where(F.col("place") <= most).select("doc_id", "lang"), "languages")
+    langs = sorted(r[0] for r in picked.select("lang").distinct().collect())  # one row a language
+    if not langs:
         return ["und"], np.zeros((1, CELLS))
-    picked = stash(picked, "languages")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -84,7 +123,8 @@ def fit_text(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray
         c = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
         return pa.table({"lang": [key[0].as_py()], "counts": [c.tobytes()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("lang", "text").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary").collect()
+    rows = docs.select("doc_id", "text").join(maybe_broadcast(picked), "doc_id").select("lang", "text").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary").collect()
+    discard(picked)
     table = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in rows}
     c = np.array([table.get(x, np.zeros(CELLS, np.int64)) for x in langs]) + 0.5
     return langs, np.log(c / c.sum(1, keepdims=True))
@@ -93,6 +133,7 @@ def fit_text(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray
 def fuse(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """(page_id, lang, confidence, text_lang, declared, suffix, host) of pages (page_id, url, html)."""
     spark = pages.sparkSession
+    prepare(spark)
     model = spark.sparkContext.broadcast((table * TEMPER).astype(np.float64))
     n = len(langs)
 
@@ -110,8 +151,7 @@ def fuse(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
                 post /= post.sum(1, keepdims=True)
                 declared, suffix, host = [], [], []
                 for u, x in zip(batch.column(1).to_pylist(), html):
-                    m = _LANG.search(x or "") or _META.search(x or "")
-                    tag = m.group(1).lower() if m else "none"
+                    tag = declared_language(x)
                     declared.append(tag if tag in known or tag == "none" else "other")
                     h = _HOST.match(u or "")
                     name = h.group(1).lower() if h else ""
@@ -121,6 +161,7 @@ def fuse(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 
     columns = ", ".join([*(f"s{j} double" for j in range(n)), *(f"p{j} double" for j in range(n))])
     rows = stash(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(evidence, f"page_id long, declared string, suffix string, host string, {columns}"), "evidence")
+    at_exit(spark, rows._stash_path)
     sums = lambda key, to: rows.groupBy(key).agg(*(F.sum(f"p{j}").alias(f"{to}{j}") for j in range(n)))
     whole = rows.agg(*(F.sum(f"p{j}") for j in range(n))).first()
     total = [float(x or 0) + 1.0 for x in whole]
