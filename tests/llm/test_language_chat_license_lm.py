@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from treeloom.llm import chat, masked_lm
-from treeloom.llm.language import identify_languages
+from treeloom.llm.language import declared_language, fit_text, identify_languages, page_text
 from treeloom.llm.licenses import TEMPLATES, scan_licenses
 
 
@@ -23,6 +23,27 @@ def test_language(spark):
     assert all(0 < r["confidence"] <= 1 for r in got.values())
 
 
+def test_language_edges(spark):
+    docs = spark.createDataFrame([(k, f"word{k} le la", f"l{k % 70:02d}", "x") for k in range(140)] + [(1, None, "de", "x"), (None, "text", None, "x")], "doc_id bigint, text string, lang string, host string")
+    langs, table = fit_text(docs)
+    assert len(langs) == 70 and table.shape[0] == 70
+    no_docs, no_pages = spark.createDataFrame([], "doc_id bigint, text string, lang string"), spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert identify_languages(no_pages, docs).count() == 0
+    page = (1, "http://a.b/c", "<html lang=de>" + "<script " * 60_000 + "<" * 300_000)
+    got = identify_languages(spark.createDataFrame([page, page, (None, None, None)], no_pages.schema), no_docs).collect()
+    assert sorted((str(r["page_id"]), r["lang"]) for r in got) == [("1", "und"), ("1", "und"), ("None", "und")]
+    # a tie of all evidence goes to the first language by name
+    even = spark.createDataFrame([(1, "abc", "b"), (2, "abc", "a")], docs.select("doc_id", "text", "lang").schema)
+    assert identify_languages(spark.createDataFrame([(1, None, None)], no_pages.schema), even).first()["lang"] == "a"
+
+
+def test_visible_text():
+    assert page_text("<p>a<style>x</STYLE >b<!-- <p> -->c<script>open").split() == ["a", "b", "c", "open"]
+    assert page_text(None) == "" and page_text("a < b > c").split() == ["a", "c"]
+    assert declared_language("<html class=x lang='DE'>") == "de" and declared_language("<meta http-equiv=content-language content=fr>") == "fr"
+    assert declared_language("<html><html lang=de>") == declared_language(None) == "none"
+
+
 def brute_cost(roles):
     """Cheapest repair by trying every sequence of moves."""
     best = float("inf")
@@ -120,9 +141,44 @@ def test_masked_lm(spark, nothing):
         rows.append((i, " ".join(w)))
     rows += [(9000, None), (9001, "")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
-    got = {r["doc_id"]: r for r in masked_lm.score(d, *masked_lm.fit(d)).collect()}
+    got = {r["doc_id"]: r for r in masked_lm.score(d, masked_lm.fit(d)).collect()}
     ordered = np.mean([got[k]["per_word"] for k in range(1900)])
     shuffled = np.mean([got[k]["per_word"] for k in range(1900, 2000)])
     assert ordered > shuffled + 0.2
     assert got[9000]["n_words"] == 0 and got[9000]["per_word"] is None and got[9001]["log_likelihood"] == 0
-    assert masked_lm.score(nothing, *masked_lm.fit(nothing)).count() == 0
+    assert masked_lm.score(nothing, masked_lm.fit(nothing)).count() == 0
+
+
+def test_masked_lm_scores_by_plain_sums(spark):
+    """Word by word: the network's class probability times the word's exact share of its class."""
+    import pyarrow as pa
+
+    from treeloom.llm.common import utf8_buffer, word_hashes
+
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randint(1, 30)))) for k in range(40)]
+    rows += [(1, rows[1][1]), (1, "another text of one id"), (None, rows[2][1]), (None, rows[2][1]), (None, None), (7, "")]
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, word string").repartition(3)
+    model = masked_lm.fit(d)
+    got = sorted(((r["doc_id"], r["n_words"], round(r["log_likelihood"], 6)) for r in masked_lm.score(d, model).collect()), key=repr)
+    of = lambda t: word_hashes(*utf8_buffer(pa.array([t or ""])))[0].tolist()
+    counts = {}
+    for _, t in rows:
+        for w in of(t):
+            counts[w] = counts.get(w, 0) + 1
+    assert {r["word"] % (1 << 64): r["count"] for r in model.vocabulary.collect()} == counts
+    of_class = {}
+    for w, n in counts.items():
+        of_class[w % masked_lm.CLASSES] = of_class.get(w % masked_lm.CLASSES, 0) + n
+    net, want = masked_lm.Network(model.flat), []
+    for i, t in rows:
+        words, total = of(t), 0.0
+        c = [masked_lm.CLASSES] * masked_lm.SIDE + [w % masked_lm.CLASSES for w in words] + [masked_lm.CLASSES] * masked_lm.SIDE
+        for k, w in enumerate(words):
+            near = [c[k + masked_lm.SIDE + j] for j in (-2, -1, 1, 2)]
+            z = np.tanh(sum(net.embed[j][x] for j, x in enumerate(near))) @ net.out + net.bias
+            total += float(z[w % masked_lm.CLASSES] - np.log(np.exp(z).sum())) + np.log(counts[w] / of_class[w % masked_lm.CLASSES])
+        want.append((i, len(words), total))
+    want.sort(key=lambda r: repr((r[0], r[1], round(r[2], 6))))
+    assert [(i, n) for i, n, _ in got] == [(i, n) for i, n, _ in want]
+    assert np.allclose([x for _, _, x in got], [x for _, _, x in want], atol=1e-3)

@@ -2,27 +2,36 @@
 
 Words fall into ``CLASSES`` classes by hash.  The network predicts a masked word's class from the classes of two words
 on either side: position-wise embeddings are added, squashed, and read out by a softmax.  The word itself is then
-predicted within its class by corpus counts in ``CELLS`` hash cells.  A document's score is the sum of the logs of
-both, over all its words, each predicted from both sides.
+predicted within its class by its exact share of the corpus: a table with one count for each distinct word, which
+grows with the input and is joined back.  A document's score is the sum of the logs of both, over all its words, each
+predicted from both sides.
 
 Training gathers from the whole corpus.  In each round every task starts from the same network, goes once through the
-masked positions of all its documents (one in ``ROUNDS``, by hash of place: every position is a target in exactly one
-of the rounds), and hands on its network and its counts; the mean, weighted by words, starts the next round.
-What is sent grows with the number of tasks; sums are streamed, so no task or driver holds more than a few networks.
-With the tasks' share of the data the means differ a little, so scores depend slightly on how the input is split.
-
-Nulls and empty texts have no words: n_words 0, log_likelihood 0, per_word null.
+masked positions of all its documents (one in ``ROUNDS``, by hash of the word and its place in the document: every
+position is a target in exactly one of the rounds), and hands on its network; the mean, weighted by words, starts the
+next round.  What is sent grows with the number of tasks; sums are streamed in two steps, so no task or driver holds
+more than a few networks.  With the tasks' share of the data the means differ a little, so scores depend slightly on
+how the input is split.
+
+Nulls and empty texts have no words: n_words 0, log_likelihood 0, per_word null.  Every row gets a row, repeated and
+null ids too; equal rows have equal scores.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from treeloom.llm.common import mix, prepare, row_slices, tidy, utf8_buffer, word_hashes
+from treeloom.llm.common import at_exit, maybe_broadcast, mix, prepare, row_slices, stash, tidy, utf8_buffer, word_hashes
 
-CLASSES, CELLS, HIDDEN, SIDE = 128, 1 << 16, 24, 2
+CLASSES, HIDDEN, SIDE = 128, 24, 2
+#: Distinct words a task counts before it hands them on.
+COUNTED = 200_000
 ROUNDS, STEP, SUMS = 2, 0.15, 16
 #: Words in one step of training, words scored at once.
 TRAINED, BATCH = 512, 512
@@ -90,19 +99,23 @@ def _contexts(cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _words(column):
-    """For slices of an Arrow text column: first row, rows, row of each word, class, cell."""
+    """For slices of an Arrow text column: first row, rows, row of each word, class, hash, place in its document."""
     data, offsets = utf8_buffer(column)
     for i, j in row_slices(offsets):
         h, rows = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        cell = (h % np.uint64(CELLS)).astype(np.int64)
-        yield i, j - i, rows, (cell % CLASSES).astype(np.int16), cell, h
+        starts = np.searchsorted(rows, np.arange(j - i))
+        yield i, j - i, rows, (h % np.uint64(CLASSES)).astype(np.int16), h, np.arange(len(h)) - starts[rows]
+
+
+def masked(h: np.ndarray, place: np.ndarray, turn: int) -> np.ndarray:
+    """Whether a word is a target in this round."""
+    return mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ROUNDS) == turn
 
 
 def _train(flat: np.ndarray, turn: int):
     def run(batches):
         net = Network(flat)
-        counts, words, held = np.zeros(CELLS), 0, []
-        size = 0
+        words, held, size = 0, [], 0
 
         def step(least):
             nonlocal held, size
@@ -116,79 +129,131 @@ def _train(flat: np.ndarray, turn: int):
             held, size = ([(context[:, k:], target[k:])], len(target) - k) if k < len(target) else ([], 0)
 
         for batch in batches:
-            for _, _, rows, cls, cell, h in _words(batch.column(0)):
+            for _, _, rows, cls, h, place in _words(batch.column(0)):
                 if not len(cls):
                     continue
-                counts += np.bincount(cell, minlength=CELLS)
                 words += len(cls)
-                place = mix(h + np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                masked = np.flatnonzero(place % np.uint64(ROUNDS) == turn)
-                held.append((_contexts(cls, rows)[:, masked], cls[masked].astype(np.int64)))
-                size += len(masked)
+                which = np.flatnonzero(masked(h, place, turn))
+                held.append((_contexts(cls, rows)[:, which], cls[which].astype(np.int64)))
+                size += len(which)
                 if size >= 16 * TRAINED:
                     step(TRAINED)
         step(1)
         if words:
-            yield _state(words, net.flat.astype(np.float64) * words, counts)
+            yield _state(words, net.flat.astype(np.float64) * words)
 
     return run
 
 
-def _state(words, flat, counts):
-    return pa.RecordBatch.from_pydict({"words": [int(words)], "net": [np.asarray(flat, np.float64).tobytes()], "counts": [np.asarray(counts, np.float64).tobytes()]}, schema=pa.schema([("words", pa.int64()), ("net", pa.binary()), ("counts", pa.binary())]))
+_STATE = "words long, net binary"
+
+
+def _state(words, flat):
+    return pa.RecordBatch.from_pydict({"words": [int(words)], "net": [np.asarray(flat, np.float64).tobytes()]}, schema=pa.schema([("words", pa.int64()), ("net", pa.binary())]))
 
 
 def _add(batches):
     """Streams the sum of states."""
-    words, flat, counts = 0, 0.0, 0.0
+    words, flat = 0, 0.0
     for batch in batches:
-        for w, f, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            words, flat, counts = words + w, flat + np.frombuffer(f), counts + np.frombuffer(c)
+        for w, f in zip(*(batch.column(k).to_pylist() for k in range(2))):
+            words, flat = words + w, flat + np.frombuffer(f)
     if words:
-        yield _state(words, flat, counts)
+        yield _state(words, flat)
 
 
-_STATE = "words long, net binary, counts binary"
+def _count(batches):
+    """(word, count), summed over a task's blocks."""
+    held, total = [], 0
 
+    def summed():
+        words, counts = np.concatenate([w for w, _ in held]), np.concatenate([c for _, c in held])
+        words, at = np.unique(words, return_inverse=True)
+        return words, np.bincount(at, counts).astype(np.int64)
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Network and cell counts over all documents."""
-    prepare(docs.sparkSession)
-    flat, counts = Network().flat, np.zeros(CELLS)
+    batch_of = lambda w, c: pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], names=["word", "count"])
+    for batch in batches:
+        for _, _, _, _, h, _ in _words(batch.column(0)):
+            words, counts = np.unique(h, return_counts=True)
+            held.append((words, counts))
+            total += len(words)
+            if total >= COUNTED:
+                held = [summed()]
+                total = len(held[0][0])
+                if total >= COUNTED // 2:
+                    yield batch_of(*held[0])
+                    held, total = [], 0
+    if held:
+        yield batch_of(*summed())
+
+
+@dataclass
+class Model:
+    flat: np.ndarray  # the network
+    vocabulary: DataFrame  # word (hash), count: a written stage
+    classes: np.ndarray  # words of each class in the corpus
+
+
+def fit(docs: DataFrame) -> Model:
+    """Network and word counts over all documents."""
+    spark = docs.sparkSession
+    prepare(spark)
+    text = docs.select("text")
+    flat = Network().flat
+    first = max(SUMS, math.isqrt(text.rdd.getNumPartitions()))
     for turn in range(ROUNDS):
-        trained = docs.select("text").mapInArrow(tidy(_train(flat, turn)), _STATE).repartition(SUMS).mapInArrow(_add, _STATE)
-        rows = trained.collect()  # SUMS rows of one network and one table each
+        trained = text.mapInArrow(tidy(_train(flat, turn)), _STATE)
+        if first > SUMS:
+            trained = trained.repartition(first).mapInArrow(_add, _STATE)
+        rows = trained.repartition(SUMS).mapInArrow(_add, _STATE).collect()  # SUMS rows of one network each
         words = sum(r["words"] for r in rows)
         if not words:
             break
         flat = (sum(np.frombuffer(r["net"]) for r in rows) / words).astype(np.float32)
-        counts = sum(np.frombuffer(r["counts"]) for r in rows)
-    return flat, counts
+    vocabulary = stash(text.mapInArrow(tidy(_count), "word long, count long").groupBy("word").agg(F.sum("count").alias("count")), "vocabulary")
+    at_exit(spark, vocabulary._stash_path)
+    classes = np.ones(CLASSES)
+    for r in vocabulary.groupBy(F.col("word").bitwiseAND(F.lit(CLASSES - 1)).alias("c")).agg(F.sum("count").alias("n")).collect():  # CLASSES rows; a power of two, so low bits are the remainder
+        classes[r["c"]] = r["n"]
+    return Model(flat, vocabulary, classes)
 
 
-def score(docs: DataFrame, flat: np.ndarray, counts: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, log_likelihood, per_word); one row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    table = np.log(counts + 0.5)
-    within = (table.reshape(-1, CLASSES) - np.log((counts + 0.5).reshape(-1, CLASSES).sum(0))).ravel().astype(np.float32)
-    model = spark.sparkContext.broadcast((flat, within))  # of fixed size
+    shared = spark.sparkContext.broadcast((model.flat, np.log(model.classes)))  # of fixed size
 
     def run(batches):
-        weights, inside = model.value
+        """For each document its distinct words; the first of them carries the classes' part of the score."""
+        weights, per_class = shared.value
         net = Network(weights)
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, size, rows, cls, cell, _ in _words(batch.column(1)):
-                if not len(cls):
-                    continue
-                context = _contexts(cls, rows)
-                logs = inside[cell].astype(np.float64)
-                for k in range(0, len(cls), BATCH):
-                    _, z, norm = net.forward(context[:, k : k + BATCH])
-                    logs[k : k + BATCH] += z[np.arange(len(z)), cls[k : k + BATCH]] - norm
-                n[i : i + size] = np.bincount(rows, minlength=size)
-                total[i : i + size] = np.bincount(rows, logs, minlength=size)
-            per = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), per], names=["doc_id", "n_words", "log_likelihood", "per_word"])
-
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_words long, log_likelihood double, per_word double")
+            ids, texts = batch.column(0), batch.column(2)
+            for i, size, rows, cls, h, _ in _words(batch.column(1)):
+                total, n = np.zeros(size), np.bincount(rows, minlength=size)
+                if len(cls):
+                    context = _contexts(cls, rows)
+                    logs = -per_class[cls]
+                    for k in range(0, len(cls), BATCH):
+                        _, z, norm = net.forward(context[:, k : k + BATCH])
+                        logs[k : k + BATCH] += z[np.arange(len(z)), cls[k : k + BATCH]] - norm
+                    total = np.bincount(rows, logs, minlength=size)
+                order = np.lexsort((h, rows))
+                r, w = rows[order], h[order]
+                new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (w[1:] != w[:-1])][: len(r)])
+                empty = np.flatnonzero(n == 0)
+                row = np.r_[r[new], empty]
+                head = np.r_[True, row[1:] != row[:-1]][: len(row)] | (n[row] == 0)
+                times = np.r_[np.diff(np.r_[new, len(r)]), np.zeros(len(empty), np.int64)]
+                at = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(np.r_[w[new].view(np.int64), np.zeros(len(empty), np.int64)]), pa.array(times), pa.array(np.where(head, total[row], 0.0)), pa.array(np.where(head, n[row], 0)), pa.array(head.astype(np.int64))], names=["doc_id", "text_hash", "word", "times", "classes", "n_words", "rows"])
+
+    schema = "doc_id long, text_hash long, word long, times long, classes double, n_words long, rows long"
+    parts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(run), schema)
+    counted = parts.join(maybe_broadcast(model.vocabulary), "word", "left")
+    within = F.when(F.col("times") > 0, F.col("times") * F.log("count")).otherwise(0.0)
+    each = counted.groupBy("doc_id", "text_hash").agg(F.sum("rows").alias("rows"), F.sum("n_words").alias("n"), F.sum(F.col("classes") + within).alias("total"))
+    n = (F.col("n") / F.col("rows")).cast("long")
+    # equal rows were summed together: their mean, once for each
+    whole = each.select("doc_id", n.alias("n_words"), (F.col("total") / F.col("rows")).alias("log_likelihood"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row"))
+    return whole.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))
