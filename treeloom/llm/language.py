@@ -145,7 +145,7 @@ def fuse(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
                 batch = whole.slice(k, 500)
                 html = batch.column(2).to_pylist()
                 cell, rows = trigram_cells([page_text(x) for x in html])
-                score = np.stack([np.bincount(rows, logs[j][cell], minlength=len(html)) for j in range(n)], 1)
+                score = np.stack([np.bincount(rows, logs[j][cell], minlength=len(html)) for j in range(n)], 1).astype(np.float64)
                 score -= score.max(1, keepdims=True)
                 post = np.exp(score)
                 post /= post.sum(1, keepdims=True)
