@@ -58,22 +58,22 @@ def highest(ranges: Column) -> Column:
 
 def parse_cardinality(c: Column) -> Column:
     """{1}, {0-1}, {>0}, {<5}, {*}, lists by comma.  Null if malformed.  a-b needs b > a."""
-    body = F.regexp_extract(c, r"^\s*\{([^{}]*)\}\s*$", 1)
+    body = F.regexp_extract(c, r"\A\s*\{([^{}]*)\}\s*\z", 1)
     parts = F.transform(F.split(body, ","), lambda p: F.btrim(p, F.lit(" \t\r\n")))
     number = lambda p, k, pattern: F.regexp_extract(p, pattern, k).try_cast("bigint")
 
     def one(p):
-        pair = r"^(\d+)\s*-\s*(\d+)$"
+        pair = r"\A(\d+)\s*-\s*(\d+)\z"
         return (
             F.when(p == "*", span(0, None))
-            .when(p.rlike(r"^\d+$"), span(p.try_cast("bigint"), p.try_cast("bigint")))
+            .when(p.rlike(r"\A\d+\z"), span(p.try_cast("bigint"), p.try_cast("bigint")))
             .when(p.rlike(pair) & (number(p, 2, pair) > number(p, 1, pair)), span(number(p, 1, pair), number(p, 2, pair)))
-            .when(p.rlike(r"^>\s*\d+$"), span(number(p, 1, r"(\d+)") + 1, None))
-            .when(p.rlike(r"^<\s*\d+$") & (number(p, 1, r"(\d+)") > 0), span(0, number(p, 1, r"(\d+)") - 1))
+            .when(p.rlike(r"\A>\s*\d+\z"), span(number(p, 1, r"(\d+)") + 1, None))
+            .when(p.rlike(r"\A<\s*\d+\z") & (number(p, 1, r"(\d+)") > 0), span(0, number(p, 1, r"(\d+)") - 1))
         )
 
     ranges = F.transform(parts, one)
-    ok = c.rlike(r"^\s*\{[^{}]+\}\s*$") & ~F.exists(ranges, lambda r: r.isNull())
+    ok = c.rlike(r"\A\s*\{[^{}]+\}\s*\z") & ~F.exists(ranges, lambda r: r.isNull())
     return F.when(ok, F.array_sort(ranges))
 
 

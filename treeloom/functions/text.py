@@ -9,34 +9,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n"
-IDENTIFIER = "^[A-Za-z]([A-Za-z0-9_-]*[A-Za-z0-9])?$"
-NAMESPACED = "^[A-Za-z]([A-Za-z0-9_-]*[A-Za-z0-9])?(:[A-Za-z]([A-Za-z0-9_-]*[A-Za-z0-9])?)*$"
+IDENTIFIER = r"\A[A-Za-z]([A-Za-z0-9_-]*[A-Za-z0-9])?\z"  # $ would also match before a last line break
+NAMESPACED = r"\A[A-Za-z]([A-Za-z0-9_-]*[A-Za-z0-9])?(:[A-Za-z]([A-Za-z0-9_-]*[A-Za-z0-9])?)*\z"
 #: Tokens of the language itself, which users can't define (fixed values).
 RESERVED_TOKENS = ("\\", "%", "%{", "}%", "{!", "<\\", "\\>")
 
 
 def is_alphabetic(c: Column) -> Column:
-    return c.rlike("^[A-Za-z]$")
+    return c.rlike(r"\A[A-Za-z]\z")
 
 
 def is_numeric(c: Column) -> Column:
-    return c.rlike("^[0-9]$")
+    return c.rlike(r"\A[0-9]\z")
 
 
 def is_hexadecimal(c: Column) -> Column:
-    return c.rlike("^[0-9A-Fa-f]$")
+    return c.rlike(r"\A[0-9A-Fa-f]\z")
 
 
 def is_alphanumeric(c: Column) -> Column:
-    return c.rlike("^[A-Za-z0-9]$")
+    return c.rlike(r"\A[A-Za-z0-9]\z")
 
 
 def is_whitespace(c: Column) -> Column:
-    return c.rlike("^[ \t\r\n]$")
+    return c.rlike("\\A[ \t\r\n]\\z")
 
 
 def is_linebreak(c: Column) -> Column:
-    return c.rlike("^[\r\n]$")
+    return c.rlike("\\A[\r\n]\\z")
 
 
 def is_identifier(c: Column) -> Column:
@@ -53,8 +53,8 @@ def is_namespaced_identifier(c: Column) -> Column:
 
 def is_user_defined_token(c: Column) -> Column:
     """A token that a schema may define: begins and ends with a sign, holds no white space, is not reserved."""
-    edges = c.rlike("^[^A-Za-z0-9]") & c.rlike("[^A-Za-z0-9]$")
-    return edges & ~c.rlike("[ \t\r\n]") & ~c.isin(*RESERVED_TOKENS) & ~c.rlike("^[{}]+$")
+    edges = c.rlike(r"\A[^A-Za-z0-9]") & c.rlike(r"[^A-Za-z0-9]\z")
+    return edges & ~c.rlike("[ \t\r\n]") & ~c.isin(*RESERVED_TOKENS) & ~c.rlike(r"\A[{}]+\z")
 
 
 def has_non_whitespace(c: Column) -> Column:
@@ -92,7 +92,7 @@ def to_lower(c: Column) -> Column:
 
 def file_extension(c: Column) -> Column:
     """Lower-cased extension; empty if the last dot stands before a separator."""
-    return to_lower(F.regexp_extract(c, r"\.([^./\\]*)$", 1))
+    return to_lower(F.regexp_extract(c, r"\.([^./\\]*)\z", 1))
 
 
 def starts_with(c: Column, s: str) -> Column:
@@ -110,10 +110,9 @@ def xml_escape(c: Column) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string literal."""
-    for sign, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\v", "\\u000b")):
-        c = F.replace(c, F.lit(sign), F.lit(escaped))
-    return F.concat(F.lit('"'), c, F.lit('"'))
+    """A JSON string literal; every control character is escaped."""
+    wrapped = F.to_json(F.struct(c.alias("x")))
+    return F.when(c.isNotNull(), wrapped.substr(F.lit(6), F.length(wrapped) - 6))
 
 
 def normalise_linebreaks(c: Column) -> Column:

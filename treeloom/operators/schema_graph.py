@@ -1,6 +1,7 @@
 """Graph operators over schema tables: closures, effective fields, shortest implicit paths, cycles.
 
-Schemas are small; the closures are recursive queries with a visited array, so cycles end them.
+Nothing is bounded in depth.  Closures and cycles double the length of what they have joined in each round, paths go
+breadth first, one level a round, and meet no pair twice; a round is an equi-join and an aggregate, cut from the next.
 """
 
 from __future__ import annotations
@@ -8,38 +9,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.operators.stages import cut
 
-def _view(df: DataFrame, name: str) -> str:
-    df.createOrReplaceTempView(name)
-    return name
 
-
-def isa_closure(edges: DataFrame, most: int = 100) -> DataFrame:
+def isa_closure(edges: DataFrame) -> DataFrame:
     """(sub, sup, distance) of edges (child, parent), distance 0 included; shortest distance where there are several."""
-    v = _view(edges.where("parent is not null"), "treeloom_isa")
-    n = _view(edges.select(F.col("child").alias("id")).union(edges.where("parent is not null").select("parent")).distinct(), "treeloom_isa_nodes")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE up(sub, sup, distance, path) MAX RECURSION LEVEL {most} AS (
-              SELECT id, id, 0, array(id) FROM {n}
-              UNION ALL
-              SELECT up.sub, e.parent, up.distance + 1, array_append(up.path, e.parent)
-              FROM up JOIN {v} e ON e.child = up.sup WHERE NOT array_contains(up.path, e.parent))
-            SELECT sub, sup, min(distance) AS distance FROM up GROUP BY sub, sup"""
-    )
-
-
-def cycles(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(start, cycle): every cycle of a functional reference, once, from its smallest member."""
-    v = _view(edges.where("parent is not null"), "treeloom_cyc")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(start, here, path) MAX RECURSION LEVEL {most} AS (
-              SELECT child, parent, array(child) FROM {v}
-              UNION ALL
-              SELECT walk.start, e.parent, array_append(walk.path, walk.here)
-              FROM walk JOIN {v} e ON e.child = walk.here
-              WHERE walk.here <> walk.start AND NOT array_contains(walk.path, walk.here))
-            SELECT DISTINCT start, path AS cycle FROM walk WHERE here = start AND start = array_min(path)"""
-    )
+    known = edges.where("child is not null")
+    ids = known.select(F.col("child").alias("id")).union(known.where("parent is not null").select("parent")).distinct()
+    pairs = ids.select(F.col("id").alias("sub"), F.col("id").alias("sup"), F.lit(0).alias("distance")).union(known.where("parent is not null").select("child", "parent", F.lit(1)))
+    reach = cut(pairs.groupBy("sub", "sup").agg(F.min("distance").alias("distance")))
+    size = lambda r: tuple(r.agg(F.count("*"), F.sum("distance")).first())
+    now = size(reach)
+    while True:
+        up = reach.select(F.col("sub").alias("mid"), F.col("sup").alias("top"), F.col("distance").alias("more"))
+        twice = reach.join(up, F.col("sup") == F.col("mid")).groupBy("sub", F.col("top").alias("sup")).agg(F.min(F.col("distance") + F.col("more")).alias("distance"))
+        reach, before = cut(twice), now
+        now = size(reach)
+        if now == before:
+            return reach
+
+
+def can_contain(edges: DataFrame) -> DataFrame:
+    """(owner, child, distance): which classes may stand anywhere below which; edges (src, dst): classes allowed in fields."""
+    over = edges.select(F.col("src").alias("child"), F.col("dst").alias("parent"))
+    below = isa_closure(over).where("distance > 0").select(F.col("sub").alias("owner"), F.col("sup").alias("child"), "distance")
+    # a class that contains itself through others: one step to each of them, then back
+    first = edges.select("src", "dst").distinct()
+    self_ = below.join(first, (F.col("child") == F.col("src")) & (F.col("owner") == F.col("dst"))).groupBy("owner").agg(F.min(F.col("distance") + 1).alias("distance"))
+    alone = first.where("src = dst").select(F.col("src").alias("owner"), F.lit(1).alias("distance"))
+    loops = self_.unionByName(alone).groupBy("owner").agg(F.min("distance").alias("distance")).select("owner", F.col("owner").alias("child"), "distance")
+    return below.unionByName(loops)
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(start, cycle): every cycle of a functional reference (child, parent), once, from its smallest member.
+
+    Steps are doubled until the set of nodes they end in no longer shrinks: those nodes lie on cycles.  Only they
+    are then ordered.
+    """
+    e = edges.where("child is not null and parent is not null").select("child", "parent")
+    jump = cut(e)
+    left = jump.select("parent").distinct().count()
+    while left:
+        further = jump.select(F.col("child").alias("mid"), F.col("parent").alias("to"))
+        jump = cut(jump.join(further, F.col("parent") == F.col("mid")).select("child", F.col("to").alias("parent")))
+        before, left = left, jump.select("parent").distinct().count()
+        if left == before:
+            break
+    on = e.join(jump.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+    # smallest member of each cycle
+    low = cut(on.select("child", "parent", F.least("child", "parent").alias("low")))
+    total = None
+    while True:
+        further = low.select(F.col("child").alias("mid"), F.col("parent").alias("to"), F.col("low").alias("other"))
+        low = cut(low.join(further, F.col("parent") == F.col("mid")).select("child", F.col("to").alias("parent"), F.least("low", "other").alias("low")))
+        now = tuple(low.agg(F.countDistinct("low"), F.count("*"), F.sum(F.xxhash64("child", "low").cast("decimal(38,0)"))).first())
+        if now == total:
+            break
+        total = now
+    # steps that each member is before the smallest, by doubling over pointers that stop there
+    members = on.join(low.select("child", "low"), "child")
+    go = cut(members.select("child", F.when(F.col("child") == F.col("low"), F.col("child")).otherwise(F.col("parent")).alias("to"), (F.col("child") != F.col("low")).cast("int").alias("steps"), "low"))
+    while not go.where("to <> low").isEmpty():
+        further = go.select(F.col("child").alias("mid"), F.col("to").alias("end"), F.col("steps").alias("more"))
+        go = cut(go.join(further, F.col("to") == F.col("mid")).select("child", F.col("end").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), "low"))
+    size = go.groupBy("low").agg(F.count("*").alias("n"))
+    placed = go.join(size, "low").select("low", F.pmod(F.col("n") - F.col("steps"), F.col("n")).alias("place"), "child")
+    return placed.groupBy(F.col("low").alias("start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "child"))), lambda x: x["child"]).alias("cycle"))
 
 
 def effective_fields(classes: DataFrame, fields: DataFrame) -> DataFrame:
@@ -63,43 +99,39 @@ def allowed_children(field_children: DataFrame, classes: DataFrame) -> DataFrame
     return field_children.join(up, F.col("child") == up["sup"]).select("owner", "field", F.col("sub").alias("child")).distinct()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_hops: int) -> DataFrame:
+def _breadth_first(level: DataFrame, edges: DataFrame, seen: DataFrame, through: DataFrame | None, most_hops: int | None) -> DataFrame:
+    """(source, here, hops, n_paths, path) from the first level on; pairs (source, here) of ``seen`` are not met again."""
+    level = cut(level)
+    out, hops = level, 1
+    seen = seen.unionByName(level.select("source", "here"))
+    e = edges.select("src", "dst").distinct()
+    while (most_hops is None or hops < most_hops) and not level.isEmpty():
+        on = level.join(through.select(F.col("class").alias("here")).distinct(), "here", "left_semi") if through is not None else level
+        further = on.join(e, on["here"] == e["src"]).groupBy("source", F.col("dst").alias("here")).agg(F.sum("n_paths").alias("n_paths"), F.min(F.array_append("path", F.col("dst"))).alias("path"))
+        hops += 1
+        level = cut(further.join(seen, ["source", "here"], "left_anti").select("source", "here", F.lit(hops).alias("hops"), "n_paths", "path"))
+        out, seen = out.unionByName(level), seen.unionByName(level.select("source", "here"))
+    return out
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most_hops: int | None = None) -> DataFrame:
     """(source, target, hops, n_paths, path): fewest hops over edges (src, dst), the first path in order, and how many there are."""
-    e = _view(edges, "treeloom_sp_edges")
-    s = _view(sources.select(F.col(sources.columns[0]).alias("id")).distinct(), "treeloom_sp_sources")
-    t = _view(targets.select(F.col(targets.columns[0]).alias("id")).distinct(), "treeloom_sp_targets")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(source, here, hops, path) MAX RECURSION LEVEL {most_hops + 1} AS (
-              SELECT id, id, 0, array(id) FROM {s}
-              UNION ALL
-              SELECT walk.source, e.dst, walk.hops + 1, array_append(walk.path, e.dst)
-              FROM walk JOIN {e} e ON e.src = walk.here
-              WHERE walk.hops < {most_hops} AND NOT array_contains(walk.path, e.dst)),
-            hit AS (SELECT source, here AS target, hops, path, min(hops) OVER (PARTITION BY source, here) AS least
-                    FROM walk JOIN {t} t ON t.id = walk.here WHERE hops > 0)
-            SELECT source, target, hops, count(*) AS n_paths, min(path) AS path FROM hit WHERE hops = least GROUP BY source, target, hops"""
-    )
-
-
-def implicit_paths(edges: DataFrame, transparent: DataFrame, most_hops: int = 12) -> DataFrame:
+    s = sources.select(F.col(sources.columns[0]).alias("source")).distinct()
+    t = targets.select(F.col(targets.columns[0]).alias("target")).distinct()
+    first = s.join(edges.select("src", "dst").distinct(), F.col("source") == F.col("src")).where("src <> dst")
+    first = first.select("source", F.col("dst").alias("here"), F.lit(1).alias("hops"), F.lit(1).cast("bigint").alias("n_paths"), F.array("source", "dst").alias("path"))
+    walked = _breadth_first(first, edges, s.select("source", F.col("source").alias("here")), None, most_hops)
+    return walked.join(t, F.col("here") == F.col("target"), "left_semi").select("source", F.col("here").alias("target"), "hops", "n_paths", "path")
+
+
+def implicit_paths(edges: DataFrame, transparent: DataFrame, most_hops: int | None = None) -> DataFrame:
     """(source, target, hops, ambiguous, path): how a class is reached from another through transparent classes only.
 
     edges (src, dst): classes allowed in a class's TREE field; every class between source and target is transparent.
     """
-    inner = transparent.select(F.col("class").alias("src"))
-    first = edges.select("src", "dst")
-    e = _view(first, "treeloom_ip_edges")
-    m = _view(inner, "treeloom_ip_inner")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(source, here, hops, path) MAX RECURSION LEVEL {most_hops + 1} AS (
-              SELECT src, dst, 1, array(dst) FROM {e}
-              UNION ALL
-              SELECT walk.source, e.dst, walk.hops + 1, array_append(walk.path, e.dst)
-              FROM walk JOIN {m} m ON m.src = walk.here JOIN {e} e ON e.src = walk.here
-              WHERE walk.hops < {most_hops} AND NOT array_contains(walk.path, e.dst)),
-            best AS (SELECT source, here AS target, hops, path, min(hops) OVER (PARTITION BY source, here) AS least FROM walk)
-            SELECT source, target, hops, count(*) > 1 AS ambiguous, min(path) AS path FROM best WHERE hops = least GROUP BY source, target, hops"""
-    )
+    first = edges.select("src", "dst").distinct().select(F.col("src").alias("source"), F.col("dst").alias("here"), F.lit(1).alias("hops"), F.lit(1).cast("bigint").alias("n_paths"), F.array("dst").alias("path"))
+    walked = _breadth_first(first, edges, first.select("source", "here").limit(0), transparent, most_hops)
+    return walked.select("source", F.col("here").alias("target"), "hops", (F.col("n_paths") > 1).alias("ambiguous"), "path")
 
 
 def default_fields(paths: DataFrame, primitives: DataFrame) -> DataFrame:

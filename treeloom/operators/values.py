@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"^-?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?$"
-HEXADECIMAL = r"^-?0x[0-9A-Fa-f]+$"
+NUMBER = r"\A-?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?\z"
+HEXADECIMAL = r"\A-?0x[0-9A-Fa-f]+\z"
 
 
 def kind_of(text: Column) -> Column:
@@ -18,11 +18,11 @@ def kind_of(text: Column) -> Column:
     return (
         F.when(text.isNull() | (text == "null"), "null")
         .when(text.isin("true", "false"), "bool")
-        .when(text.rlike(r"^-?[0-9]+$") | text.rlike(HEXADECIMAL), "int")
+        .when(text.rlike(r"\A-?[0-9]+\z") | text.rlike(HEXADECIMAL), "int")
         .when(text.rlike(NUMBER), "double")
-        .when(text.rlike(r"^\{.*\}$"), "cardinality")
-        .when(text.rlike(r"^\[.*=.*\]$"), "map")
-        .when(text.rlike(r"^\[.*\]$"), "array")
+        .when(text.rlike(r"(?s)\A\{.*\}\z"), "cardinality")
+        .when(text.rlike(r"(?s)\A\[.*=.*\]\z"), "map")
+        .when(text.rlike(r"(?s)\A\[.*\]\z"), "array")
         .otherwise("string")
     )
 
@@ -30,7 +30,7 @@ def kind_of(text: Column) -> Column:
 def number(text: Column) -> Column:
     """Value of a decimal, exponent or hexadecimal literal as double; null if it is none."""
     sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    hexadecimal = sign * F.conv(F.regexp_extract(text, "0x([0-9A-Fa-f]+)$", 1), 16, 10).try_cast("double")
+    hexadecimal = sign * F.conv(F.regexp_extract(text, r"0x([0-9A-Fa-f]+)\z", 1), 16, 10).try_cast("double")
     return F.when(text.rlike(HEXADECIMAL), hexadecimal).when(text.rlike(NUMBER), text.try_cast("double"))
 
 

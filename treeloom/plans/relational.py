@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import ranges, text
 from treeloom.operators import intervals, resolve, schema_graph, trees, unique_ids, validate, values
+from treeloom.operators.stages import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -102,9 +103,15 @@ def descendant_counts(spark, d):
 
 @query("SELECT 'item:' || l_orderkey || '-' || l_linenumber AS node_id, 'nation:' || n_nationkey AS ancestor_id, 3 AS distance FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def ancestor_select(spark, d):
-    """Nearest ancestor of kind nation of every line item."""
-    nodes = forest(spark, d).where("depth > 0")
-    return trees.nearest_ancestor(nodes.dropDuplicates(["node_id"]), ["nation"], 3).where(F.col("node_id").startswith("item:"))
+    """Nearest ancestor of kind nation of every line item.
+
+    Ancestors are found for the orders, which are few; line items then meet their order's row once, by its integer key.
+    """
+    order, customer = t(spark, d, "orders"), t(spark, d, "customer")
+    upper = trees.from_levels([("nation", t(spark, d, "nation"), "n_nationkey", None, "n_name"), ("customer", customer, "c_custkey", "c_nationkey", "c_name"), ("order", order, "o_orderkey", "o_custkey", "o_orderpriority")])
+    near = trees.nearest_ancestor(upper, ["nation"], 2).where(F.col("node_id").startswith("order:")).select(F.substring_index("node_id", ":", -1).cast("bigint").alias("l_orderkey"), "ancestor_id", (F.col("distance") + 1).alias("distance"))
+    items = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return items.join(near, "l_orderkey").select(F.concat(F.lit("item:"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("node_id"), "ancestor_id", "distance")
 
 
 @query("""SELECT DISTINCT 'part:' || p_partkey AS sub, x.sup, x.distance FROM part, LATERAL (VALUES ('part:' || p_partkey, 0), ('brand:' || p_brand || '/' || p_type, 1), ('type:' || p_type, 2)) x(sup, distance)
@@ -117,16 +124,96 @@ def class_closure(spark, d):
     return schema_graph.isa_closure(edges)
 
 
-@query("""WITH e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_partkey <> b.l_partkey WHERE a.l_partkey < 40 AND b.l_partkey < 40),
-    one AS (SELECT src, dst FROM e), two AS (SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst),
-    both_ AS (SELECT src, dst, 1 AS hops FROM one UNION ALL SELECT src, dst, 2 FROM two)
-    SELECT src AS source, dst AS target, min(hops) AS hops, count(*) FILTER (hops = m) AS n_paths FROM (SELECT *, min(hops) OVER (PARTITION BY src, dst) AS m FROM both_) WHERE src < 10 GROUP BY src, dst""")
+#: Classes of four levels and what stands in what, over the whole tables: segment, priority, brand, nation.
+_LAYERS = """e AS (SELECT DISTINCT 'segment:' || c_mktsegment AS src, 'priority:' || o_orderpriority AS dst FROM customer JOIN orders ON o_custkey = c_custkey
+      UNION SELECT DISTINCT 'priority:' || o_orderpriority, 'brand:' || p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+      UNION SELECT DISTINCT 'brand:' || p_brand, 'nation:' || s_nationkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+    p AS (SELECT src AS source, dst AS target, 1 AS hops, count(*) AS n_paths FROM e GROUP BY ALL
+      UNION ALL SELECT a.src, b.dst, 2, count(*) FROM e a JOIN e b ON a.dst = b.src GROUP BY ALL
+      UNION ALL SELECT a.src, c.dst, 3, count(*) FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src GROUP BY ALL)"""
+
+
+def layers(spark, d) -> DataFrame:
+    """(src, dst) of ``_LAYERS``; line items are reduced to distinct keys before any join."""
+    item, order = t(spark, d, "lineitem"), t(spark, d, "orders")
+    part = t(spark, d, "part").select("p_partkey", F.concat(F.lit("brand:"), "p_brand").alias("brand"))
+    pri = order.select("o_orderkey", "o_custkey", F.concat(F.lit("priority:"), "o_orderpriority").alias("pri"))
+    one = t(spark, d, "customer").select("c_custkey", F.concat(F.lit("segment:"), "c_mktsegment").alias("src")).join(pri.select(F.col("o_custkey").alias("c_custkey"), F.col("pri").alias("dst")).distinct(), "c_custkey").select("src", "dst")
+    two = item.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).join(pri.select("o_orderkey", "pri"), "o_orderkey").select("pri", "p_partkey").distinct().join(part, "p_partkey").select(F.col("pri").alias("src"), F.col("brand").alias("dst"))
+    home = t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("dst"))
+    three = item.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct().join(part, "p_partkey").select("brand", "l_suppkey").distinct().join(home, "l_suppkey").select(F.col("brand").alias("src"), "dst")
+    return one.union(two).union(three).distinct()
+
+
+@query(f"WITH {_LAYERS} SELECT source, target, hops, n_paths FROM p")
 def shortest_implicit_path(spark, d):
-    """Fewest hops (two at most) from parts below 10 over parts below 40 that share a supplier: a graph of schema size."""
-    l = t(spark, d, "lineitem").where("l_partkey < 40").select("l_partkey", "l_suppkey").distinct()
-    e = l.select(F.col("l_partkey").alias("src"), "l_suppkey").join(l.select(F.col("l_partkey").alias("dst"), "l_suppkey"), "l_suppkey").where("src <> dst").select("src", "dst").distinct()
-    ends = l.select("l_partkey").distinct()
-    return schema_graph.shortest_paths(e, ends.where("l_partkey < 10"), ends, 2).select("source", "target", "hops", "n_paths")
+    """Fewest hops between any two classes of the whole tables, and how many shortest ways there are."""
+    e = cut(layers(spark, d))
+    ends = e.select(F.col("src").alias("id")).union(e.select("dst"))
+    return schema_graph.shortest_paths(e, ends, ends).select("source", "target", "hops", "n_paths")
+
+
+@query(f"WITH {_LAYERS} SELECT source AS owner, target AS child, hops AS distance FROM p")
+def can_contain(spark, d):
+    """Which classes may stand anywhere below which."""
+    return schema_graph.can_contain(cut(layers(spark, d)))
+
+
+def _inner(e: DataFrame) -> DataFrame:
+    return e.where("src not like 'segment:%'").select(F.col("src").alias("class")).distinct()
+
+
+@query(f"WITH {_LAYERS} SELECT source, target, hops, n_paths > 1 AS ambiguous FROM p")
+def permitted_children(spark, d):
+    """Children that a class may have through transparent classes (priorities and brands)."""
+    e = cut(layers(spark, d))
+    return schema_graph.implicit_paths(e, _inner(e)).select("source", "target", "hops", "ambiguous")
+
+
+@query(f"WITH {_LAYERS} SELECT source, target, hops FROM p WHERE target LIKE 'nation:%'")
+def default_fields(spark, d):
+    """Primitive classes (nations) that are the default of a class, by hops."""
+    e = cut(layers(spark, d))
+    primitives = e.where("dst like 'nation:%'").select(F.col("dst").alias("class")).distinct()
+    return schema_graph.default_fields(schema_graph.implicit_paths(e, _inner(e)), primitives)
+
+
+@query(f"""WITH {_LAYERS}, k AS (SELECT 'nation:' || n_nationkey AS class, '*' || (n_nationkey % 7) AS token FROM nation)
+    SELECT source, token, class, hops AS depth, count(*) OVER (PARTITION BY source, token, hops) > 1 AS ambiguous FROM p JOIN k ON k.class = target""")
+def permitted_tokens(spark, d):
+    """Tokens of nations that may stand in a class; two at one depth are ambiguous."""
+    e = cut(layers(spark, d))
+    tokens = t(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("class"), F.concat(F.lit("*"), (F.col("n_nationkey") % 7).cast("string")).alias("token"))
+    return schema_graph.permitted_tokens(schema_graph.implicit_paths(e, _inner(e)), tokens)
+
+
+@query("""WITH c AS (SELECT 'part:' || p_partkey AS class, 'brand:' || p_brand || '/' || p_type AS b, 'type:' || p_type AS ty, p_size FROM part),
+    f AS (SELECT DISTINCT ty AS class, 'kind' AS field, 'SUBTREE' AS field_type, 0 AS seq FROM c UNION ALL SELECT DISTINCT b, 'kind', 'SUBTREE', 0 FROM c
+      UNION ALL SELECT DISTINCT b, '', 'TREE', 1 FROM c UNION ALL SELECT class, 'size', 'SUBTREE', 0 FROM c UNION ALL SELECT class, '', 'TREE', 1 FROM c WHERE p_size > 25),
+    up AS (SELECT class, class AS owner, 0 AS distance FROM c UNION ALL SELECT class, b, 1 FROM c UNION ALL SELECT class, ty, 2 FROM c
+      UNION ALL SELECT DISTINCT b, b, 0 FROM c UNION ALL SELECT DISTINCT b, ty, 1 FROM c UNION ALL SELECT DISTINCT ty, ty, 0 FROM c),
+    k AS (SELECT up.class, up.owner, field, field_type, seq, distance, row_number() OVER (PARTITION BY up.class, field ORDER BY distance, seq) AS r FROM up JOIN f ON f.class = up.owner)
+    SELECT class, owner, field, field_type, CAST(row_number() OVER (PARTITION BY class ORDER BY field_type = 'TREE', distance DESC, seq) - 1 AS INTEGER) AS seq FROM k WHERE r = 1""")
+def effective_fields(spark, d):
+    """Own and inherited fields of every part's class: hidden ones gone, the tree field last."""
+    p = t(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("class"), F.concat(F.lit("brand:"), "p_brand", F.lit("/"), "p_type").alias("b"), F.concat(F.lit("type:"), "p_type").alias("ty"), "p_size")
+    classes = p.select("class", F.col("b").alias("superclass")).union(p.select("b", "ty").distinct()).union(p.select("ty", F.lit(None).cast("string")).distinct())
+    field = lambda df, c, name, kind, seq: df.select(F.col(c).alias("class"), F.lit(name).alias("field"), F.lit(kind).alias("field_type"), F.lit(seq).alias("seq"))
+    types, brands = p.select("ty").distinct(), p.select("b").distinct()
+    fields = field(types, "ty", "kind", "SUBTREE", 0).union(field(brands, "b", "kind", "SUBTREE", 0)).union(field(brands, "b", "", "TREE", 1)).union(field(p, "class", "size", "SUBTREE", 0)).union(field(p.where("p_size > 25"), "class", "", "TREE", 1))
+    return schema_graph.effective_fields(classes, fields)
+
+
+@query("""WITH c AS (SELECT DISTINCT 'brand:' || p_brand || '/' || p_type AS b, 'type:' || p_type AS ty FROM part)
+    SELECT DISTINCT 'priority:' || o_orderpriority AS owner, '' AS field, x AS child FROM (SELECT DISTINCT o_orderpriority, p_type FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
+      JOIN (SELECT ty, ty AS x FROM c UNION SELECT ty, b FROM c) ON ty = 'type:' || p_type""")
+def allowed_children(spark, d):
+    """Children that a priority allows: the types of its parts with all their subclasses."""
+    part = t(spark, d, "part")
+    ty, br = F.concat(F.lit("type:"), "p_type"), F.concat(F.lit("brand:"), "p_brand", F.lit("/"), "p_type")
+    classes = part.select(br.alias("class"), ty.alias("superclass")).distinct().union(part.select(ty, F.lit(None).cast("string")).distinct())
+    used = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).join(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").select("o_orderpriority", "p_partkey").distinct().join(part.select("p_partkey", ty.alias("child")), "p_partkey")
+    return schema_graph.allowed_children(used.select(F.concat(F.lit("priority:"), "o_orderpriority").alias("owner"), F.lit("").alias("field"), "child").distinct(), classes)
 
 
 @query("""WITH RECURSIVE e AS (SELECT s_suppkey AS child, (s_suppkey * 3 + s_nationkey) % (SELECT count(*) FROM supplier) AS parent FROM supplier),
