@@ -14,6 +14,14 @@ from treeloom.sources.reader import html_nodes, parse, parse_documents, read_fol
 from treeloom.sources.xml_events import attribute_offsets
 from treeloom.streaming.delivery import deliver, read_stream
 
+DOCUMENTS = [
+    (1, "\\document\n\\import[ontology]{story.markup}\n\\begin{story}\n\\scene[mood=wild]{The wind rose.\n\nIt <\\loud fell again\\loud> at dusk.}\n\\scene{Nothing stirred.}\n\\end{story}\n"),
+    (2, "\\document\n\\import[ontology]{story.markup}\n\\story\nNo scene here at all.\n"),
+    (3, "\\document\n\\import[ontology]{story.markup}\n\\begin{story}\n\\scene[mood=blue]{Wrong mood.}\n\\unknown{x}\n\\end{tale}\n"),
+    (4, ""),
+    (5, '<document><import rel="ontology" src="story.markup"/><story><title>A tale</title><scene><a:start:loud/>Over<a:end:loud/> there.</scene></story></document>'),
+]
+
 
 def kinds(source):
     return [e[0] for e in lexer.events(source)]
@@ -163,13 +171,63 @@ class TestBuilder:
 
 class TestDataFrames:
     def test_documents_and_checks(self, spark):
-        parts = parse_documents(spark.createDataFrame([*markup.DOCUMENTS, (6, None)], "doc_id bigint, text string"), markup.RESOURCES)
-        schema = parse(markup.DOCUMENTS[0][1], markup.RESOURCES).schema.tables(spark)
+        parts = parse_documents(spark.createDataFrame([*DOCUMENTS, (6, None)], "doc_id bigint, text string"), markup.RESOURCES)
+        schema = parse(DOCUMENTS[0][1], markup.RESOURCES).schema.tables(spark)
         found = {(r["code"], r["subject"]) for r in validate.check_documents(parts["nodes"], parts["annotations"], schema).collect()}
         assert found == {("cardinality", "2/0")}
         assert validate.check_schema(schema).count() == 0
         assert graph_text(parts["nodes"]).where("line like '%->%'").count() == parts["nodes"].where("parent_id is not null").count()
 
+    def test_faulty_nodes(self, spark):
+        row = "doc_id bigint, node_id int, parent_id int, field_name string, pos int, kind string, ontology string, class_name string, name string, transparent boolean, attributes string, content string, anno_id int"
+        e = lambda i, p, kind, cls, name="", f="", anno=None: (1, i, p, f, 0, kind, "story", cls, name, False, None, None, anno)
+        nodes = spark.createDataFrame([e(0, None, "entity", "story"), e(1, 0, "entity", "scene", "a"), e(2, 0, "entity", "scene", "a"), e(3, 77, "entity", "scene"), e(4, 1, "primitive", "string"), e(5, 4, "entity", "words", "b\n"), e(6, 1, "anchor", "", "start", anno=8), e(7, 1, "anchor", "", "end", anno=9), e(8, 1, "anchor", "", "end", anno=30)], row)
+        annotations = spark.createDataFrame([(1, 8, "story", "loud", "", None, 7, 6), (1, 9, "story", "quiet", "", None, 6, 99)], "doc_id bigint, anno_id int, ontology string, class_name string, name string, attributes string, start_node int, end_node int")
+        schema = parse(DOCUMENTS[0][1], markup.RESOURCES).schema.tables(spark)
+        found = {(r["code"], r["subject"]) for r in validate.check_documents(nodes, annotations, schema).collect()}
+        want = {("duplicate_name", "1/2"), ("parent_missing", "1/3"), ("primitive_not_allowed", "1/4"), ("parent_kind", "1/5"), ("invalid_name", "1/5"), ("anchor_unconnected", "1/8")}
+        want |= {("annotation_back_reference", "1/8"), ("annotation_order", "1/8"), ("annotation_end_node", "1/9"), ("unknown_annotation", "1/9"), ("annotation_back_reference", "1/9")}
+        assert want <= found, want - found
+        assert not {c for c, s in found if s in ("1/0", "1/1")} - {"cardinality", "primitive_missing"}
+
+    def test_faulty_schema(self, spark):
+        make = spark.createDataFrame
+        any_ = [(0, None)]
+        schema = {
+            "classes": make([("o:a", "o:b", any_, True, True, False), ("o:b", "o:a", any_, False, False, False), ("o:1", "o:z", [], False, False, False), ("o:a", None, any_, False, False, False)], "class string, superclass string, cardinality array<struct<start:bigint,end:bigint>>, transparent boolean, root boolean, annotation boolean"),
+            "fields": make([("o:a", "", "SUBTREE", False, None, False, 0, True), ("o:a", "name", "SUBTREE", True, "string", False, 1, True), ("o:b", "f", "TREE", False, None, False, 0, True), ("o:b", "f", "TREE", False, None, False, 1, True)], "owner string, field string, field_type string, primitive boolean, type string, optional boolean, seq int, declared boolean"),
+            "children": make([("o:a", "name", "o:b")], "owner string, field string, child string"),
+            "tokens": make([("o:a", "", "open", "word"), ("o:a", "", "close", ")"), ("o:b", "f", "close", "*"), ("o:b", "f", "short", "!")], "class string, field string, kind string, token string"),
+            "types": make([("t:e", "enum", None), ("t:s", "struct", "t:e"), ("t:x", "struct", "t:gone"), ("t:p", "struct", "t:q"), ("t:q", "struct", "t:p"), ("t:9", "enum", None)], "type string, kind string, parent string"),
+            "type_fields": make([("t:s", "a", 0), ("t:s", "a", 1), ("t:s", "-", 2)], "type string, field string, seq int"),
+            "entries": make([("t:9", "x", 0), ("t:9", "x", 1), ("t:9", "0", 2)], "type string, entry string, ordinal int"),
+        }
+        found = {(r["code"], r["subject"]) for r in validate.check_schema(schema).collect()}
+        want = {("root_and_transparent", "o:a"), ("invalid_name", "o:1"), ("unknown_superclass", "o:1"), ("empty_cardinality", "o:1"), ("nameless_subtree", "o:a"), ("reserved_name", "o:a"), ("no_children", "o:b"), ("primitive_with_children", "o:a"), ("duplicate_class", "o:a"), ("duplicate_field", "o:b"), ("several_tree_fields", "o:b"), ("invalid_token", "o:a"), ("short_token_of_field", "o:b"), ("close_without_open", "o:b")}
+        want |= {("empty_enum", "t:e"), ("parent_no_struct", "t:s"), ("unknown_parent_type", "t:x"), ("cyclic_type", "t:p"), ("invalid_type_name", "t:9"), ("duplicate_entry", "t:9"), ("invalid_entry", "t:9"), ("duplicate_attribute", "t:s"), ("invalid_attribute", "t:s")}
+        assert want <= found, want - found
+
+    def test_deep_chains(self, spark):
+        chain = spark.createDataFrame([(k, k + 1) for k in range(130)], "child bigint, parent bigint")
+        up = schema_graph.isa_closure(chain)
+        assert up.where("sub = 0 and sup = 130 and distance = 130").count() == 1 and up.count() == 131 * 132 // 2
+        e = chain.select(F.col("child").alias("src"), F.col("parent").alias("dst")).where("src < 21")
+        t = e.where("src > 0").select(F.col("src").alias("class"))
+        got = schema_graph.implicit_paths(e, t).where("source = 0 and target = 21").first()
+        assert got["hops"] == 21 and got["path"] == list(range(1, 22)) and not got["ambiguous"]
+        ring = chain.unionByName(spark.createDataFrame([(130, 5), (200, 201), (201, 200), (300, 300)], chain.schema))
+        assert sorted((r["start"], r["cycle"]) for r in schema_graph.cycles(ring).collect()) == [(5, list(range(5, 131))), (200, [200, 201]), (300, [300])]
+        loops = schema_graph.can_contain(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c")], "src string, dst string"))
+        assert {tuple(r) for r in loops.collect()} == {("a", "b", 1), ("b", "a", 1), ("a", "a", 2), ("b", "b", 2), ("c", "c", 1)}
+
+    def test_exact_ends_and_control_characters(self, spark):
+        import json
+
+        rows = spark.createDataFrame([("abc",), ("abc\n",), ("a\x01b\u2028\"\\",), (None,)], "x string")
+        assert [r[0] for r in rows.select(text.is_identifier(F.col("x"))).collect()] == [True, False, False, None]
+        got = [r[0] for r in rows.select(text.json_string(F.col("x"))).collect()]
+        assert got[3] is None and [json.loads(g) for g in got[:3]] == ["abc", "abc\n", "a\x01b\u2028\"\\"]
+
     def test_cycles_and_closure(self, spark):
         e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", None)], "child string, parent string")
         assert [r["cycle"] for r in schema_graph.cycles(e).collect()] == [["a", "b", "c"]]

@@ -48,33 +48,37 @@ def nearest_ancestor(nodes: DataFrame, kinds: list[str], depth: int) -> DataFram
 def interval_encode(nodes: DataFrame, sort: list[str]) -> DataFrame:
     """nodes with pre and post order numbers within a document (doc_id, node_id, parent_id, pos given).
 
-    A document's nodes are one group: a document is bounded, a corpus is not.
+    last: the largest pre of a node's subtree.  A document's nodes are one group: a document is bounded, a corpus is
+    not.  Nodes without doc_id belong to no document and get no numbers.
     """
     import pandas as pd
 
-    schema = type(nodes.schema)([*nodes.schema.fields]).add("pre", "integer").add("post", "integer")
+    nodes = nodes.drop("pre", "post", "last")
+    schema = type(nodes.schema)([*nodes.schema.fields]).add("pre", "integer").add("post", "integer").add("last", "integer")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kids: dict = {}
         for i, p in zip(pdf["node_id"], pdf["parent_id"]):
             kids.setdefault(None if pd.isna(p) else p, []).append(i)
-        pre, post, n, m, todo = {}, {}, 0, 0, [(i, False) for i in reversed(kids.get(None, []))]
+        pre, post, last, n, m, todo = {}, {}, {}, 0, 0, [(i, False) for i in reversed(kids.get(None, []))]
         while todo:
             i, done = todo.pop()
             if done:
-                post[i] = m
+                post[i], last[i] = m, n - 1
                 m += 1
                 continue
             pre[i] = n
             n += 1
             todo.append((i, True))
             todo.extend((c, False) for c in reversed(kids.get(i, [])))
-        return pdf.assign(pre=pdf["node_id"].map(pre), post=pdf["node_id"].map(post))
+        return pdf.assign(pre=pdf["node_id"].map(pre), post=pdf["node_id"].map(post), last=pdf["node_id"].map(last))
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         return run(pdf.sort_values(sort))
 
-    return nodes.groupBy("doc_id").applyInPandas(ordered, schema)
+    none = [F.lit(None).cast("int").alias(k) for k in ("pre", "post", "last")]
+    coded = nodes.where("doc_id is not null").groupBy("doc_id").applyInPandas(ordered, schema)
+    return coded.unionByName(nodes.where("doc_id is null").select("*", *none))
 
 
 def descendants_of(nodes: DataFrame, ancestors_of: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from treeloom.plans import markup, relational
 
 QUERIES: dict = {**relational.QUERIES, **markup.QUERIES}
-ORACLE: dict = {**relational.ORACLE}
+ORACLE: dict = {**relational.ORACLE, **markup.ORACLE}
 
 
 def flagship(spark, sf_dir):

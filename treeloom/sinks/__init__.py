@@ -136,7 +136,7 @@ def schema_element(schema) -> list[Element]:
 
 
 def write_xml(nodes: DataFrame, annotations: DataFrame, fields: dict[str, list[str]], pretty: bool = True) -> DataFrame:
-    """(doc_id, xml): a document's rows are one group, folded to text."""
+    """(doc_id, xml): a document's rows are one group, folded to text.  Rows without doc_id belong to no document."""
     packed = nodes.select("doc_id", F.lit("n").alias("part"), F.to_json(F.struct(*nodes.columns)).alias("row")).unionByName(annotations.select("doc_id", F.lit("a").alias("part"), F.to_json(F.struct(*annotations.columns)).alias("row")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,7 +147,7 @@ def write_xml(nodes: DataFrame, annotations: DataFrame, fields: dict[str, list[s
         text = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + document_element(n, a, fields, pretty=pretty).lines(pretty)
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "xml": [text]})
 
-    return packed.groupBy("doc_id").applyInPandas(run, "doc_id bigint, xml string")
+    return packed.where("doc_id is not null").groupBy("doc_id").applyInPandas(run, "doc_id bigint, xml string")
 
 
 #: Element of each class in HTML; headings are numbered by depth.
@@ -228,7 +228,10 @@ def graph_text(nodes: DataFrame) -> DataFrame:
 
 
 def serialize_html_nodes(nodes: DataFrame) -> DataFrame:
-    """(page_id, text): element nodes of ``html_nodes`` written back, every element closed."""
+    """(page_id, text): element nodes of ``html_nodes`` written back, every element closed, its text before its children.
+
+    Nodes without page_id belong to no page and are left out.
+    """
     void = set("area base br col embed hr img input link meta source track wbr".split())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -245,8 +248,9 @@ def serialize_html_nodes(nodes: DataFrame) -> DataFrame:
             attributes = "".join(f' {k}="{escape(v)}"' for k, v in sorted(dict(r["attributes"]).items()))
             out.append(f"<{r['tag']}{attributes}>")
             if r["tag"] not in void:
+                out.append((r["text"] or "") if r["tag"] in ("script", "style") else escape(r["text"] or ""))
                 todo.append(("close", r))
                 todo.extend(("open", c) for c in reversed(kids.get(r["node_id"], [])))
         return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "text": ["".join(out)]})
 
-    return nodes.groupBy("page_id").applyInPandas(run, "page_id bigint, text string")
+    return nodes.where("page_id is not null").groupBy("page_id").applyInPandas(run, "page_id bigint, text string")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|::|[A-Za-z_*][\w-]*|[#.:,>{}()\[\]=;]|[\d.]+|\s+", re.S)
@@ -147,20 +147,22 @@ def _fits(step: Step, name: Column, attributes: Column, ident: Column) -> Column
 
 
 def match_selector(nodes: DataFrame, steps: tuple, doc: str = "page_id", name: str = "tag") -> DataFrame:
-    """Nodes (doc, node_id, parent_id, pre, post, name, attributes) that a selector picks.
+    """Nodes (doc, node_id, parent_id, pre, last, name, attributes) that a selector picks.
 
-    A child step is an equi-join on the parent, a descendant step an equi-join on the document with interval
-    containment; the rows before it are reduced to the outermost that can matter only by the join itself.
+    pre numbers the nodes in document order, last is the largest number below a node.  A child step is an equi-join on
+    the parent.  A descendant step is one window over the document: a node lies below one of those found before if the
+    furthest ``last`` among the found ones that come earlier reaches it.  No pair of nodes is made.
     """
-    def rows(step):
-        return nodes.where(_fits(step, F.col(name), F.col("attributes"), F.try_element_at("attributes", F.lit("id"))))
-
+    rows = lambda step: nodes.where(_fits(step, F.col(name), F.col("attributes"), F.try_element_at("attributes", F.lit("id"))))
     found = rows(steps[0])
     for step in steps[1:]:
         nxt = rows(step)
         if step.operator == ">":
             found = nxt.join(found.select(doc, F.col("node_id").alias("parent_id")), [doc, "parent_id"], "left_semi")
         else:
-            up = found.select(doc, F.col("pre").alias("a_pre"), F.col("post").alias("a_post"))
-            found = nxt.join(up, (nxt[doc] == up[doc]) & (up["a_pre"] < nxt["pre"]) & (nxt["post"] < up["a_post"]), "left_semi")
+            marks = found.select(doc, "pre", F.col("last").alias("__reach"))
+            both = nxt.withColumn("__reach", F.lit(None).cast("int")).unionByName(marks, allowMissingColumns=True)
+            # a node that is both stands before its own mark
+            before = Window.partitionBy(doc).orderBy("pre", F.col("__reach").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+            found = both.withColumn("__most", F.max("__reach").over(before)).where("__reach is null and __most >= pre").drop("__reach", "__most")
     return found

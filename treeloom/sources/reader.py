@@ -50,8 +50,8 @@ def parse(text: str | None, resources: dict[str, str] | None = None, doc_id=0, k
     return b.run(source_events(text or "", kind or kind_of(text)))
 
 
-def parse_documents(docs: DataFrame, resources: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """nodes, annotations, diagnostics of docs (doc_id, text).  resources are modules: schema-sized."""
+def parse_rows(docs: DataFrame, resources: dict[str, str] | None = None) -> DataFrame:
+    """All rows of parsing docs (doc_id, text) in one table, for ``parts_of``.  resources are modules: schema-sized."""
     schema = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in _ALL.split(", ")])
 
     def run(batches):
@@ -64,11 +64,20 @@ def parse_documents(docs: DataFrame, resources: dict[str, str] | None = None) ->
                 rows += [{"part": "diagnostic", "doc_id": d[0], "severity": d[1], "code": d[2], "message": d[3], "src_start": d[4]} for d in b.diagnostics]
             yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in schema.names} for r in rows], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _ALL)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _ALL)
+
+
+def parts_of(rows: DataFrame) -> dict[str, DataFrame]:
+    """nodes, annotations, diagnostics of ``parse_rows``; write the rows before where several are used."""
     pick = lambda ddl: [c.strip().split()[0] for c in ddl.split(",")]
     return {"nodes": rows.where("part = 'node'").select(pick(NODES)), "annotations": rows.where("part = 'annotation'").select(pick(ANNOTATIONS)), "diagnostics": rows.where("part = 'diagnostic'").select(pick(DIAGNOSTICS))}
 
 
+def parse_documents(docs: DataFrame, resources: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """nodes, annotations, diagnostics of docs (doc_id, text)."""
+    return parts_of(parse_rows(docs, resources))
+
+
 def lex_documents(docs: DataFrame) -> DataFrame:
     """Events of docs (doc_id, text), one row each."""
 
@@ -129,8 +138,9 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """Element nodes of pages (page_id, html): page_id, node_id, parent_id, tag, depth, pos, attributes, closed.
+    """Element nodes of pages (page_id, html): page_id, node_id, parent_id, tag, depth, pos, attributes, closed, text, last.
 
+    node_id counts elements in document order and last is the largest of its subtree, so descendants are an interval.
     Raw-text elements (script, style) hold text only, void elements have no content, an end tag closes the nearest
     open element of its name.
     """
@@ -167,8 +177,8 @@ def html_nodes(pages: DataFrame) -> DataFrame:
             if self.open:
                 self.rows[self.open[-1][0]][7] += data
 
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.string()]
-    names = ["page_id", "node_id", "parent_id", "tag", "depth", "pos", "attributes", "closed", "text"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.string(), pa.int32()]
+    names = ["page_id", "node_id", "parent_id", "tag", "depth", "pos", "attributes", "closed", "text", "last"]
 
     def run(batches):
         for whole in batches:
@@ -178,10 +188,14 @@ def html_nodes(pages: DataFrame) -> DataFrame:
                     p = Tree()
                     p.feed(html or "")
                     p.close()
-                    out += [(page, *r[:5], list(r[5].items()), *r[6:]) for r in p.rows]
+                    last = list(range(len(p.rows)))
+                    for r in reversed(p.rows):
+                        if r[1] is not None:
+                            last[r[1]] = max(last[r[1]], last[r[0]])
+                    out += [(page, *r[:5], list(r[5].items()), *r[6:], end) for r, end in zip(p.rows, last)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
 
-    return pages.select(F.col("page_id").cast("bigint"), "html").mapInArrow(run, "page_id bigint, node_id int, parent_id int, tag string, depth int, pos int, attributes map<string,string>, closed boolean, text string")
+    return pages.select(F.col("page_id").cast("bigint"), "html").mapInArrow(run, "page_id bigint, node_id int, parent_id int, tag string, depth int, pos int, attributes map<string,string>, closed boolean, text string, last int")
 
 
 def balance(events: DataFrame) -> DataFrame:

@@ -261,15 +261,22 @@ class Schema:
     # ------------------------------------------------------------ tables
 
     def tables(self, spark) -> dict:
-        """classes, fields, children as DataFrames."""
-        classes, fields, children = [], [], []
+        """classes, fields, children, tokens, types, type_fields and entries as DataFrames."""
+        classes, fields, children, tokens = [], [], [], []
         for name, c in self.classes.items():
             classes.append((name, c.superclass, [(a, b) for a, b in c.cardinality], c.transparent, c.root, c.annotation))
+            tokens += [(name, "", kind, t) for kind, t in (("open", c.open), ("close", c.close), ("short", c.short)) if t]
             for k, f in enumerate(self.fields_of(name)):
                 fields.append((name, f.name, "TREE" if f.tree else "SUBTREE", f.primitive is not None, f.primitive, f.optional, k, f in c.fields))
                 children += [(name, f.name, x) for x in self.allowed(f)]
+                tokens += [(name, f.name, kind, t) for kind, t in (("open", f.open), ("close", f.close)) if t and f in c.fields]
+        types = [(name, x.kind, x.parent) for name, x in self.types.items()]
         return {
             "classes": spark.createDataFrame(classes, "class string, superclass string, cardinality array<struct<start:bigint,end:bigint>>, transparent boolean, root boolean, annotation boolean"),
             "fields": spark.createDataFrame(fields, "owner string, field string, field_type string, primitive boolean, type string, optional boolean, seq int, declared boolean"),
             "children": spark.createDataFrame(children, "owner string, field string, child string"),
+            "tokens": spark.createDataFrame(tokens, "class string, field string, kind string, token string"),
+            "types": spark.createDataFrame(types, "type string, kind string, parent string"),
+            "type_fields": spark.createDataFrame([(name, a[0], k) for name, x in self.types.items() for k, a in enumerate(x.attrs)], "type string, field string, seq int"),
+            "entries": spark.createDataFrame([(name, e, k) for name, x in self.types.items() for k, e in enumerate(x.entries)], "type string, entry string, ordinal int"),
         }
