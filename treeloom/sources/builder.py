@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from treeloom.functions.literals import ANY, Cardinality, Identifier, LiteralError, cardinality, read, write_json
 from treeloom.sources.schema import BUILTIN, BuildError, ClassDef, FieldDef, Schema, TypeDef
+from treeloom.sources.tokens import BLANKS, Trie, first_word, protect, take
 
 #: Statement -> statements it may stand in.
 PARENTS = {
@@ -27,7 +28,7 @@ PARENTS = {
 }
 SPECIAL = {"newline", "paragraph", "section", "indent", "dedent"}
 #: Where a typesystem statement of this name stands, its struct and field are those of values.
-_BLANK = re.compile(r"[ \t\r\n]+")
+_BREAKS = re.compile(r"[ \t]*(?:\n[ \t]*)+")
 
 
 @dataclass
@@ -45,20 +46,24 @@ class Frame:
     used: int = 0  # explicit fields opened
     content: bool = False
     close: str = ""
+    greedy: bool = True  # False: a short token opened it, it takes one word or element
     text: list = field(default_factory=list)
 
 
 class Builder:
     """Reads the events of one module; ``load`` gives the events of an imported one by (kind, path)."""
 
-    def __init__(self, doc_id=0, schema: Schema | None = None, load: Callable[[str, str], Iterator[tuple]] | None = None, loading: tuple = ()):
+    def __init__(self, doc_id=0, schema: Schema | None = None, load: Callable[[str, str], Iterator[tuple]] | None = None, loading: tuple = (), tokens: bool = True):
+        self.tokens = tokens  # False: user-defined tokens are text, as in XML
         self.doc_id, self.schema, self.load, self.loading = doc_id, schema or Schema(), load, loading
         self.nodes: list[dict] = []
+        self.positions: dict[tuple, int] = {}  # last position in a parent's field
         self.annotations: list[dict] = []
         self.diagnostics: list[tuple] = []
         self.imports: list[tuple[str, str]] = []
         self.stack = [Frame("")]
         self.open_annotations: list[dict] = []
+        self.indents, self.said, self.tries = [0], set(), {}
         self.pending: list[Callable] = []
         self.at = 0
         self.ontology = self.system = ""
@@ -108,11 +113,17 @@ class Builder:
     def top(self) -> Frame:
         return self.stack[-1]
 
+    def pop_satisfied(self) -> None:
+        """Elements of a short token that take one thing only have had it."""
+        while self.top().kind == "entity" and not self.top().greedy and self.top().content and not self.top().explicit:
+            self.pop()
+
     def in_document(self) -> bool:
         return any(f.kind == "document" for f in self.stack) and not any(f.kind in ("ontology", "typesystem") for f in self.stack)
 
     def on_command(self, name, ident, args, ranged):
         depth = len(self.stack)
+        self.pop_satisfied()
         while True:
             f = self.top()
             if f.kind in ("entity", "span"):
@@ -199,7 +210,8 @@ class Builder:
     # ------------------------------------------------------------ documents
 
     def add_node(self, kind, parent, fieldname, **more) -> dict:
-        pos = sum(1 for n in self.nodes if n["parent_id"] == (parent["node_id"] if parent else None) and n["field_name"] == fieldname)
+        place = (parent["node_id"] if parent else None, fieldname)
+        pos = self.positions[place] = self.positions.get(place, -1) + 1
         node = {"doc_id": self.doc_id, "node_id": len(self.nodes), "parent_id": parent["node_id"] if parent else None, "field_name": fieldname, "pos": pos, "kind": kind, "ontology": "", "class_name": "", "name": "", "transparent": False, "attributes": None, "content": None, "anno_id": None, "src_start": self.at} | more
         self.nodes.append(node)
         return node
@@ -272,32 +284,42 @@ class Builder:
         return True
 
     def on_data(self, text, protected):
+        if not self.tokens and self.in_document():
+            self.put_text(protect(text, protected))
+            return
         for kind, value in self.split_tokens(text, protected):
             if kind == "text":
                 self.put_text(value)
             else:
-                self.token(kind, value)
+                self.token(value)
 
     def put_text(self, text):
-        collapsed = _BLANK.sub(" ", text).strip(" ")
-        if not collapsed:
+        if not text.strip(BLANKS):
             return
+        self.pop_satisfied()
         while True:
             f = self.top()
             if f.kind == "unknown":
                 return
             if f.kind in ("entity", "span") and not f.ended:
-                if self.put_value(f, collapsed):
+                if not f.greedy and not f.explicit:
+                    text, rest = first_word(text)
+                    if self.put_value(f, text):
+                        self.pop_satisfied()
+                        self.put_text(rest)
+                        return
+                    text += rest
+                elif self.put_value(f, text):
                     return
             elif f.kind not in ("entity", "span"):
-                if f.kind in ("entry", "open", "close", "short", "include", "import") or f.explicit and f.kind == "entry":
-                    f.text.append(collapsed)
+                if f.kind in ("entry", "open", "close", "short", "whitespace", "include", "import") or f.explicit and f.kind == "entry":
+                    f.text.append(take(text))
                     return
                 if f.kind in ("document", "ontology", "typesystem", ""):
-                    self.say("error", "data", f"text can't stand in {f.kind or 'the file'}: {collapsed[:40]}")
+                    self.say("error", "data", f"text can't stand in {f.kind or 'the file'}: {take(text)[:40]}")
                     return
             if f.ranged or f.explicit or len(self.stack) == 1:
-                self.say("error", "data", f"no field takes {collapsed[:40]!r}")
+                self.say("error", "data", f"no field takes {take(text)[:40]!r}")
                 return
             self.pop()
 
@@ -308,7 +330,8 @@ class Builder:
         reasons = []
         for path, last in self.schema.text_paths(target):
             try:
-                value = self.schema.build(last.primitive, self.literal(last.primitive, text))
+                taken = take(text, last.whitespace)
+                value = self.schema.build(last.primitive, self.literal(last.primitive, taken))
             except (BuildError, LiteralError) as e:
                 reasons.append(str(e))
                 continue
@@ -358,7 +381,7 @@ class Builder:
         except BuildError as e:
             self.say("error", "attributes", str(e))
             built = {}
-        anno = {"doc_id": self.doc_id, "anno_id": len(self.annotations), "ontology": onto, "class_name": short, "name": label, "attributes": write_json(built) if built else None, "start_node": anchor["node_id"], "end_node": None, "content_of": len(self.stack)}
+        anno = {"doc_id": self.doc_id, "anno_id": len(self.annotations), "ontology": onto, "class_name": short, "name": label, "attributes": write_json(built) if built else None, "start_node": anchor["node_id"], "end_node": None, "content_of": len(self.stack), "class": key}
         anchor["anno_id"] = anno["anno_id"]
         anchor["name"] = "start"
         self.annotations.append(anno)
@@ -406,31 +429,55 @@ class Builder:
 
     # ------------------------------------------------------------ tokens
 
-    def tokens_here(self) -> tuple[dict, dict, dict]:
-        """Tokens that mean something now: to close (token -> frame index), to open and short (token -> class)."""
-        close, open_, short = {}, {}, {}
-        for k, f in enumerate(self.stack):
-            if f.close:
-                close[f.close] = k
-        reached = False
-        for f in reversed(self.stack):
+    def tokens_here(self) -> dict[str, tuple]:
+        """What each token means now: (action, what).
+
+        In order of meaning: what closes an open element, field or annotation (the innermost), then what opens a field
+        or an element or stands for one, from the nearest element outwards until one that only its own end closes,
+        then what opens an annotation.  Two elements at one depth make a token ambiguous: it is said once for a place.
+        """
+        out: dict[str, tuple] = {}
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k].close:
+                out.setdefault(self.stack[k].close, ("close", k))
+        for a in reversed(self.open_annotations):
+            t = self.schema.classes[a["class"]].close
+            if t:
+                out.setdefault(t, ("anno_end", a["class"]))
+        for k in range(len(self.stack) - 1, -1, -1):
+            f = self.stack[k]
             if f.kind not in ("entity", "span"):
                 break
-            target = self.current_field(f) if not f.ended else None
-            if target is not None and not target.primitive:
-                depth: dict = {}
-                for c, path in self.schema.paths(target).items():
-                    cls = self.schema.classes[c]
-                    for table, t in ((open_, cls.open), (short, cls.short)):
-                        if t and t not in table:
-                            if (id(table), t) in depth and depth[(id(table), t)][0] == len(path):
-                                self.say("error", "ambiguous_token", f"{t} opens {c} and {depth[(id(table), t)][1]}")
-                            depth.setdefault((id(table), t), (len(path), c))
-                for (which, t), (_, c) in depth.items():
-                    (open_ if which == id(open_) else short).setdefault(t, c)
+            if not f.ended:
+                if f.in_field is None and f.cls is not None:
+                    for x in self.schema.fields_of(f.cls.name):
+                        if x.open:
+                            out.setdefault(x.open, ("field", (k, x)))
+                target = self.current_field(f)
+                if target is not None and not target.primitive:
+                    depth: dict[str, tuple] = {}
+                    for c, path in sorted(self.schema.paths(target).items(), key=lambda x: len(x[1])):
+                        cls = self.schema.classes[c]
+                        for action, t in (("open", cls.open), ("short", cls.short)):
+                            if not t:
+                                continue
+                            if t in depth and depth[t][0] == len(path) and depth[t][1] != c:
+                                self.say_once("ambiguous_token", f"{t} opens {depth[t][1]} and {c}")
+                            elif t not in depth:
+                                depth[t] = (len(path), c)
+                                out.setdefault(t, (action, (k, c)))
             if f.ranged or f.explicit:
                 break
-        return close, open_, short
+        if self.top().kind in ("entity", "span"):
+            for key, cls in self.schema.classes.items():
+                if cls.annotation and cls.open:
+                    out.setdefault(cls.open, ("anno_start", key))
+        return out
+
+    def say_once(self, code: str, message: str) -> None:
+        if (code, message) not in self.said:
+            self.said.add((code, message))
+            self.say("error", code, message)
 
     def coming_closes(self) -> set[str]:
         """Tokens that would close elements which text opens here."""
@@ -441,47 +488,51 @@ class Builder:
         return {self.schema.classes[c].close for path, _ in self.schema.text_paths(target) for c in path} - {""}
 
     def split_tokens(self, text, protected) -> Iterator[tuple]:
-        """Text cut at the tokens that mean something where they stand; longest first, protected signs are text."""
-        at = begin = 0
+        """Text cut at the tokens that mean something where they stand; longest first, protected signs are text.
+
+        Which tokens those are is asked again only after one has acted, so the text is read once.
+        """
         guard = set(protected)
-        line_start, indents = True, self.indents if hasattr(self, "indents") else [0]
-        while at < len(text):
-            close, open_, short = self.tokens_here()
-            known = close.keys() | open_.keys() | short.keys() | self.coming_closes()
-            if not known:
-                break
-            blank = known & SPECIAL
+        text = protect(text, guard)
+        at = begin = 0
+        trie, blank = self.trie_here()
+        while at < len(text) and (trie.root or blank):
             if blank and text[at] == "\n":
-                run = re.compile(r"[ \t]*(?:\n[ \t]*)+").match(text, at)
-                breaks = run.group().count("\n")
+                run = _BREAKS.match(text, at)
                 width = 0
                 for c in run.group()[run.group().rfind("\n") + 1 :]:
                     width = width // 8 * 8 + 8 if c == "\t" else width + 1
-                self.indents = indents
-                tokens = [x for x in self.blank_tokens(breaks, width if run.end() < len(text) else None, at) if x[1] in known]
-                if not tokens:
-                    at = run.end()
-                    continue
-                if text[begin:at].strip(" \t\n"):
-                    yield ("text", text[begin:at])
-                begin = at = run.end()
-                yield from tokens
+                found = [x for x in self.blank_tokens(run.group().count("\n"), width if run.end() < len(text) else None, at) if x[1] in blank]
+                at = run.end()
+                if found:
+                    if text[begin : run.start()].strip(BLANKS):
+                        yield ("text", text[begin : run.start()])
+                        trie, blank = self.trie_here()
+                    for x in found:
+                        yield x
+                    begin = at
+                    trie, blank = self.trie_here()
                 continue
-            best = ""
-            if at not in guard:
-                for t in known:
-                    if t not in SPECIAL and len(t) > len(best) and text.startswith(t, at):
-                        best = t
-            if best:
-                if begin < at:
-                    yield ("text", text[begin:at])
-                begin = at = at + len(best)
-                yield ("token", best)
+            best = "" if at in guard else trie.longest(text, at)
+            if not best:
+                at += 1
                 continue
-            at += 1
+            if begin < at:
+                yield ("text", text[begin:at])
+            begin = at = at + len(best)
+            yield ("token", best)
+            trie, blank = self.trie_here()
         if begin < len(text):
             yield ("text", text[begin:])
 
+    def trie_here(self) -> tuple[Trie, set]:
+        """The tokens of signs that mean something now, as a trie, and those of white space."""
+        known = self.tokens_here().keys() | self.coming_closes()
+        signs = frozenset(known - SPECIAL)
+        if signs not in self.tries:
+            self.tries[signs] = Trie(signs)
+        return self.tries[signs], known & SPECIAL
+
     def blank_tokens(self, breaks: int, width, at) -> Iterator[tuple]:
         """Tokens of a run of line breaks: dedents, then newline or paragraph or section, then an indent."""
         indents = self.indents
@@ -497,26 +548,30 @@ class Builder:
             indents.append(width)
             yield ("token", "indent")
 
-    def token(self, kind, t):
-        close, open_, short = self.tokens_here()
-        if t in close:
-            while len(self.stack) > close[t]:
+    def token(self, t):
+        self.pop_satisfied()
+        action, what = self.tokens_here().get(t, (None, None))
+        if action == "close":
+            while len(self.stack) > what:
                 self.pop()
-            return
-        for table, implicit in ((short, False), (open_, False)):
-            if t in table:
-                while True:
-                    f = self.top()
-                    if f.kind not in ("entity", "span"):
-                        return
-                    target = self.current_field(f) if not f.ended else None
-                    if target is not None and not target.primitive and table[t] in self.schema.paths(target):
-                        self.descend(f, target, table[t], {}, False)
-                        if table is short:
-                            self.pop()
-                        return
-                    if f.ranged or f.explicit:
-                        return
+        elif action == "anno_end":
+            self.on_anno_end(self.schema.classes[what].name.split(":")[-1].lstrip("~"), "")
+        elif action == "anno_start":
+            self.on_anno_start(what.replace("~", ""), "", {})
+        elif action in ("field", "open", "short"):
+            k, x = what
+            while len(self.stack) - 1 > k:
+                self.pop()
+            f = self.top()
+            if action == "field":
+                f.content = f.content or x.tree
+                self.stack.append(Frame("entity", x.name, f.node, f.cls, in_field=x, close=x.close, greedy=bool(x.close)))
+                return
+            cls = self.schema.classes[x]
+            self.descend(f, self.current_field(f), x, {}, False, close=None if action == "open" else "")
+            if action == "short":
+                self.top().greedy = cls.greedy
+                if not any(y.tree for y in self.schema.fields_of(x)):
                     self.pop()
 
     # ------------------------------------------------------------ schema statements
@@ -602,6 +657,8 @@ class Builder:
             g.definition = f.definition
         elif name in ("open", "close", "short", "whitespace"):
             g.definition = f.definition
+            if name == "short" and args.get("greedy") is False:
+                f.definition.greedy = False
         self.stack.append(g)
 
     def attribute(self, attrs, label, args):
@@ -677,6 +734,14 @@ class Builder:
             f.definition.entries.append(" ".join(f.text).strip())
         elif f.kind in ("open", "close", "short") and f.definition is not None:
             setattr(f.definition, f.kind, "".join(f.text).strip())
+        elif f.kind == "whitespace" and f.definition is not None:
+            mode = "".join(f.text).strip()
+            if mode in ("preserve", "trim", "collapse"):
+                f.definition.whitespace = mode
+                for x in getattr(f.definition, "fields", ()):
+                    x.whitespace = mode
+            else:
+                self.say("error", "whitespace", f"{mode!r} is no white-space mode")
         elif f.kind == "unknown" and self.top().kind in ("open", "close", "short") and f.name in SPECIAL:
             self.top().text.append(f.name)
             self.diagnostics = [d for d in self.diagnostics if not (d[2] == "not_allowed" and d[3].startswith(f"\\{f.name} "))]
@@ -696,8 +761,11 @@ class Builder:
             self.say("error", "not_found", f"{src} is not there")
             return
         if kind == "include":
+            here = self.at
             for e in source:
+                self.at = e[-1]
                 getattr(self, "on_" + e[0])(*e[1:-1])
+            self.at = here
             return
         inner = Builder(self.doc_id, self.schema, self.load, (*self.loading, src))
         inner.imports = self.imports

@@ -46,8 +46,9 @@ def parse(text: str | None, resources: dict[str, str] | None = None, doc_id=0, k
         body = locator.read(found)
         return source_events(body, kind_of(body))
 
-    b = Builder(doc_id, schema, load)
-    return b.run(source_events(text or "", kind or kind_of(text)))
+    kind = kind or kind_of(text)
+    b = Builder(doc_id, schema, load, tokens=kind != "xml")
+    return b.run(source_events(text or "", kind))
 
 
 def parse_rows(docs: DataFrame, resources: dict[str, str] | None = None) -> DataFrame:
