@@ -50,3 +50,44 @@ def test_edges(spark, nothing):
     d = spark.createDataFrame([(None, "you idiot."), (1, None), (1, "fine")], "doc_id bigint, text string")
     got = score_documents(d, fit(d, lab)).collect()
     assert len(got) == 3 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_composition_against_the_transducers_one_by_one():
+    """Every transducer runs alone over the stream; outputs follow from the states before each symbol."""
+    import random
+
+    from treeloom.llm import toxicity as tx
+
+    rng = random.Random(8)
+    for _ in range(500):
+        stream = [rng.choice(tx.SYMBOLS) for _ in range(rng.randint(1, 25))]
+        alone = dict.fromkeys(tx.TRANSDUCERS, 0)
+        state = tx.START
+        for s in stream:
+            want = []
+            if s == "T" and alone["threat"]:
+                want.append(("threat_negated", 0.3) if alone["negation"] else ("threat", 1.0))
+            if s == "T" and alone["insult"]:
+                want.append(("targeted", 1.0))
+            if s == "H" and alone["target"]:
+                want.append(("threat_negated", 0.3) if alone["negation"] else ("threat", 1.0))
+            if s == "I":
+                want.append(("negated", 0.3) if alone["negation"] else ("reported", 0.3) if alone["reported"] else ("insult", 1.0))
+                if alone["target"]:
+                    want.append(("targeted", 1.0))
+            state, out = tx.PRODUCT[state, s]
+            assert sorted(out) == sorted(want)
+            near = alone["target"]
+            for k, table in tx.TRANSDUCERS.items():
+                alone[k] = table[alone[k]].get(s, alone[k])
+            if s == "I" and near:
+                alone["insult"] = 0
+            assert state == tuple(alone.values())
+
+
+def test_a_column_called_score(spark):
+    from treeloom.llm.toxicity import Grammar, score_documents
+
+    d = spark.createDataFrame([(1, "you idiot", 7.0), (1, "you idiot", 8.0), (None, None, 9.0)], "doc_id bigint, text string, score double")
+    rows = score_documents(d, Grammar({"idiot$": 1.0}), "toxicity").collect()
+    assert sorted(r["score"] for r in rows) == [7.0, 8.0, 9.0] and all(0 <= r["toxicity"] <= 1 for r in rows)

@@ -1,7 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers (insult, threat, target, negation, reported speech) read the same stream of word classes; their
-product reads a clause once and puts out what matched: plain, negated, reported or targeted insults and threats.
+Five transducers (insult, threat, target, negation, reported speech) stand as tables with weighted arcs; ``compose``
+builds their product, which reads the stream of word classes once and puts out what matched in a clause: plain,
+negated, reported or targeted insults and threats.
 A document's score is a logistic function of the matched clauses, never of isolated words alone.
 
 Which words and word beginnings are insults is learned.  ``fit`` takes at most ``SAMPLE`` toxic and ``SAMPLE`` other
@@ -45,39 +46,53 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 NEAR = 4
 
 
-def _automata(state: tuple, symbol: str) -> tuple:
-    """One step of the product of the five transducers: new state and what it puts out.
-
-    state: (negation open, reported speech open, target near, threat word near, insult near without a target).
-    symbol: P clause end, X gap, N negation, R report, T target, H threat, I insult.
-    """
-    neg, rep, target, threat, insult = state
-    if symbol == "P":
-        return (0, 0, 0, 0, 0), ()
-    if symbol == "X":
-        return (0, rep, 0, 0, 0), ()
-    if symbol == "N":
-        return (1, rep, target, threat, insult), ()
-    if symbol == "R":
-        return (neg, 1, target, threat, insult), ()
-    out: list[str] = []
-    if symbol == "T":
-        if threat:
-            out.append("threat_negated" if neg else "threat")
-        if insult:
-            out.append("targeted")
-        return (neg, rep, 1, 0, 0), tuple(out)
-    if symbol == "H":
-        if target:
-            out.append("threat_negated" if neg else "threat")
-        return (neg, rep, target, 1, insult), tuple(out)
-    out.append("negated" if neg else "reported" if rep else "insult")
-    if target:
-        out.append("targeted")
-    return (neg, rep, target, threat, 0 if target else 1), tuple(out)
-
-
+#: Symbols of the stream: clause end, gap, negation, reported speech, target, threat, insult.
+SYMBOLS = "PXNRTHI"
+#: The five transducers, each open (1) or not (0) after a symbol; symbols that a state does not name leave it as it is.
+#: An insult is open only while no target stands near: it waits for one.
+TRANSDUCERS = {
+    "negation": {0: {"N": 1}, 1: {"P": 0, "X": 0}},
+    "reported": {0: {"R": 1}, 1: {"P": 0}},
+    "target": {0: {"T": 1}, 1: {"P": 0, "X": 0}},
+    "threat": {0: {"H": 1}, 1: {"P": 0, "X": 0, "T": 0}},
+    "insult": {0: {"I": 1}, 1: {"P": 0, "X": 0, "T": 0}},
+}
+#: What an arc of the composition puts out: symbol, states that the transducers are in before it, output, weight in the
+#: score of its clause (matches that are negated or reported weigh less).
+ARCS = (
+    ("T", {"threat": 1, "negation": 0}, "threat", 1.0),
+    ("T", {"threat": 1, "negation": 1}, "threat_negated", 0.3),
+    ("T", {"insult": 1}, "targeted", 1.0),
+    ("H", {"target": 1, "negation": 0}, "threat", 1.0),
+    ("H", {"target": 1, "negation": 1}, "threat_negated", 0.3),
+    ("I", {"negation": 1}, "negated", 0.3),
+    ("I", {"negation": 0, "reported": 1}, "reported", 0.3),
+    ("I", {"negation": 0, "reported": 0}, "insult", 1.0),
+    ("I", {"target": 1}, "targeted", 1.0),
+)
 OUTPUTS = ("insult", "negated", "reported", "targeted", "threat", "threat_negated")
+START = (0,) * len(TRANSDUCERS)
+
+
+def compose() -> dict[tuple, tuple]:
+    """(state of all five, symbol) -> (next state, ((output, weight), ...)), for every state that can be reached."""
+    names, table, todo = list(TRANSDUCERS), {}, [START]
+    while todo:
+        state = todo.pop()
+        if (state, "P") in table:
+            continue
+        now = dict(zip(names, state))
+        for symbol in SYMBOLS:
+            then = {k: TRANSDUCERS[k][now[k]].get(symbol, now[k]) for k in names}
+            if symbol == "I" and now["target"]:
+                then["insult"] = 0  # it has its target already
+            out = tuple((output, weight) for s, given, output, weight in ARCS if s == symbol and all(now[k] == v for k, v in given.items()))
+            table[state, symbol] = (tuple(then[k] for k in names), out)
+            todo.append(table[state, symbol][0])
+    return table
+
+
+PRODUCT = compose()
 FEATURES = ("bias", *OUTPUTS, "clauses", "strongest", "kinds", "density")
 
 
@@ -93,7 +108,6 @@ class Grammar:
     def __post_init__(self):
         self.closed = {**dict.fromkeys(NEGATION, ("N", 0.0)), **dict.fromkeys(REPORT, ("R", 0.0)), **dict.fromkeys(TARGET, ("T", 0.0)), **dict.fromkeys(THREAT, ("H", 1.0)), **dict.fromkeys(".!?;:\n", ("P", 0.0))}
         self.known: dict = {}
-        self.steps: dict = {}
 
     def classify(self, word: str):
         weight = self.lexicon.get(word + "$", 0.0)
@@ -118,18 +132,15 @@ class Grammar:
         if not any(c[0] in "IH" for _, _, c in hits):
             return None
         total = dict.fromkeys(OUTPUTS, 0.0)
-        state, last, clause, strongest, matched, kinds = (0, 0, 0, 0, 0), -NEAR, 0.0, 0.0, 0, set()
+        state, last, clause, strongest, matched, kinds = START, -NEAR, 0.0, 0.0, 0, set()
         for i, w, (symbol, weight) in hits:
             symbols = ("X", symbol) if i - last > NEAR and symbol != "P" else (symbol,)
             for s in symbols:
-                step = self.steps.get((state, s))
-                if step is None:
-                    step = self.steps[(state, s)] = _automata(state, s)
-                state, out = step
-                for o in out:
+                state, out = PRODUCT[state, s]
+                for o, share in out:
                     gain = weight or 1.0
                     total[o] += gain
-                    clause += gain if o in ("insult", "targeted", "threat") else 0.3 * gain
+                    clause += share * gain
             if symbol == "I":
                 kinds.add(w)
             if symbol == "P" and clause:
