@@ -28,3 +28,21 @@ def test_rows(spark, docs, nothing, texts):
     got = pieces.encode_documents(docs).collect()
     assert {r["doc_id"]: bytes(r["__decoded"]).decode() for r in got} == {i: t or "" for i, t in texts}
     assert pieces.encode_documents(nothing).count() == 0
+
+
+def test_long_segments_and_memory(vocabulary, monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(5)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 50)
+    monkeypatch.setattr(pieces, "REMEMBERED", 100)
+    long = ["".join(rng.choice("therinawon日é🙂") for _ in range(n)) for n in (41, 50, 66, 67, 100, 500, 1500)]
+    for t in [*long, *long[::-1], "word " * 30 + long[3]]:
+        assert np.frombuffer(pieces.encode_rows(vocabulary, [t])[0], np.int32).tolist() == model.encode(t)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "the same", "a"), (1, "the same", "b"), (None, "x" * 3000, "c"), (None, None, "d")], "doc_id bigint, text string, ids string")
+    got = pieces.encode_documents(d).collect()
+    assert sorted((r["ids"], bytes(r["__decoded"]).decode()) for r in got) == [("a", "the same"), ("b", "the same"), ("c", "x" * 3000), ("d", "")]

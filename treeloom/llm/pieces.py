@@ -13,8 +13,10 @@ For the segments that a task has not met before, as one batch:
    makes them one symbol, until no edge is left.  This is the order of merges of a byte-pair model, so ids equal the
    library's; a best-sum path over the same edges would not give the model's ids.
 
-Characters that no piece covers become byte pieces.  Segments of more than ``LONG`` characters use an agenda instead
-of rounds.  Nulls encode as nothing, like empty texts.  Vocabulary files are read, never trained or copied.
+Characters that no piece covers become byte pieces.  A segment of more than ``LONG`` characters has its edges from the
+suffix arrays of its blocks and relaxes them from a heap, in the same order, instead of in rounds that all segments
+share; it takes some hundred bytes a character.  Nulls encode as nothing, like empty texts.  Rows of a repeated doc_id
+are encoded each.  Vocabulary files are read, never trained or copied.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 LONG = 40
-#: Characters of new segments sorted at once; segments of a generation that a worker remembers.
-BATCH_CHARS, REMEMBERED = 300_000, 80_000
+#: Characters of new segments sorted at once; characters of the segments that a worker remembers of a generation.
+BATCH_CHARS, REMEMBERED = 300_000, 1_000_000
 
 
 class Vocabulary:
@@ -80,7 +82,7 @@ class Vocabulary:
         short = []
         for k, s in enumerate(segments):
             if len(s) > LONG:
-                out[k] = self._agenda(s)
+                out[k] = self._long(s)
             else:
                 short.append(k)
         at = 0
@@ -174,17 +176,20 @@ class Vocabulary:
                 new_owner.append(o)
         return np.array(new_ids, np.int32), np.array(new_owner)
 
-    def _agenda(self, s: str) -> bytes:
-        """The same merges for one long segment, from a heap."""
+    def _long(self, s: str) -> bytes:
+        """The same merges for one long segment: its edges block by block, relaxed from a heap."""
         n = len(s)
+        code = self.codes[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        edges = np.concatenate([self._edges(np.r_[code[a : a + BATCH_CHARS + self.wide], np.uint16(0)], min(BATCH_CHARS + self.wide, n - a) + 1)[: min(BATCH_CHARS, n - a)] for a in range(0, n, BATCH_CHARS)])
+        none = 1 << 30
         end, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
             j = end[i]
             if j < n and end[j] - i <= self.wide:
-                r = self.rank.get(s[i : end[j]])
-                if r is not None:
+                r = int(edges[i, end[j] - i])
+                if r < none:
                     heapq.heappush(heap, (r, i, end[j]))
 
         for i in range(n - 1):
@@ -202,21 +207,11 @@ class Vocabulary:
                 offer(left[i])
         out, i = [], 0
         while i < n:
-            r = self.rank.get(s[i : end[i]])
-            out.extend([int(self.ids[r])] if r is not None else (self.byte_ids[b] for b in s[i : end[i]].encode()))
+            r = int(edges[i, end[i] - i])
+            out.extend([int(self.ids[r])] if r < none else (self.byte_ids[b] for b in s[i : end[i]].encode()))
             i = end[i]
         return np.array(out, np.int32).tobytes()
 
-    def encode(self, text: str | None, memory: dict) -> bytes:
-        """Ids of a text as int32 bytes; ``memory`` holds segments met before."""
-        if not text:
-            return b""
-        segments = SEGMENT.findall(MARK + text.replace(" ", MARK))
-        fresh = list(dict.fromkeys(s for s in segments if s not in memory))
-        if fresh:
-            memory.update(zip(fresh, self.encode_segments(fresh)))
-        return b"".join([memory[s] for s in segments])
-
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids."""
         out = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, np.int32).tolist()))
@@ -225,18 +220,19 @@ class Vocabulary:
 
 _memory: dict = {}
 _older: dict = {}
+_held = 0
 
 
 def encode_rows(vocabulary: Vocabulary, texts: list[str | None]) -> list[bytes]:
     """Ids of each text; new segments of all texts are matched together.
 
-    A worker remembers two generations of segments: one that is met again moves to the younger, so the frequent
-    ones stay.
+    A worker remembers two generations of segments, each bounded in characters: one that is met again moves to the
+    younger, so the frequent ones stay.
     """
-    global _memory, _older
+    global _memory, _older, _held
     split = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else () for t in texts]
-    if len(_memory) > REMEMBERED:
-        _memory, _older = {}, _memory
+    if _held > REMEMBERED:
+        _memory, _older, _held = {}, _memory, 0
     fresh = []
     for s in set().union(*split) - _memory.keys():
         old = _older.get(s)
@@ -244,7 +240,9 @@ def encode_rows(vocabulary: Vocabulary, texts: list[str | None]) -> list[bytes]:
             fresh.append(s)
         else:
             _memory[s] = old
+            _held += len(s)
     _memory.update(zip(fresh, vocabulary.encode_segments(fresh)))
+    _held += sum(map(len, fresh))
     get = _memory.__getitem__
     return [b"".join(map(get, segments)) for segments in split]
 
