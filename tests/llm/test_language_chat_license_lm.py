@@ -182,3 +182,56 @@ def test_masked_lm_scores_by_plain_sums(spark):
     want.sort(key=lambda r: repr((r[0], r[1], round(r[2], 6))))
     assert [(i, n) for i, n, _ in got] == [(i, n) for i, n, _ in want]
     assert np.allclose([x for _, _, x in got], [x for _, _, x in want], atol=1e-3)
+
+
+def test_alignment_is_the_longest_in_the_band():
+    """Against every table entry of a plain longest common subsequence, limited to the band."""
+    from treeloom.llm.licenses import BAND, align
+
+    rng = random.Random(6)
+    for _ in range(300):
+        template = [rng.randrange(6) for _ in range(rng.randint(1, 12))]
+        words = [rng.randrange(6) for _ in range(rng.randint(1, 25))]
+        d = rng.randint(-3, len(words))
+        table = {}
+        for i in range(len(template) + 1):
+            for j in range(-1, len(words) + 1):
+                if i == 0 or j <= 0:
+                    table[i, j] = 0
+                    continue
+                best = max(table[i - 1, j], table[i, j - 1])
+                if template[i - 1] == words[j - 1] and abs((j - 1) - (d + i - 1)) <= BAND:
+                    best = max(best, table[i - 1, j - 1] + 1)
+                table[i, j] = best
+        matched, x, y = align(template, words, d)
+        assert matched == max(table.values())
+        if matched:
+            assert 0 <= x <= y < len(words) and words[x] in template and words[y] in template
+
+
+def test_planted_notices_are_found(spark):
+    rng = random.Random(12)
+    fill = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    names = list(TEMPLATES)
+    for k in range(300):
+        name = names[k % len(names)]
+        rows.append((k, f"{fill(rng.randint(0, 30))} {TEMPLATES[name]} {fill(rng.randint(0, 30))}"))
+        want[k] = name
+    rows += [(400, None), (401, ""), (402, fill(5000)), (403, TEMPLATES["mit"]), (403, TEMPLATES["mit"]), (None, TEMPLATES["isc"])]
+    d = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id bigint, text string, coverage double").repartition(3)
+    got = scan_licenses(d).collect()
+    found = {(r["doc_id"], r["template"]) for r in got}
+    assert all((k, n) in found for k, n in want.items())
+    assert not {400, 401, 402} & {r["doc_id"] for r in got} and sum(r["doc_id"] == 403 for r in got) == 2 and (None, "isc") in found
+    assert scan_licenses(d.limit(0)).count() == 0
+
+
+def test_chat_edges(spark):
+    none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.format_conversations(none).count() == 0
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b <|im_end|>"), (1, None, None, None), (1, 3, "user", "x"), (1, 3, "user", "x"), (1, 3, "assistant", "y")]
+    got = chat.format_conversations(spark.createDataFrame([(*r, "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, chunk string")).collect()
+    assert len(got) == 5 and sum(r["conv_id"] is None for r in got) == 2
+    text = "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] is None), key=lambda r: r["turn"]))
+    assert text == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb <\u200b|im_end|><|im_end|>\n"

@@ -11,7 +11,9 @@ A conversation may be of any length.  Turns fall into chunks of ``CHUNK`` turn n
 level by level, until every conversation is short; then states go back down, and every chunk is repaired on its own.
 
 Rows that are equal in every column count once; turns of one number are ordered by role and text; a null turn comes
-first.  Null roles and texts are empty; a role other than system, user, assistant must be relabelled.
+first.  Null roles and texts are empty; a role other than system, user, assistant must be relabelled.  Rows without
+conv_id are one conversation, whose conv_id is null in the result.  A text's own "<|" would end a turn: a zero-width
+space is put between its signs.  Turns of one number, or of none, stay in one chunk however many they are.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import stash
+from treeloom.llm.common import at_exit, discard, stash
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn.
@@ -184,9 +186,12 @@ def chunk_states(matrices: DataFrame) -> DataFrame:
         whole = matrices.select("conv_id", F.lit(0).cast("long").alias("up"), "chunk", "costs", F.lit(START).alias("entry"), F.lit(None).cast("int").alias("leave"), F.lit(True).alias("first"), F.lit(True).alias("last"))
         return stash(whole.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(_route_groups, ddl), "states")
     up = matrices.withColumn("up", F.floor(F.col("chunk") / FAN))
-    above = chunk_states(stash(sort(up.select("conv_id", "up", "chunk", "costs")).mapInArrow(_compose, "conv_id long, chunk long, costs array<double>"), "matrices"))
+    composed = stash(sort(up.select("conv_id", "up", "chunk", "costs")).mapInArrow(_compose, "conv_id long, chunk long, costs array<double>"), "matrices")
+    above = chunk_states(composed)
     known = up.join(above.select("conv_id", F.col("chunk").alias("up"), "entry", "leave", F.col("is_first").alias("first"), F.col("is_last").alias("last")), ["conv_id", "up"])
-    return stash(sort(known.select("conv_id", "up", "chunk", "costs", "entry", "leave", "first", "last")).mapInArrow(_route_groups, ddl), "states")
+    out = stash(sort(known.select("conv_id", "up", "chunk", "costs", "entry", "leave", "first", "last")).mapInArrow(_route_groups, ddl), "states")
+    discard(composed, above)
+    return out
 
 
 def _escaped(text: str | None) -> str:
@@ -209,6 +214,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     ordered = clean.select("conv_id", "chunk", "turn", "role", "text")
     costs = stash(dealt(ordered, F.asc_nulls_first("turn"), "role", "text").select("conv_id", "chunk", "turn", "role").mapInArrow(matrices, "conv_id long, chunk long, costs array<double>"), "matrices")
     states = chunk_states(costs)
+    discard(costs)
+    at_exit(turns.sparkSession, states._stash_path)
     both = ordered.join(states, ["conv_id", "chunk"])
 
     def render(batches):

@@ -2,10 +2,11 @@
 
 Words are runs of ASCII letters, digits and other bytes above 0x7F, lower-cased.  Fingerprints are hashes of three
 words in a row; of each two neighbouring ones of a template the smaller is kept, of documents all, so any four words in
-common share one, and a template of three words always has its own.  The index maps a fingerprint to (template, place).  Every diagonal of a template with
-hits of a document is a candidate; a sequence alignment in a band around it counts the template's words that match in
-order.  Of alignments that overlap the best stays, and diagonals whose hits it does not cover are aligned again in the
-words that are left, so notices that follow one another closely are a match each.  Reported: template, share of its words matched, characters of the document covered.
+common share one, and a template of three words always has its own.  The index maps a fingerprint to (template,
+place).  Every diagonal of a template with hits of a document is a candidate; a sequence alignment in a band around it
+counts the template's words that match in order.  Of alignments that overlap the best stays, and diagonals whose hits
+it does not cover are aligned again in the words that are left, so notices that follow one another closely are a match
+each.  Reported: template, share of its words matched, characters of the document covered.
 
 Templates are of fixed size, so the index goes to every task.  Every row and whole text is read.  Null and empty texts
 have no match; rows of a repeated doc_id are scanned each for itself.

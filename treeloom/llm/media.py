@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from treeloom.llm.common import fresh_path, prepare, stash, tidy
+from treeloom.llm.common import at_exit, fresh_path, prepare, stash, tidy
 
 WIDTH = 192
 #: Bytes of media from which a task starts a new archive, bytes of one planned range, bytes of one Arrow batch.
@@ -219,6 +219,8 @@ def media_features(docs: DataFrame) -> DataFrame:
     prepare(spark)
     folder = fresh_path(spark, "media")
     listed = write_archives(docs, folder)
+    for path in (folder, listed._stash_path):  # the result reads them
+        at_exit(spark, path)
     # attempts that failed leave archives that no result lists; a folder of this run's own holds few of them
     members = read_archives(spark, folder).join(listed.select("archive"), "archive", "left_semi")
 
