@@ -228,6 +228,19 @@ class TestDataFrames:
         got = [r[0] for r in rows.select(text.json_string(F.col("x"))).collect()]
         assert got[3] is None and [json.loads(g) for g in got[:3]] == ["abc", "abc\n", "a\x01b\u2028\"\\"]
 
+    def test_scoped_paths(self, spark):
+        nodes = spark.createDataFrame([(0, None, "doc"), (1, 0, "a"), (2, 1, ""), (3, 2, "x"), (4, 3, "y"), (5, 0, "b"), (6, 5, "x"), (7, 6, "z"), (8, 5, "x"), (9, 8, "z")], "node_id int, parent_id int, name string")
+        refs = spark.createDataFrame([(1, 1, ["x", "y"]), (2, 4, ["x"]), (3, 7, ["x", "z"]), (4, 3, ["b", "x"]), (5, 4, ["nowhere"]), (6, 4, []), (7, 4, None)], "ref_id int, node_id int, path array<string>")
+        got = {r["ref_id"]: (r["node_id"], r["scope_id"], r["ambiguous"]) for r in resolve.resolve_scoped(refs, nodes).collect()}
+        assert got == {1: (4, 1, False), 2: (3, 2, False), 3: (7, 5, True), 4: (6, 0, True), 5: (None, None, None), 6: (None, None, None), 7: (None, None, None)}
+        assert resolve.resolve_scoped(refs.limit(0), nodes).count() == 0 and resolve.resolve_scoped(refs, nodes.limit(0)).where("node_id is not null").count() == 0
+
+    def test_pairs_stay_in_their_scope(self, spark):
+        e = spark.createDataFrame([(1, 0, "a", True, 1), (1, 1, "a", False, 2), (1, 2, "a", False, 1), (None, 3, "a", True, 1)], "doc bigint, at bigint, name string, st boolean, field int")
+        got = {(r["start_at"], r["end_at"]) for r in intervals.pair_stack(e, "doc", "at", "name", "st", "field").collect()}
+        assert got == {(0, 2), (None, 1)}
+        assert {(r["start_at"], r["end_at"]) for r in intervals.pair_stack(e, "doc", "at", "name", "st").collect()} == {(0, 1), (None, 2)}
+
     def test_cycles_and_closure(self, spark):
         e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", None)], "child string, parent string")
         assert [r["cycle"] for r in schema_graph.cycles(e).collect()] == [["a", "b", "c"]]

@@ -28,8 +28,12 @@ def pair_unique(events: DataFrame, key: list[str], order: list[str], ident: str,
     return ends.withColumn("r", F.row_number().over(first)).where("r = 1").select("start_id", F.col(ident).alias("end_id"))
 
 
-def pair_stack(events: DataFrame, doc: str, position: str, name: str, is_start: str) -> DataFrame:
-    """(doc, start, end): each end closes the nearest unclosed start of its name, in a document (a bounded group)."""
+def pair_stack(events: DataFrame, doc: str, position: str, name: str, is_start: str, scope: str | None = None) -> DataFrame:
+    """(doc, start_at, end_at): each end closes the nearest unclosed start of its name, in a document (a bounded group).
+
+    scope: a part of the document that pairs may not leave, such as the subtree field that holds the anchors; an end
+    never closes a start of another part.  Events without a document pair with nothing and are left out.
+    """
 
     def run(pdf):
         import pandas as pd
@@ -48,19 +52,22 @@ def pair_stack(events: DataFrame, doc: str, position: str, name: str, is_start:
         out += [(pdf[doc].iloc[0], p, None) for p, _ in open_]
         return pd.DataFrame(out, columns=["doc", "start_at", "end_at"]).astype({"start_at": "Int64", "end_at": "Int64"})
 
-    return events.groupBy(doc).applyInPandas(run, "doc bigint, start_at bigint, end_at bigint")
+    groups = [doc, scope] if scope else [doc]
+    return events.where(F.col(doc).isNotNull()).groupBy(*groups).applyInPandas(run, "doc bigint, start_at bigint, end_at bigint")
 
 
-def segments(spans: DataFrame, key: str, ident: str, start: str, end: str) -> DataFrame:
+def segments(spans: DataFrame, key: str, ident: str, start: str, end: str, width: int) -> DataFrame:
     """(key, seg_start, seg_end, active): stretches between boundaries with the spans open over them.
 
     active lists span ids in order of start: the nesting order of elements over that stretch.  Boundaries come from a
-    running window; a stretch meets the spans of its key by containment.
+    running window; a stretch lies in the cell of ``width`` of its start and meets the spans dealt to that cell.
     """
     bounds = spans.select(key, F.col(start).alias("at")).union(spans.select(key, F.col(end))).distinct()
     w = Window.partitionBy(key).orderBy("at")
     segs = bounds.select(key, F.col("at").alias("seg_start"), F.lead("at").over(w).alias("seg_end")).where("seg_end is not null")
-    s = spans.select(F.col(key).alias("k"), F.col(ident).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"))
-    covered = segs.join(s, (segs[key] == s["k"]) & (s["s"] <= segs["seg_start"]) & (segs["seg_end"] <= s["e"]) & (s["s"] < s["e"]))
+    segs = segs.withColumn("cell", F.floor(F.col("seg_start") / width))
+    s = spans.where(F.col(start) < F.col(end)).select(F.col(key), F.col(ident).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"))
+    s = s.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
+    covered = segs.join(s, [key, "cell"]).where("s <= seg_start and seg_end <= e")
     out = covered.groupBy(key, "seg_start", "seg_end").agg(F.array_sort(F.collect_list(F.struct("s", "id"))).alias("open"))
     return out.select(key, "seg_start", "seg_end", F.transform("open", lambda x: x["id"]).alias("active"))

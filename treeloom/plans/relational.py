@@ -73,6 +73,19 @@ def resolve_path(spark, d):
     return resolve.resolve_path(nodes, [region[0], nation], ["nation"])
 
 
+@query("""SELECT 'customer:' || c_custkey AS ref_id, CASE WHEN m.n_regionkey = o.n_regionkey THEN 'nation:' || o.n_nationkey END AS node_id,
+      CASE WHEN m.n_regionkey = o.n_regionkey THEN 'region:' || o.n_regionkey END AS scope_id, CASE WHEN m.n_regionkey = o.n_regionkey THEN FALSE END AS ambiguous
+    FROM customer JOIN nation m ON m.n_nationkey = c_nationkey JOIN nation o ON o.n_nationkey = (c_nationkey + 5) % (SELECT count(*) FROM nation)""")
+def resolve_scoped_paths(spark, d):
+    """Every customer refers to a nation by name: found from the nearest scope above that holds it, or not at all."""
+    nation = t(spark, d, "nation")
+    n = nation.count()
+    other = nation.select(F.pmod(F.col("n_nationkey") - 5, F.lit(n)).alias("c_nationkey"), F.array("n_name").alias("path"))
+    node = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
+    refs = t(spark, d, "customer").join(other, "c_nationkey").select(node.alias("ref_id"), node.alias("node_id"), "path")
+    return resolve.resolve_scoped(refs, forest(spark, d).where("depth <= 2"))
+
+
 @query("""WITH c AS (SELECT a.o_orderkey AS ref, b.o_orderkey AS target, date_diff('day', b.o_orderdate, a.o_orderdate) AS dist
       FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate),
     m AS (SELECT *, min(dist) OVER (PARTITION BY ref) AS least FROM c)
@@ -339,11 +352,14 @@ def range_contains(spark, d):
 _CARDS = ["{1}", "{0-1}", "{>0}", "{<5}", "{*}", "{1,3-5,>9}", "{5-2}", "{}", "x", "{<0}"]
 
 
-@query("SELECT * FROM (VALUES ('{1}', '{1}', 'yes'), ('{0-1}', '{<2}', 'yes'), ('{>0}', '{>0}', 'no'), ('{<5}', '{<5}', 'yes'), ('{*}', '{*}', 'no'), ('{1,3-5,>9}', '{1,3-5,>9}', 'no'), ('{5-2}', NULL, 'malformed'), ('{}', NULL, 'malformed'), ('x', NULL, 'malformed'), ('{<0}', NULL, 'malformed')) v(literal, printed, bounded)")
+@query("""SELECT * FROM (VALUES ('{1}', '{1}', 'yes'), ('{0-1}', '{<2}', 'yes'), ('{>0}', '{>0}', 'no'), ('{<5}', '{<5}', 'yes'), ('{*}', '{*}', 'no'), ('{1,3-5,>9}', '{1,3-5,>9}', 'no'), ('{5-2}', NULL, 'malformed'), ('{}', NULL, 'malformed'), ('x', NULL, 'malformed'), ('{<0}', NULL, 'malformed')) v(literal, printed, bounded)
+    UNION SELECT '{' || a || '-' || b || '}', CASE WHEN b > a THEN '{' || a || '-' || b || '}' END, CASE WHEN b > a THEN 'yes' ELSE 'malformed' END FROM (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS a, CAST(l_quantity AS BIGINT) AS b FROM lineitem)""")
 def cardinality_literals(spark, d):
-    """Cardinality literals read and written back; malformed ones are null."""
+    """Cardinality literals read and written back, among them one for each pair of line number and quantity; malformed ones are null."""
     c = ranges.parse_cardinality(F.col("literal"))
-    return spark.createDataFrame([(x,) for x in _CARDS], "literal string").select("literal", ranges.print_cardinality(c).alias("printed"), F.when(c.isNull(), "malformed").when(ranges.highest(c).isNotNull(), "yes").otherwise("no").alias("bounded"))
+    made = t(spark, d, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("a"), F.col("l_quantity").cast("bigint").alias("b")).distinct().select(F.concat(F.lit("{"), "a", F.lit("-"), "b", F.lit("}")))
+    given = spark.createDataFrame([(x,) for x in _CARDS], "literal string").union(made).distinct()
+    return given.select("literal", ranges.print_cardinality(c).alias("printed"), F.when(c.isNull(), "malformed").when(ranges.highest(c).isNotNull(), "yes").otherwise("no").alias("bounded"))
 
 
 _SPANS = "SELECT event_id, user_id, CAST(epoch_us(ts) AS BIGINT) AS s, CAST(epoch_us(ts) AS BIGINT) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS e FROM events"
@@ -375,7 +391,7 @@ def annotation_pairing(spark, d):
     SELECT g.user_id, seg_start, seg_end, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY s, event_id) AS active FROM g JOIN x ON x.user_id = g.user_id AND s <= seg_start AND seg_end <= e AND s < e WHERE seg_end IS NOT NULL GROUP BY 1, 2, 3""")
 def overlap_to_nesting(spark, d):
     """Stretches between boundaries with the spans open over them, in order of start."""
-    g = intervals.segments(_spans(spark, d), "user_id", "event_id", "s", "e")
+    g = intervals.segments(_spans(spark, d), "user_id", "event_id", "s", "e", 600_000_000)
     return g.select("user_id", "seg_start", "seg_end", F.array_join(F.transform("active", lambda x: x.cast("string")), ",").alias("active"))
 
 
@@ -418,10 +434,10 @@ def paragraph_tokens(spark, d):
 
 
 @query("""WITH x AS (SELECT doc_id, text, CAST(length(text) // 2 AS INTEGER) AS off FROM documents), y AS (SELECT *, substr(text, 1, off) AS pre FROM x)
-    SELECT doc_id, CAST(len(string_split(pre, chr(10))) AS INTEGER) AS line, CAST(length(list_extract(string_split(pre, chr(10)), -1)) + 1 AS INTEGER) AS col FROM y WHERE text IS NOT NULL""")
+    SELECT doc_id, CAST(len(string_split(pre, chr(10))) AS INTEGER) AS line, CAST(length(list_extract(string_split(pre, chr(10)), -1)) + 1 AS INTEGER) AS col FROM y""")
 def line_column(spark, d):
     """Line and column of the middle of each text."""
-    x = t(spark, d, "documents").where("text is not null").withColumn("off", F.floor(F.length("text") / 2).cast("int"))
+    x = t(spark, d, "documents").withColumn("off", F.floor(F.length("text") / 2).cast("int"))
     return x.select("doc_id", text.line_of(F.col("text"), F.col("off")).alias("line"), text.column_of(F.col("text"), F.col("off")).alias("col"))
 
 
@@ -474,14 +490,20 @@ def diagnostics_summary(spark, d):
 _PATHS = ["a/b.TXT", "x.tar.gz", "dir.d/file", "none", "c:\\d.e\\f.Abc", ".hidden"]
 
 
-@query("SELECT * FROM (VALUES ('a/b.TXT', 'txt'), ('x.tar.gz', 'gz'), ('dir.d/file', ''), ('none', ''), ('c:\\d.e\\f.Abc', 'abc'), ('.hidden', 'hidden')) v(path, extension)")
+@query(r"""SELECT path, translate(regexp_extract(path, '\.([^./\\]*)$', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS extension FROM (SELECT url AS path FROM pages UNION
+    SELECT * FROM (VALUES ('a/b.TXT'), ('x.tar.gz'), ('dir.d/file'), ('none'), ('c:\d.e\f.Abc'), ('.hidden')))""")
 def file_extensions(spark, d):
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", text.file_extension(F.col("path")).alias("extension"))
+    """Extensions of all page addresses and of some odd paths."""
+    paths = spark.createDataFrame([(p,) for p in _PATHS], "path string").union(t(spark, d, "pages").select("url")).distinct()
+    return paths.select("path", text.file_extension(F.col("path")).alias("extension"))
 
 
 _TOKENS = ["==", "--", "a-", "-a", "%", "%{", "{", "{}", "<<", "- -", "~x~", "\\>"]
 
 
-@query("SELECT * FROM (VALUES ('==', true), ('--', true), ('a-', false), ('-a', false), ('%', false), ('%{', false), ('{', false), ('{}', false), ('<<', true), ('- -', false), ('~x~', true), ('\\>', false)) v(token, allowed)")
+@query(r"""SELECT token, regexp_matches(token, '^[^A-Za-z0-9]') AND regexp_matches(token, '[^A-Za-z0-9]$') AND NOT regexp_matches(token, '[ \t\r\n]') AND token NOT IN ('\', '%', '%{', '}%', '{!', '<\', '\>') AND NOT regexp_matches(token, '^[{}]+$') AS allowed
+    FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents WHERE text IS NOT NULL UNION SELECT * FROM (VALUES ('=='), ('--'), ('a-'), ('-a'), ('%'), ('%{'), ('{'), ('{}'), ('<<'), ('- -'), ('~x~'), ('\>')))""")
 def user_tokens(spark, d):
-    return spark.createDataFrame([(p,) for p in _TOKENS], "token string").select("token", text.is_user_defined_token(F.col("token")).alias("allowed"))
+    """Which of the pieces of all documents between spaces, and of some odd ones, a schema may define as tokens."""
+    pieces = t(spark, d, "documents").where("text is not null").select(F.explode(F.split("text", " ")).alias("token"))
+    return spark.createDataFrame([(p,) for p in _TOKENS], "token string").union(pieces).distinct().select("token", text.is_user_defined_token(F.col("token")).alias("allowed"))
