@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import ranges, text
-from treeloom.operators import intervals, resolve, schema_graph, trees, unique_ids, validate, values
+from treeloom.operators import edits, intervals, resolve, schema_graph, trees, unique_ids, validate, values
 from treeloom.operators.stages import cut
 
 QUERIES: dict = {}
@@ -127,6 +127,28 @@ def ancestor_select(spark, d):
     return items.join(near, "l_orderkey").select(F.concat(F.lit("item:"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("node_id"), "ancestor_id", "distance")
 
 
+@query("""WITH gone AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 5 = 0)
+    SELECT 'region' AS kind, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT k FROM gone)
+    UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT k FROM gone)
+    UNION ALL SELECT 'order', count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey NOT IN (SELECT k FROM gone)""")
+def subtree_removal(spark, d):
+    """What is left of the tree of orders when every fifth nation is removed with all below it."""
+    nodes = forest(spark, d).where("depth <= 3")
+    nations = t(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node_id"))
+    return edits.remove(nodes, nations).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'nation:' || CASE WHEN c_custkey % 3 = 0 THEN (c_nationkey + 1) % (SELECT count(*) FROM nation) ELSE c_nationkey END AS parent_id, count(*) AS n FROM customer GROUP BY 1""")
+def subtree_moves(spark, d):
+    """Customers of each nation after every third one has moved to the next nation."""
+    nodes = forest(spark, d).where("depth <= 2")
+    n = t(spark, d, "nation").count()
+    of = lambda kind, c: F.concat(F.lit(kind + ":"), c.cast("string"))
+    moves = t(spark, d, "customer").where("c_custkey % 3 = 0").select(of("customer", F.col("c_custkey")).alias("node_id"), of("nation", (F.col("c_nationkey") + 1) % n).alias("new_parent"))
+    moved, _ = edits.move(nodes, moves)
+    return moved.where("kind = 'customer'").groupBy("parent_id").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT DISTINCT 'part:' || p_partkey AS sub, x.sup, x.distance FROM part, LATERAL (VALUES ('part:' || p_partkey, 0), ('brand:' || p_brand || '/' || p_type, 1), ('type:' || p_type, 2)) x(sup, distance)
     UNION SELECT DISTINCT 'brand:' || p_brand || '/' || p_type, x.sup, x.distance FROM part, LATERAL (VALUES ('brand:' || p_brand || '/' || p_type, 0), ('type:' || p_type, 1)) x(sup, distance)
     UNION SELECT DISTINCT 'type:' || p_type, 'type:' || p_type, 0 FROM part""")
