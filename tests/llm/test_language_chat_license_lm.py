@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from treeloom.llm import chat, masked_lm
 from treeloom.llm.language import declared_language, fit_text, identify_languages, page_text
@@ -149,8 +150,10 @@ def test_masked_lm(spark, nothing):
     assert masked_lm.score(nothing, masked_lm.fit(nothing)).count() == 0
 
 
-def test_masked_lm_scores_by_plain_sums(spark):
+@pytest.mark.parametrize("head", [1 << 17, 20, 1])
+def test_masked_lm_scores_by_plain_sums(spark, monkeypatch, head):
     """Word by word: the network's class probability times the word's exact share of its class."""
+    monkeypatch.setattr(masked_lm, "HEAD", head)
     import pyarrow as pa
 
     from treeloom.llm.common import utf8_buffer, word_hashes

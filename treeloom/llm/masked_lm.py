@@ -3,7 +3,8 @@
 Words fall into ``CLASSES`` classes by hash.  The network predicts a masked word's class from the classes of two words
 on either side: position-wise embeddings are added, squashed, and read out by a softmax.  The word itself is then
 predicted within its class by its exact share of the corpus: a table with one count for each distinct word, which
-grows with the input and is joined back.  A document's score is the sum of the logs of both, over all its words, each
+grows with the input.  Counts of the ``HEAD`` most frequent words go to every task, so that words which all documents
+share are no keys of a join; the others are joined back.  A document's score is the sum of the logs of both, over all its words, each
 predicted from both sides.
 
 Training gathers from the whole corpus.  In each round every task starts from the same network, goes once through the
@@ -14,7 +15,7 @@ more than a few networks.  With the tasks' share of the data the means differ a
 how the input is split.
 
 Nulls and empty texts have no words: n_words 0, log_likelihood 0, per_word null.  Every row gets a row, repeated and
-null ids too; equal rows have equal scores.
+null ids too; equal rows have equal scores.  A word that the model has not seen counts as seen once.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import at_exit, maybe_broadcast, mix, prepare, row_slices, stash, tidy, utf8_buffer, word_hashes
 
 CLASSES, HIDDEN, SIDE = 128, 24, 2
-#: Distinct words a task counts before it hands them on.
-COUNTED = 200_000
+#: Distinct words a task counts before it hands them on; most frequent words whose counts every task has (16 bytes each).
+COUNTED, HEAD = 200_000, 1 << 17
 ROUNDS, STEP, SUMS = 2, 0.15, 16
 #: Words in one step of training, words scored at once.
 TRAINED, BATCH = 512, 512
@@ -192,6 +193,7 @@ class Model:
     flat: np.ndarray  # the network
     vocabulary: DataFrame  # word (hash), count: a written stage
     classes: np.ndarray  # words of each class in the corpus
+    head: tuple[np.ndarray, np.ndarray]  # the most frequent words, sorted, and the logs of their counts
 
 
 def fit(docs: DataFrame) -> Model:
@@ -215,43 +217,53 @@ def fit(docs: DataFrame) -> Model:
     classes = np.ones(CLASSES)
     for r in vocabulary.groupBy(F.col("word").bitwiseAND(F.lit(CLASSES - 1)).alias("c")).agg(F.sum("count").alias("n")).collect():  # CLASSES rows; a power of two, so low bits are the remainder
         classes[r["c"]] = r["n"]
-    return Model(flat, vocabulary, classes)
+    top = vocabulary.orderBy(F.desc("count"), "word").limit(HEAD).toArrow()  # HEAD rows at most
+    words, counts = top.column("word").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(words)
+    return Model(flat, vocabulary, classes, (words[order], np.log(np.maximum(counts[order], 1))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, log_likelihood, per_word); one row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.flat, np.log(model.classes)))  # of fixed size
+    shared = spark.sparkContext.broadcast((model.flat, np.log(model.classes), *model.head))  # of bounded size
 
     def run(batches):
-        """For each document its distinct words; the first of them carries the classes' part of the score."""
-        weights, per_class = shared.value
+        """For each document its rarer words; the first row carries what is known here: classes, frequent words."""
+        weights, per_class, head_words, head_logs = shared.value
         net = Network(weights)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(2)
+            text_hash = texts.to_numpy()
             for i, size, rows, cls, h, _ in _words(batch.column(1)):
-                total, n = np.zeros(size), np.bincount(rows, minlength=size)
+                total, n, rare = np.zeros(size), np.bincount(rows, minlength=size), np.zeros(len(h), bool)
                 if len(cls):
                     context = _contexts(cls, rows)
                     logs = -per_class[cls]
                     for k in range(0, len(cls), BATCH):
                         _, z, norm = net.forward(context[:, k : k + BATCH])
                         logs[k : k + BATCH] += z[np.arange(len(z)), cls[k : k + BATCH]] - norm
+                    rare = np.ones(len(h), bool)
+                    if len(head_words):
+                        place = np.minimum(np.searchsorted(head_words, h), len(head_words) - 1)
+                        rare = head_words[place] != h
+                        logs += np.where(rare, 0.0, head_logs[place])
                     total = np.bincount(rows, logs, minlength=size)
-                order = np.lexsort((h, rows))
-                r, w = rows[order], h[order]
+                r, w = rows[rare], h[rare]
+                order = np.lexsort((w, r))
+                r, w = r[order], w[order]
                 new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (w[1:] != w[:-1])][: len(r)])
-                empty = np.flatnonzero(n == 0)
-                row = np.r_[r[new], empty]
-                head = np.r_[True, row[1:] != row[:-1]][: len(row)] | (n[row] == 0)
-                times = np.r_[np.diff(np.r_[new, len(r)]), np.zeros(len(empty), np.int64)]
+                alone = np.flatnonzero(np.bincount(r, minlength=size) == 0)  # their row has no word, and a key that is like no other's
+                row = np.r_[r[new], alone]
+                head = np.r_[True, row[1:] != row[:-1]][: len(row)]
+                times = np.r_[np.diff(np.r_[new, len(r)]), np.zeros(len(alone), np.int64)]
                 at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(np.r_[w[new].view(np.int64), np.zeros(len(empty), np.int64)]), pa.array(times), pa.array(np.where(head, total[row], 0.0)), pa.array(np.where(head, n[row], 0)), pa.array(head.astype(np.int64))], names=["doc_id", "text_hash", "word", "times", "classes", "n_words", "rows"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(np.r_[w[new].view(np.int64), text_hash[alone + i]]), pa.array(times), pa.array(np.where(head, total[row], 0.0)), pa.array(np.where(head, n[row], 0)), pa.array(head.astype(np.int64))], names=["doc_id", "text_hash", "word", "times", "classes", "n_words", "rows"])
 
     schema = "doc_id long, text_hash long, word long, times long, classes double, n_words long, rows long"
     parts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(run), schema)
     counted = parts.join(maybe_broadcast(model.vocabulary), "word", "left")
-    within = F.when(F.col("times") > 0, F.col("times") * F.log("count")).otherwise(0.0)
+    within = F.when(F.col("times") > 0, F.col("times") * F.log(F.coalesce("count", F.lit(1)))).otherwise(0.0)
     each = counted.groupBy("doc_id", "text_hash").agg(F.sum("rows").alias("rows"), F.sum("n_words").alias("n"), F.sum(F.col("classes") + within).alias("total"))
     n = (F.col("n") / F.col("rows")).cast("long")
     # equal rows were summed together: their mean, once for each
