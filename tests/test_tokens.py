@@ -159,3 +159,20 @@ def test_long_texts_are_linear(n):
     t = time.time()
     b = read("\\page{" + "word *x* " * n + "}")
     assert len(b.annotations) == n and time.time() - t < 2 + n / 500
+
+
+def test_command_line(tmp_path, capsys):
+    from treeloom.__main__ import context, main
+
+    (tmp_path / "data" / "ontology").mkdir(parents=True)
+    (tmp_path / "data" / "ontology" / "notes.markup").write_text(LIBRARY["notes.markup"])
+    (tmp_path / "in.markup").write_text("\\import[ontology]{notes.markup}\n\\page{a \\nothing b}\n")
+    assert main([str(tmp_path / "in.markup"), "-I", str(tmp_path / "data")]) == 1
+    out, err = capsys.readouterr()
+    assert '<import rel="ontology" src="notes.markup"/>' in out and "<notes:page>" in out
+    lines = err.splitlines()
+    assert ":2:9: error" in lines[0] and lines[1] == "\\page{a \\nothing b}" and lines[2] == " " * 8 + "^"
+    assert main([str(tmp_path / "in.markup"), "-I", str(tmp_path / "data"), "-f"]) == 1 and "<import" not in capsys.readouterr()[0]
+    assert main([str(tmp_path / "gone")]) == 2
+    line, mark = context("x" * 50 + "!" + "y" * 200, 50)
+    assert line[mark.index("^")] == "!" and line.startswith("...") and line.endswith("...")

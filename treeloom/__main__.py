@@ -9,12 +9,23 @@ import argparse
 import os
 import sys
 
-from treeloom.sinks import document_element, html_document, schema_element
+from treeloom.sinks import document_element, html_document, import_elements, schema_element
 from treeloom.sources.builder import Builder
-from treeloom.sources.locator import Locator
+from treeloom.sources.locator import DEFAULT_ROOTS, Locator
 from treeloom.sources.reader import kind_of, source_events
 
 
+def context(text: str, at: int, most: int = 80) -> tuple[str, str]:
+    """The line of a place, cut to so many characters around it, and a mark below the place."""
+    begin = text.rfind("\n", 0, at) + 1
+    end = text.find("\n", at)
+    line = text[begin : end if end >= 0 else len(text)]
+    first = max(0, min(at - begin - most // 2, len(line) - most))
+    shown = line[first : first + most].replace("\t", " ").replace("\r", " ")
+    before, after = "..." if first else "", "..." if first + most < len(line) else ""
+    return before + shown + after, " " * (len(before) + at - begin - first) + "^"
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("treeloom", description="Marked-up documents to XML or HTML.")
     p.add_argument("input")
@@ -30,10 +41,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{a.input}: no such file", file=sys.stderr)
         return 2
     where = Locator({"": [os.path.dirname(os.path.abspath(a.input))]})
-    for folder in a.include:
-        for kind in ("ontology", "typesystem"):
-            where.add_path(kind, os.path.join(folder, kind))
-        where.add_path("", folder)
+    where.add_roots(*DEFAULT_ROOTS, *a.include)
 
     def load(rel, src):
         found = where.locate(src, rel, a.input)
@@ -48,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         line = text.count("\n", 0, at) + 1
         column = at - (text.rfind("\n", 0, at) + 1) + 1
         print(f"{a.input}:{line}:{column}: {severity}: {message} ({code})", file=sys.stderr)
+        print(*context(text, at), sep="\n", file=sys.stderr)
     if a.format == "html":
         try:
             out = html_document(b.nodes, b.annotations)
@@ -59,6 +68,8 @@ def main(argv: list[str] | None = None) -> int:
         root = document_element(b.nodes, b.annotations, fields)
         if a.flat:
             root.children = schema_element(b.schema) + root.children
+        else:
+            root.children = import_elements(b.direct) + root.children
         out = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + root.lines(True)
     if a.output:
         with open(a.output, "w", encoding="utf-8") as f:

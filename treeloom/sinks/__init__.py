@@ -92,6 +92,11 @@ def document_element(nodes: list[dict], annotations: list[dict], fields: dict[st
     return root
 
 
+def import_elements(imports: list[tuple[str, str]]) -> list[Element]:
+    """What a document imports, as elements before its content."""
+    return [Element("import", {"rel": rel, "src": src} if rel else {"src": src}) for rel, src in imports]
+
+
 def schema_element(schema) -> list[Element]:
     """Classes and value types as elements: an ontology or typesystem each."""
     out: dict[tuple, Element] = {}

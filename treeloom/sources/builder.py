@@ -60,7 +60,8 @@ class Builder:
         self.positions: dict[tuple, int] = {}  # last position in a parent's field
         self.annotations: list[dict] = []
         self.diagnostics: list[tuple] = []
-        self.imports: list[tuple[str, str]] = []
+        self.imports: list[tuple[str, str]] = []  # of all modules
+        self.direct: list[tuple[str, str]] = []  # of this one
         self.stack = [Frame("")]
         self.open_annotations: list[dict] = []
         self.indents, self.said, self.tries = [0], set(), {}
@@ -753,6 +754,8 @@ class Builder:
         if src in self.loading:
             self.say("error", "cyclic_import", f"{src} imports itself")
             return
+        if kind == "import" and (rel, src) not in self.direct:
+            self.direct.append((rel, src))
         if (rel, src) in self.imports:
             return
         self.imports.append((rel, src))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 
 import pyarrow.fs as pafs
@@ -13,6 +14,10 @@ READERS = {"text/vnd.treeloom": "markup", "text/vnd.treeloom+xml": "xml"}
 PRODUCES = {"text/vnd.treeloom": {"document", "ontology", "typesystem"}, "text/vnd.treeloom+xml": {"document", "ontology", "typesystem"}}
 
 
+#: Data folders of the machine and of the user.
+DEFAULT_ROOTS = ("/usr/share/treeloom", os.path.expanduser("~/.local/share/treeloom"))
+
+
 def deduce(relation: str, path: str, wanted: set[str] | None = None) -> tuple[str, set[str]]:
     """Reader and resource types of a request; raises ValueError where they can't be told or do not agree."""
     extension = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "markup"
@@ -42,6 +47,18 @@ class Locator:
             have.remove(folder)
         have.insert(0, folder)
 
+    def add_roots(self, *bases: str) -> None:
+        """Data folders: modules lie in their ontology and typesystem folders, anything in the folders themselves."""
+        for base in bases:
+            for kind in ("", "ontology", "typesystem"):
+                folder = posixpath.join(base, kind) if kind else base
+                if self._is_folder(folder):
+                    self.add_path(kind, folder)
+
+    def _is_folder(self, path: str) -> bool:
+        fs, base = self._fs(path)
+        return fs.get_file_info(base).type == pafs.FileType.Directory
+
     @staticmethod
     def _fs(path: str):
         if "://" in path:
