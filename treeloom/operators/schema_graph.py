@@ -56,6 +56,8 @@ def cycles(edges: DataFrame) -> DataFrame:
         before, left = left, jump.select("parent").distinct().count()
         if left == before:
             break
+    if not left:
+        return jump.select(F.col("child").alias("start"), F.array("child").alias("cycle")).limit(0)
     on = e.join(jump.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
     # smallest member of each cycle
     low = cut(on.select("child", "parent", F.least("child", "parent").alias("low")))

@@ -54,6 +54,20 @@ class ClassDef:
     greedy: bool = True
 
 
+def local_table(spark, rows: list[tuple], ddl: str):
+    """A schema-sized table as a local relation: the planner knows its size and joins it without a shuffle."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(kinds)
+    as_dicts = lambda v, t: [dict(zip((f.name for f in t.value_type), x)) for x in v] if pa.types.is_list(t) and pa.types.is_struct(t.value_type) and v is not None else v
+    columns = zip(*rows) if rows else [()] * len(arrow)
+    arrays = [pa.array([as_dicts(v, f.type) for v in c], f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), kinds)
+
+
 BUILTIN = {"string": "", "int": 0, "double": 0.0, "bool": False, "cardinality": ANY}
 
 
@@ -272,11 +286,11 @@ class Schema:
                 tokens += [(name, f.name, kind, t) for kind, t in (("open", f.open), ("close", f.close)) if t and f in c.fields]
         types = [(name, x.kind, x.parent) for name, x in self.types.items()]
         return {
-            "classes": spark.createDataFrame(classes, "class string, superclass string, cardinality array<struct<start:bigint,end:bigint>>, transparent boolean, root boolean, annotation boolean"),
-            "fields": spark.createDataFrame(fields, "owner string, field string, field_type string, primitive boolean, type string, optional boolean, seq int, declared boolean"),
-            "children": spark.createDataFrame(children, "owner string, field string, child string"),
-            "tokens": spark.createDataFrame(tokens, "class string, field string, kind string, token string"),
-            "types": spark.createDataFrame(types, "type string, kind string, parent string"),
-            "type_fields": spark.createDataFrame([(name, a[0], k) for name, x in self.types.items() for k, a in enumerate(x.attrs)], "type string, field string, seq int"),
-            "entries": spark.createDataFrame([(name, e, k) for name, x in self.types.items() for k, e in enumerate(x.entries)], "type string, entry string, ordinal int"),
+            "classes": local_table(spark, classes, "class string, superclass string, cardinality array<struct<start:bigint,end:bigint>>, transparent boolean, root boolean, annotation boolean"),
+            "fields": local_table(spark, fields, "owner string, field string, field_type string, primitive boolean, type string, optional boolean, seq int, declared boolean"),
+            "children": local_table(spark, children, "owner string, field string, child string"),
+            "tokens": local_table(spark, tokens, "class string, field string, kind string, token string"),
+            "types": local_table(spark, types, "type string, kind string, parent string"),
+            "type_fields": local_table(spark, [(name, a[0], k) for name, x in self.types.items() for k, a in enumerate(x.attrs)], "type string, field string, seq int"),
+            "entries": local_table(spark, [(name, e, k) for name, x in self.types.items() for k, e in enumerate(x.entries)], "type string, entry string, ordinal int"),
         }
