@@ -14,8 +14,8 @@ For the segments that a task has not met before, as one batch:
    library's; a best-sum path over the same edges would not give the model's ids.
 
 Characters that no piece covers become byte pieces.  A segment of more than ``LONG`` characters has its edges from the
-suffix arrays of its blocks and relaxes them from a heap, in the same order, instead of in rounds that all segments
-share; it takes some hundred bytes a character.  Nulls encode as nothing, like empty texts.  Rows of a repeated doc_id
+same suffix array but relaxes them from a heap, in the same order, instead of in rounds that all segments share; one of
+more than a batch is sorted in blocks and takes some hundred bytes a character.  Nulls encode as nothing, like empty texts.  Rows of a repeated doc_id
 are encoded each.  Vocabulary files are read, never trained or copied.
 """
 
@@ -79,21 +79,19 @@ class Vocabulary:
     def encode_segments(self, segments: list[str]) -> list[bytes]:
         """Ids (int32 bytes) of each segment."""
         out: list[bytes | None] = [None] * len(segments)
-        short = []
-        for k, s in enumerate(segments):
-            if len(s) > LONG:
-                out[k] = self._long(s)
-            else:
-                short.append(k)
+        fits = [k for k, s in enumerate(segments) if len(s) <= BATCH_CHARS]
         at = 0
-        while at < len(short):
+        while at < len(fits):
             take, size = at, 0
-            while take < len(short) and size < BATCH_CHARS:
-                size += len(segments[short[take]])
+            while take < len(fits) and size < BATCH_CHARS:
+                size += len(segments[fits[take]])
                 take += 1
-            for k, ids in zip(short[at:take], self._relax([segments[k] for k in short[at:take]])):
+            for k, ids in zip(fits[at:take], self._relax([segments[k] for k in fits[at:take]])):
                 out[k] = ids
             at = take
+        for k, s in enumerate(segments):
+            if out[k] is None:
+                out[k] = self._long(s)
         return out
 
     def _edges(self, code: np.ndarray, n: int) -> np.ndarray:
@@ -134,9 +132,13 @@ class Vocabulary:
         edges = self._edges(code, n)
         symbol = np.flatnonzero(np.isin(np.arange(n), begin + size, invert=True))
         owner = np.repeat(np.arange(len(segments)), size)
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            short = (size <= LONG)[owner]
+            symbol, owner = symbol[short], owner[short]
         stop = begin + size
         done_symbol, done_owner, done_end = [], [], []
-        while len(symbol):
+        while len(symbol):  # every round: each segment's best edge
             following = np.r_[symbol[1:], n]
             same = np.r_[owner[1:] == owner[:-1], False]
             end = np.where(same, following, stop[owner])
@@ -155,7 +157,7 @@ class Vocabulary:
             done_symbol.append(symbol[rest]), done_owner.append(owner[rest]), done_end.append(end[rest])
             going[(best[merge] & 0xFFFFFFFF) + 1] = False
             symbol, owner = symbol[going], owner[going]
-        symbol, owner, end = np.concatenate(done_symbol), np.concatenate(done_owner), np.concatenate(done_end)
+        symbol, owner, end = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (done_symbol, done_owner, done_end))
         order = np.argsort(symbol)
         symbol, owner, end = symbol[order], owner[order], end[order]
         rank = edges[symbol, end - symbol]
@@ -165,7 +167,10 @@ class Vocabulary:
             ids, owner = self._byte_pieces(ids, owner, points[symbol])
         cuts = np.searchsorted(owner, np.arange(len(segments) + 1)) * 4
         raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        out = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for k in long.tolist():
+            out[k] = self._heap(segments[k], edges[begin[k] : begin[k] + size[k]])
+        return out
 
     def _byte_pieces(self, ids: np.ndarray, owner: np.ndarray, points: np.ndarray):
         """Characters without a piece, as the pieces of their bytes."""
@@ -177,11 +182,15 @@ class Vocabulary:
         return np.array(new_ids, np.int32), np.array(new_owner)
 
     def _long(self, s: str) -> bytes:
-        """The same merges for one long segment: its edges block by block, relaxed from a heap."""
+        """A segment that fills more than one batch: its edges block by block."""
         n = len(s)
         code = self.codes[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)]
         edges = np.concatenate([self._edges(np.r_[code[a : a + BATCH_CHARS + self.wide], np.uint16(0)], min(BATCH_CHARS + self.wide, n - a) + 1)[: min(BATCH_CHARS, n - a)] for a in range(0, n, BATCH_CHARS)])
-        none = 1 << 30
+        return self._heap(s, edges)
+
+    def _heap(self, s: str, edges: np.ndarray) -> bytes:
+        """Relaxes a segment's edges from a heap: best edge first, leftmost among equals."""
+        n, none = len(s), 1 << 30
         end, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap: list[tuple[int, int, int]] = []
 
