@@ -35,7 +35,7 @@ MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 LONG = 40
 #: Characters of new segments sorted at once; characters of the segments that a worker remembers of a generation.
-BATCH_CHARS, REMEMBERED = 300_000, 1_000_000
+BATCH_CHARS, REMEMBERED = 300_000, 2_000_000
 
 
 class Vocabulary:
@@ -256,7 +256,7 @@ def encode_rows(vocabulary: Vocabulary, texts: list[str | None]) -> list[bytes]:
     return [b"".join(map(get, segments)) for segments in split]
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, rows_at_once: int = 400) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, rows_at_once: int = 800) -> DataFrame:
     """docs with __ids (int32 bytes) and __decoded (the UTF-8 text that the ids decode to); one row for each row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary(model))  # a vocabulary: of fixed size
