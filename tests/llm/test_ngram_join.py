@@ -105,6 +105,27 @@ def test_long_lists(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_lists_no_longer_than_a_bucket(spark, monkeypatch):
+    # pairs that cost more than FULL for each row, in lists that no round takes: rounds over them never ended
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        w = [f"s{j}" for j in range(100)]
+        for j in rng.sample(range(100), 4):
+            w[j] = f"n{k}_{j}"
+        rows.append((k, " ".join(w)))
+    rounds, sampled = [], ngram_join._sampled
+
+    def counted(*args):
+        rounds.append(len(rounds))
+        assert len(rounds) < 5
+        return sampled(*args)
+
+    monkeypatch.setattr(ngram_join, "_sampled", counted)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (5, 5), (3, 9), (9, 20), (20, 21)]
     e = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)

@@ -16,7 +16,7 @@ of at least num/den.  What it does with all rows:
 4. *Long lists contract.*  Before the lists (all sets with one prefix token) are joined, rounds over the long ones
    link what they can at a cost in proportion to their rows: every set is compared with the sets of a random bucket of
    one list, and with the set of most links (near copies of one base all link to it).  Linked sets are one component.
-   Rounds go on while they link enough.  Then every list is joined in full, but for the pairs within a
+   Rounds go on while they link enough and a list is longer than a bucket.  Then every list is joined in full, but for the pairs within a
    component: each set outside its list's largest component against all others.  No link between components is lost.
 
 Nulls and empty texts have no set: n_shingles 0, a component of their own.  A doc_id on several rows is one document:
@@ -287,11 +287,11 @@ def _contract(orders: DataFrame, sets: DataFrame, same: DataFrame, num: int, den
         lists = named_lists
         heads = lists.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
         heads = stash(heads.select("token", "m", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.k")).alias("q")), "heads", files)
-        cost, rows = heads.agg(F.sum(F.col("q") * F.col("m")), F.sum("m")).first()
+        cost, rows, longest = heads.agg(F.sum(F.col("q") * F.col("m")), F.sum("m"), F.max("m")).first()
         if not rows:
             discard(lists, heads)
             break
-        last = cost <= FULL * rows or not worth
+        last = cost <= FULL * rows or longest <= BUCKET or not worth  # a round takes only lists longer than a bucket
         if last:
             both = lists.join(heads, "token").withColumn("salts", F.ceil(F.col("m") / SALTED).cast("int"))
             x = named(both.where("component <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "a", "token", "salt", "largest")
