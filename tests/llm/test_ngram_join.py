@@ -114,6 +114,7 @@ def test_lists_no_longer_than_a_bucket(spark, monkeypatch):
         for j in rng.sample(range(100), 4):
             w[j] = f"n{k}_{j}"
         rows.append((k, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "BUCKET", 64)
     rounds, sampled = [], ngram_join._sampled
 
     def counted(*args):
@@ -126,6 +127,31 @@ def test_lists_no_longer_than_a_bucket(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_bitmaps_go_by_set_through_the_rounds(spark, monkeypatch):
+    # rounds carried a bitmap for each (token, set) row, and wrote and joined all of these rows again in every round
+    rng = random.Random(7)
+    rows = []
+    for k in range(70):
+        w = [f"s{j}" for j in range(80)]
+        for j in rng.sample(range(80), 2):
+            w[j] = f"n{k}_{j}"
+        rows.append((k, " ".join(w)))
+    wide, plain = [], ngram_join.stash
+
+    def watched(df, tag, files=None):
+        out = plain(df, tag, files)
+        if "x0" in df.columns:
+            wide.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stash", watched)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+    assert "long" in [tag for tag, _ in wide]
+    assert all(n <= len(rows) for tag, n in wide if tag != "mixed")
+    assert [tag for tag, _ in wide].count("mixed") == 1
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (5, 5), (3, 9), (9, 20), (20, 21)]
     e = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)

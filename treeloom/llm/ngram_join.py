@@ -13,11 +13,13 @@ of at least num/den.  What it does with all rows:
    other two orders are dropped before any set is read.
    A further exact filter stands in the join itself: each set has a bitmap in which every token flips one of ``BITS``
    bits; two bitmaps differ in no more bits than the sets differ in tokens, and links bound that number.
-4. *Long lists contract.*  Before the lists (all sets with one prefix token) are joined, rounds over the long ones
-   link what they can at a cost in proportion to their rows: every set is compared with the sets of a random bucket of
-   one list, and with the set of most links (near copies of one base all link to it).  Linked sets are one component.
-   Rounds go on while they link enough and a list is longer than a bucket.  Then every list is joined in full, but for the pairs within a
-   component: each set outside its list's largest component against all others.  No link between components is lost.
+4. *Groups contract, then lists are joined.*  Rounds go over the sets, one row each: a set's key is the least hash of
+   its third order's prefix tokens (another hash in every round), which near copies mostly share.  In a group of one key
+   every set is compared with the sets of a random bucket, and with the set of most links (near copies of one base all
+   link to it).  Linked sets are one component.  Rounds go on while they link enough, groups are longer than a bucket and
+   cost more than a few comparisons a set.  Then every list (all sets with one prefix token) is joined in full, but for
+   the pairs within a component: each set outside its list's largest component against all others.  No link between
+   components is lost, whatever the rounds have found.
 
 Nulls and empty texts have no set: n_shingles 0, a component of their own.  A doc_id on several rows is one document:
 those of its rows that have a set have one component, whatever their texts.  A row without doc_id is a document of its own, links pass through
@@ -42,9 +44,9 @@ BLOCK_TOKENS = 500_000
 #: Bits of a set's parity bitmap.
 BITS = 1024
 WORDS = [f"x{k}" for k in range(BITS // 64)]
-#: Sets of a bucket; comparisons for each row of the lists up to which they are joined in full at once; share of the
-#: long lists' sets that a round must link to be worth another one.
-BUCKET, FULL, WORTH = 64, 4, 0.02
+#: Sets of a bucket; comparisons for each set of the groups up to which lists are joined at once; links for each set of
+#: the long groups that a round must find to be worth another one.
+BUCKET, FULL, WORTH = 16, 4, 0.02
 #: Sets of a list that one key of the full join stands for.
 SALTED = 2048
 
@@ -277,49 +279,57 @@ def _contract(orders: DataFrame, sets: DataFrame, same: DataFrame, num: int, den
     fits = f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and ({differ}) * {den + num} <= (n_a + n_b) * {den - num}"
     named = lambda df, x, *more: df.select(*more, F.col("sig").alias(x), F.col("component").alias("c_" + x), F.col("n").alias("n_" + x), *(F.col(w).alias(f"{w}_{x}") for w in WORDS))
     parts = [F.col("parity")[k].alias(w) for k, w in enumerate(WORDS)]
-    lists = stash(orders.select("sig", "n", F.explode("first").alias("token"), *parts), "lists", files)
-    links, labels = [same], _labels(same)
-    worth, turn = True, 0
+    in_component = lambda df, labels: df.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    links, labels, turn = [same], _labels(same), 0
     while True:
-        named_lists = lists.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        named_lists = stash(named_lists, "named", files)
-        discard(lists)
-        lists = named_lists
-        heads = lists.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        heads = stash(heads.select("token", "m", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.k")).alias("q")), "heads", files)
+        key = F.array_min(F.transform("third", lambda t: F.xxhash64(t, F.lit(turn)))).alias("key")
+        keyed = stash(in_component(orders.select("sig", "n", key, *parts).where("key is not null"), labels), "keyed", files)
+        heads = _heads(keyed, "key", files)
         cost, rows, longest = heads.agg(F.sum(F.col("q") * F.col("m")), F.sum("m"), F.max("m")).first()
-        if not rows:
-            discard(lists, heads)
+        if not rows or cost <= FULL * rows or longest <= BUCKET:
+            discard(keyed, heads)
             break
-        last = cost <= FULL * rows or longest <= BUCKET or not worth  # a round takes only lists longer than a bucket
-        if last:
-            both = lists.join(heads, "token").withColumn("salts", F.ceil(F.col("m") / SALTED).cast("int"))
-            x = named(both.where("component <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "a", "token", "salt", "largest")
-            y = named(both.withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int")), "b", "token", "salt")
-            # a pair of two sets outside the largest component is met from both sides: once is enough
-            pairs, used = x.join(y, ["token", "salt"]).where("c_a <> c_b and (a < b or c_b = largest)").where(fits).select("a", "b"), None
-        else:
-            pairs, used = _sampled(lists, heads, links, turn, named, fits)
-        pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", files)
-        links.append(stash(_linked(pairs, orders, sets, num, den), "links", files))
+        pairs, used = _sampled(keyed, heads, links, turn, named, fits)
+        found = _checked(pairs, orders, sets, num, den, files)
+        worth = found.count() >= WORTH * used.count()
+        links.append(found)
         old, labels = labels, _labels(_all(links))
-        if used is not None:
-            worth = links[-1].count() >= WORTH * used.count()
-            discard(used)
-        discard(pairs, old)
-        if last:
-            discard(lists, heads)
+        discard(used, keyed, heads, old)
+        turn += 1
+        if not worth:
             break
-        # what one component holds already is done with
-        mixed = stash(lists.drop("component").join(heads.select("token"), "token", "left_semi"), "mixed", files)
-        discard(lists, heads)
-        lists, turn = mixed, turn + 1
-    discard(*links[1:])
+    # bitmaps are joined by set to the lists of several components only
+    lists = stash(in_component(orders.select("sig", "first"), labels).select("sig", "component", F.explode("first").alias("token")), "lists", files)
+    heads = _heads(lists, "token", files)
+    salts = F.ceil(F.col("m") / SALTED).cast("int").alias("salts")
+    mixed = lists.join(heads.select("token", "largest", salts), "token")
+    both = stash(mixed.join(orders.select("sig", "n", *parts), "sig"), "mixed", files)
+    x = named(both.where("component <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "a", "token", "salt", "largest")
+    y = named(both.withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int")), "b", "token", "salt")
+    # a pair of two sets outside the largest component is met from both sides: once is enough
+    pairs = x.join(y, ["token", "salt"]).where("c_a <> c_b and (a < b or c_b = largest)").where(fits).select("a", "b")
+    links.append(_checked(pairs, orders, sets, num, den, files))
+    old, labels = labels, _labels(_all(links))
+    discard(lists, heads, both, old, *links[1:])
     out = labels.withColumnRenamed("node", "sig")
     out._stash_path = labels._stash_path
     return out
 
 
+def _heads(rows: DataFrame, key: str, files: int) -> DataFrame:
+    """Of each key with sets of several components: its m sets, the largest component, the q sets outside it."""
+    heads = rows.groupBy(key, "component").agg(F.count("*").alias("k")).groupBy(key).agg(F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return stash(heads.select(key, "m", F.col("top.component").alias("largest"), (F.col("m") - F.col("top.k")).alias("q")), "heads", files)
+
+
+def _checked(pairs: DataFrame, orders: DataFrame, sets: DataFrame, num: int, den: int, files: int) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b), written, each once."""
+    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", files)
+    links = stash(_linked(pairs, orders, sets, num, den), "links", files)
+    discard(pairs)
+    return links
+
+
 def _all(links: list[DataFrame]) -> DataFrame:
     out = links[0]
     for x in links[1:]:
@@ -335,17 +345,13 @@ def _labels(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _sampled(lists: DataFrame, heads: DataFrame, links: list[DataFrame], turn: int, named, fits: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b) of one round over the long lists, as many as they have sets times a constant; a stage they read."""
-    long_ = lists.join(heads.where(f"m > {BUCKET}").select("token", "m"), "token")
-    # each set in one of its long lists: the longest at first, then that of smallest hash, which near copies share
-    rank = F.struct("m", "token") if turn == 0 else F.struct(F.xxhash64("token", F.lit(turn)), "token")
-    one = long_.groupBy("sig").agg(F.max(rank)["token"].alias("token"))
-    rows = stash(long_.join(one, ["sig", "token"]), "long")
-    buckets = F.pow(F.lit(2), F.ceil(F.log2(F.col("m") / BUCKET))).cast("long")
+def _sampled(keyed: DataFrame, heads: DataFrame, links: list[DataFrame], turn: int, named, fits: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b) of one round over the long groups, as many as they have sets times a constant; a stage they read."""
+    rows = stash(keyed.join(heads.where(f"m > {BUCKET}").select("key", "m"), "key"), "long")
+    buckets = F.ceil(F.col("m") / BUCKET).cast("long")
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("sig", F.lit(turn)), buckets))
-    pairs = named(dealt, "a", "token", "bucket").join(named(dealt, "b", "token", "bucket"), ["token", "bucket"]).where("a < b and c_a <> c_b").where(fits).select("a", "b")
+    pairs = named(dealt, "a", "key", "bucket").join(named(dealt, "b", "key", "bucket"), ["key", "bucket"]).where("a < b and c_a <> c_b").where(fits).select("a", "b")
     degree = _all(links).select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("degree"))
-    hubs = rows.join(degree, "sig").groupBy("token").agg(F.max(F.struct("degree", "sig", "n", "component", *WORDS)).alias("hub")).select("token", "hub.*")
-    to_hub = named(rows, "a", "token").join(named(hubs, "b", "token"), "token").where("c_a <> c_b").where(fits).select("a", "b")
+    hubs = rows.join(degree, "sig").groupBy("key").agg(F.max(F.struct("degree", "sig", "n", "component", *WORDS)).alias("hub")).select("key", "hub.*")
+    to_hub = named(rows, "a", "key").join(named(hubs, "b", "key"), "key").where("c_a <> c_b").where(fits).select("a", "b")
     return pairs.unionByName(to_hub), rows
