@@ -97,11 +97,17 @@ def from_value(kind: Column, text: Column) -> Column:
 
 
 def coalesce_spans(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Spans of each key merged where they overlap or touch (integers that differ by one touch): keys, start, end, n_merged."""
+    """Spans of each key merged where they overlap or touch (integers that differ by one touch): keys, start, end, n_merged.
+
+    A null end is open.  A row without start has no place: it only counts, with its key's last span; where a key has
+    no other rows, each is a span of nulls.
+    """
     far = 2**62
-    w = Window.partitionBy(*keys).orderBy("__s", "__e")
-    x = df.select(*keys, F.col(start).alias("__s"), F.coalesce(F.col(end), F.lit(far)).alias("__e"))
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("__s"), F.asc_nulls_last("__e"))
+    s = F.col(start)
+    x = df.select(*keys, s.alias("__s"), F.when(s.isNotNull(), F.coalesce(F.col(end), F.lit(far))).alias("__e"))
     x = x.withColumn("__reach", F.max("__e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("__island", F.sum((F.col("__reach").isNull() | (F.col("__s") > F.col("__reach") + 1)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begins = F.col("__reach").isNull() | F.coalesce(F.col("__s") > F.col("__reach") + 1, F.lit(False))
+    x = x.withColumn("__island", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = x.groupBy(*keys, "__island").agg(F.min("__s").alias(start), F.max("__e").alias(end), F.count("*").alias("n_merged"))
     return out.withColumn(end, F.when(F.col(end) < far, F.col(end))).drop("__island")
