@@ -6,7 +6,7 @@ document that can't be parsed gives diagnostics, never an exception.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,8 @@ EVENTS = "doc_id bigint, seq int, event string, name string, ident string, detai
 #: DDL type -> Arrow type.
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 _ALL = "part string, " + NODES + ", start_node int, end_node int, severity string, code string, message string"
+#: Rows and characters of text after which a batch of rows goes back to Spark.
+BATCH_ROWS, BATCH_CHARS = 4096, 1 << 22
 
 
 def source_events(text: str, kind: str) -> Iterator[tuple]:
@@ -51,19 +53,46 @@ def parse(text: str | None, resources: dict[str, str] | None = None, doc_id=0, k
     return b.run(source_events(text or "", kind))
 
 
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in ddl.split(", ")])
+
+
+def in_batches(rows: Callable[[int, str], Iterator[tuple]], batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """rows(doc_id, text) of every document, in batches bounded by rows and text.
+
+    What Python holds is one document and one batch, however many documents come at once.
+    """
+
+    def made(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    held, chars = [], 0
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        for k in range(batch.num_rows):
+            for row in rows(ids[k].as_py(), texts[k].as_py()):
+                held.append(row)
+                chars += sum(len(v) for v in row if isinstance(v, str))
+                if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield made(held)
+                    held, chars = [], 0
+    if held:
+        yield made(held)
+
+
 def parse_rows(docs: DataFrame, resources: dict[str, str] | None = None) -> DataFrame:
     """All rows of parsing docs (doc_id, text) in one table, for ``parts_of``.  resources are modules: schema-sized."""
-    schema = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in _ALL.split(", ")])
+    schema = _arrow(_ALL)
+
+    def rows(doc_id, text):
+        b = parse(text, resources, doc_id)
+        said = (dict(zip(("doc_id", "severity", "code", "message", "src_start"), d)) for d in b.diagnostics)
+        for part, found in (("node", b.nodes), ("annotation", b.annotations), ("diagnostic", said)):
+            for r in found:
+                yield part, *map(r.get, schema.names[1:])
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                b = parse(text, resources, doc_id)
-                rows += [{"part": "node"} | n for n in b.nodes]
-                rows += [{"part": "annotation"} | a for a in b.annotations]
-                rows += [{"part": "diagnostic", "doc_id": d[0], "severity": d[1], "code": d[2], "message": d[3], "src_start": d[4]} for d in b.diagnostics]
-            yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in schema.names} for r in rows], schema=schema)
+        return in_batches(rows, batches, schema)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _ALL)
 
