@@ -50,3 +50,8 @@ def test_parsing_large_documents_goes_back_in_bounded_batches(spark, monkeypatch
     text = "\\document\n\\import[ontology]{story.markup}\n\\begin{story}\n\\scene{" + "word " * 100_000 + "}\n\\end{story}\n"
     rows, size = handed_back(monkeypatch, spark, lambda d: reader.parse_rows(d, RESOURCES), [text] * 20)
     assert sum(rows) == 5 * 20 and max(size) < 2 * reader.BATCH_CHARS
+
+
+def test_events_of_many_documents_go_back_in_bounded_batches(spark, monkeypatch):
+    rows, _ = handed_back(monkeypatch, spark, reader.lex_documents, ["\\scene{one}"] * 5000)
+    assert sum(rows) == 4 * 5000 and max(rows) <= reader.BATCH_ROWS

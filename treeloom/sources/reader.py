@@ -110,18 +110,16 @@ def parse_documents(docs: DataFrame, resources: dict[str, str] | None = None) ->
 
 def lex_documents(docs: DataFrame) -> DataFrame:
     """Events of docs (doc_id, text), one row each."""
+    schema = _arrow(EVENTS)
 
-    schema = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in EVENTS.split(", ")])
+    def rows(doc_id, text):
+        for k, e in enumerate(source_events(text or "", kind_of(text))):
+            named = e[0] not in ("data", "error", "field_start", "field_end")
+            detail = e[1] if e[0] in ("data", "error") else "range" if e[0] == "command" and e[4] else ""
+            yield doc_id, k, e[0], e[1] if named else "", e[2] if named and len(e) > 3 else "", detail, e[-1]
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, e in enumerate(source_events(text or "", kind_of(text))):
-                    named = e[0] not in ("data", "error", "field_start", "field_end")
-                    detail = e[1] if e[0] in ("data", "error") else "range" if e[0] == "command" and e[4] else ""
-                    rows.append((doc_id, k, e[0], e[1] if named else "", e[2] if named and len(e) > 3 else "", detail, e[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+        return in_batches(rows, batches, schema)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, EVENTS)
 
